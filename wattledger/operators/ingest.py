@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -92,7 +93,7 @@ def map_fields(layer: DataFrame, fields: dict[str, str], feeder: str = UNKNOWN_F
     return layer.select(*known, owner.alias("feeder_id"))
 
 
-def map_entity(layers: dict[str, DataFrame], entity: str) -> DataFrame | None:
+def map_entity(layers: Mapping[str, DataFrame], entity: str) -> DataFrame | None:
     """All source layers of an entity under one schema, with their layer name."""
     names, fields = MAPPING[entity]
     parts = [map_fields(layers[n], fields).withColumn("source_layer", F.lit(n)) for n in names if n in layers]
@@ -119,12 +120,12 @@ def fill_plate(units: DataFrame) -> DataFrame:
     )
 
 
-def units(layers: dict[str, DataFrame]) -> DataFrame:
+def units(layers: Mapping[str, DataFrame]) -> DataFrame:
     rows = map_entity(layers, "transformer_units").withColumn("sn_kva", D.parse_kva("sn_kva"))
     return fill_plate(decode_phases(rows))
 
 
-def sites(layers: dict[str, DataFrame], unit_rows: DataFrame) -> DataFrame:
+def sites(layers: Mapping[str, DataFrame], unit_rows: DataFrame) -> DataFrame:
     count = unit_rows.groupBy("site_id").agg(F.count(F.lit(1)).alias("n_units"))
     rows = map_entity(layers, "sites").join(count, "site_id", "left")
     rows = rows.withColumn("bank_config", D.decode_bank_config("bank_config_raw", "n_units"))
@@ -138,13 +139,13 @@ def first_per_key(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, *[F.col(f"r.{c}") for c in rest])
 
 
-def load_points(layers: dict[str, DataFrame]) -> DataFrame:
+def load_points(layers: Mapping[str, DataFrame]) -> DataFrame:
     rows = map_entity(layers, "load_points")
     order = ["reading_route"] + [c for c in rows.columns if c not in ("reading_route", "load_point_id")]
     return first_per_key(decode_phases(rows.select("load_point_id", *order)), "load_point_id")
 
 
-def identify_customers(layers: dict[str, DataFrame]) -> DataFrame:
+def identify_customers(layers: Mapping[str, DataFrame]) -> DataFrame:
     """A blank unique code falls back to the GIS id so no meter is lost."""
     rows = map_entity(layers, "customers")
     code = F.coalesce(F.nullif(F.trim("customer_unit_id"), F.lit("")), F.col("global_id"))
@@ -165,7 +166,7 @@ def inherit_from_load_point(customers: DataFrame, points: DataFrame) -> DataFram
     return rows.withColumn("phase", F.coalesce("phase", "lp_phase")).drop("lp_phase")
 
 
-def add_attributes(customers: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
+def add_attributes(customers: DataFrame, layers: Mapping[str, DataFrame]) -> DataFrame:
     """Billing attributes by unique code (first per code) and the tariff class."""
     attrs = map_entity(layers, "customer_attributes").drop("feeder_id", "source_layer")
     rows = customers.join(first_per_key(attrs, "customer_unit_id"), "customer_unit_id", "left")
@@ -186,12 +187,12 @@ def section(source_layer) -> Column:
     return F.when(F.lower(source_layer).contains("bajatension"), "secondary").otherwise("primary")
 
 
-def segments(layers: dict[str, DataFrame]) -> DataFrame:
+def segments(layers: Mapping[str, DataFrame]) -> DataFrame:
     rows = decode_phases(map_entity(layers, "segments"))
     return rows.withColumn("section", section(F.col("source_layer")))
 
 
-def build_canonical(layers: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def build_canonical(layers: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """All entities the layers allow, lazily; each is one plan."""
     out: dict[str, DataFrame] = {}
     if "UNIDADTRANSFDISTRIBUCION" in layers:

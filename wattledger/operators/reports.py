@@ -126,15 +126,20 @@ def dashboard(status: DataFrame, balance: DataFrame, loadability: DataFrame, fin
         )
 
     head = F.sum("energy_header_kwh")
-    kpi = balance.join(status.select("feeder_id", "progress_pct", "balance_closed"), "feeder_id").agg(
-        F.array(
-            F.struct(F.lit("feeders").alias("item"), F.count(F.lit(1)).cast("double").alias("value")),
-            F.struct(F.lit("progress_pct"), rnd(F.avg("progress_pct"), 1)),
-            F.struct(F.lit("balances_closed"), F.count(F.when(F.col("balance_closed"), 1)).cast("double")),
-            F.struct(F.lit("pnt_pct"), rnd(F.sum("pnt_kwh") * 100.0 / head, 2)),
-            F.struct(F.lit("technical_pct"), rnd(F.sum("energy_technical_kwh") * 100.0 / head, 2)),
-        ).alias("k")
-    ).select(F.explode("k").alias("k")).select(F.lit("kpi").alias("panel"), "k.item", F.lit("").alias("detail"), "k.value")
+    kpis = {
+        "feeders": F.count(F.lit(1)).cast("double"),
+        "progress_pct": rnd(F.avg("progress_pct"), 1),
+        "balances_closed": F.count(F.when(F.col("balance_closed"), 1)).cast("double"),
+        "pnt_pct": rnd(F.sum("pnt_kwh") * 100.0 / head, 2),
+        "technical_pct": rnd(F.sum("energy_technical_kwh") * 100.0 / head, 2),
+    }
+    entries = F.array(*[F.struct(F.lit(n).alias("item"), F.col(n).alias("value")) for n in kpis])
+    kpi = (
+        balance.join(status.select("feeder_id", "progress_pct", "balance_closed"), "feeder_id")
+        .agg(*[c.alias(n) for n, c in kpis.items()])
+        .select(F.explode(entries).alias("k"))
+        .select(F.lit("kpi").alias("panel"), "k.item", F.lit("").alias("detail"), "k.value")
+    )
     return (
         kpi.unionByName(panel(loadability, "loadability", "loadability_class"))
         .unionByName(panel(findings, "quality", "rule_id", "severity"))

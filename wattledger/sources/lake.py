@@ -123,5 +123,5 @@ def lines(segments: DataFrame, coordinates: DataFrame) -> DataFrame:
 
 def result_layer(geometry: DataFrame, result: DataFrame, key: str) -> DataFrame:
     """Result rows with the geometry of their element."""
-    drop = [c for c in ("feeder_id", "pole_id", "x", "y") if c in result.columns and c != key]
+    drop = [c for c in result.columns if c in geometry.columns and c != key]
     return geometry.join(result.drop(*drop), key)

@@ -7,9 +7,10 @@ load points, dangling parents.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattledger.functions.numeric import lookup
@@ -26,28 +27,52 @@ TARIFF_TEXT = {
 }
 
 
-def _mod(column: str, values) -> F.Column:
+def _mod(column: str, values) -> Column:
     return lookup(dict(enumerate(values)), F.col(column) % len(values))
 
 
+class _Layers(Mapping):
+    """Layers by name, each built when first read."""
+
+    def __init__(self, build: dict[str, Callable[[], DataFrame]]):
+        self._build, self._made = build, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._build[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._build)
+
+    def __len__(self) -> int:
+        return len(self._build)
+
+
 class VendorLayers(BenchTables):
     @cached_property
-    def layers(self) -> dict[str, DataFrame]:
-        return {
-            "EstructuraSoporte": self._poles_layer,
-            "PuestoTransfDistribucion": self._sites_layer,
-            "UNIDADTRANSFDISTRIBUCION": self._units_layer,
-            "PuntoCarga": self._load_points_layer,
-            "CONEXIONCONSUMIDOR": self._meters_layer,
-            "ATRIBUTOSCONSUMIDOR": self._attributes_layer,
-            "Luminaria": self._lamps_layer,
-            "TramoDistribucionAereo": self._segments_layer("primary"),
-            "TramoBajaTensionAereo": self._segments_layer("secondary"),
-            "PuestoProteccionDinamico": self.switching_devices.select(
-                F.col("device_id").alias("GLOBALID"), F.col("feeder_id").alias("ALIMENTADORID"),
-                F.col("node_id").alias("CIRCUITSOURCEGUID"),
-            ),
-        }
+    def layers(self) -> Mapping[str, DataFrame]:
+        return _Layers(
+            {
+                "EstructuraSoporte": lambda: self._poles_layer,
+                "PuestoTransfDistribucion": lambda: self._sites_layer,
+                "UNIDADTRANSFDISTRIBUCION": lambda: self._units_layer,
+                "PuntoCarga": lambda: self._load_points_layer,
+                "CONEXIONCONSUMIDOR": lambda: self._meters_layer,
+                "ATRIBUTOSCONSUMIDOR": lambda: self._attributes_layer,
+                "Luminaria": lambda: self._lamps_layer,
+                "TramoDistribucionAereo": lambda: self._segments_layer("primary"),
+                "TramoBajaTensionAereo": lambda: self._segments_layer("secondary"),
+                "PuestoProteccionDinamico": lambda: self._devices_layer,
+            }
+        )
+
+    @property
+    def _devices_layer(self) -> DataFrame:
+        return self.switching_devices.select(
+            F.col("device_id").alias("GLOBALID"), F.col("feeder_id").alias("ALIMENTADORID"),
+            F.col("node_id").alias("CIRCUITSOURCEGUID"),
+        )
 
     @property
     def _poles_layer(self) -> DataFrame:
