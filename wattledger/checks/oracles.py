@@ -261,15 +261,15 @@ cte("finding", " UNION ALL ".join(RULES.values()))
 cte("light", " UNION ALL ".join(RULES[n] for n in ("R08", "R20", "R25")))
 
 
-def reliability(findings: str, edges: str) -> str:
+def reliability(findings: str, edges: str, balance: str) -> str:
     return f"""SELECT feeder_id, {r('greatest(0.0, 100.0 - q - b)', 1)} AS reliability_index, {r('q', 1)} AS quality_penalty, b AS balance_penalty, n_findings FROM (
-  SELECT bal.feeder_id, least(coalesce(pts, 0) / greatest(coalesce(ne, 0), 1), 1.0) * 80.0 AS q, CASE WHEN balance_coherent THEN 0.0::DOUBLE ELSE 20.0::DOUBLE END AS b, coalesce(nf, 0) AS n_findings
-  FROM bal LEFT JOIN (SELECT feeder_id, sum(CASE severity WHEN 'critica' THEN 5.0::DOUBLE WHEN 'alta' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END) AS pts, count(*) AS nf FROM {findings} GROUP BY 1) USING (feeder_id)
+  SELECT feeder_id, least(coalesce(pts, 0) / greatest(coalesce(ne, 0), 1), 1.0) * 80.0 AS q, CASE WHEN balance_coherent THEN 0.0::DOUBLE ELSE 20.0::DOUBLE END AS b, coalesce(nf, 0) AS n_findings
+  FROM {balance} LEFT JOIN (SELECT feeder_id, sum(CASE severity WHEN 'critica' THEN 5.0::DOUBLE WHEN 'alta' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END) AS pts, count(*) AS nf FROM {findings} GROUP BY 1) USING (feeder_id)
   LEFT JOIN (SELECT feeder_id, count(*) AS ne FROM {edges} GROUP BY 1) USING (feeder_id))"""
 
 
-cte("rel", reliability("finding", "edge"))
-cte("rellight", reliability("light", "seg"))
+cte("rel", reliability("finding", "edge", "bal"))
+cte("rellight", reliability("light", "seg", "(SELECT feeder_id, true AS balance_coherent FROM hp)"))
 
 # --- series, labels, features -------------------------------------------------
 

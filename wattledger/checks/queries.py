@@ -567,7 +567,9 @@ def _light_findings(run):
 
 
 def _light_reliability(run):
-    return B.reliability(_light_findings(run), run.t.segments, run.balance)
+    """Reliability before any balance is known: only the findings count."""
+    unknown = run.head_periods.select("feeder_id", F.lit(True).alias("balance_coherent"))
+    return B.reliability(_light_findings(run), run.t.segments, unknown)
 
 
 def _status(run):
@@ -783,8 +785,7 @@ def _(run):
 @query("R22")
 def _(run):
     net = N.build(_damaged(run), run.t.sites)
-    extra = materialize(N.extra_edges(net), "extra-edges")
-    lost = N.unreachable(net, extra, extra.count())
+    lost = N.unreachable(net, *N.counted_extra_edges(net))
     return Q.not_reachable(run.t.sites, run.t.customers, net, lost, run.cfg)
 
 

@@ -12,7 +12,9 @@ def col(c: Column | str) -> Column:
 
 def rnd(c: Column | str, digits: int) -> Column:
     """Half-up rounding; the inner step drops summation noise so ties are stable."""
-    return F.round(F.round(col(c), digits + 5), digits)
+    if isinstance(c, str):
+        return F.expr(f"round(round({c}, {digits + 5}), {digits})")
+    return F.round(F.round(c, digits + 5), digits)
 
 
 def ratio(num: Column | str, den: Column | str, otherwise: float = 0.0) -> Column:
@@ -20,12 +22,21 @@ def ratio(num: Column | str, den: Column | str, otherwise: float = 0.0) -> Colum
     return F.when(col(den) > 0, col(num) / col(den)).otherwise(F.lit(float(otherwise)))
 
 
+def sql_literal(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
 def lookup(values: dict, key: Column, default=None) -> Column:
-    """Constant table as a codegen'd CASE (tables here have at most ~20 entries)."""
-    expr = None
-    for k, v in values.items():
-        expr = F.when(key == F.lit(k), F.lit(v)) if expr is None else expr.when(key == F.lit(k), F.lit(v))
-    return expr if default is None else expr.otherwise(F.lit(default))
+    """Value of ``key`` in a constant table (tables here have at most ~20 entries).
+
+    One map literal, folded at planning time: building a CASE branch by branch costs
+    a round trip to the JVM per branch.
+    """
+    entries = ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in values.items())
+    found = F.try_element_at(F.expr(f"map({entries})"), key)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def listed(*conditions: tuple[str, Column]) -> Column:

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattledger import params as P
+from wattledger.functions import electrical as E
 from wattledger.functions.numeric import listed, rnd
 from wattledger.operators import bank, lighting, loadpoint
 
 
+def stack(parts: dict[str, DataFrame]) -> DataFrame:
+    """Union of partial rows; a column a part lacks is NULL there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts.values())
+
+
 def header_totals(header: DataFrame) -> DataFrame:
     return header.groupBy("feeder_id").agg(
         F.sum("kwh").alias("energy_header"), F.count(F.lit(1)).alias("n_periods")
@@ -36,29 +44,40 @@ def outage_energy(events: DataFrame) -> DataFrame:
 def site_loading(t, demand: DataFrame, cfg: dict) -> DataFrame:
     """Unrounded capacity, demand, ratio and loss per site.
 
-    ``t`` holds the entity tables, ``demand`` is ``loadpoint.metered(t, cfg)``.
+    ``t`` holds the entity tables, ``demand`` is ``loadpoint.metered(t, cfg)``.  Units,
+    meters, lamps and load points are stacked and reduced by site in one shuffle.
     """
     e = cfg["electrical"]
-    hours = F.col("n_periods") * P.hours_per_period(cfg)
-    head = header_totals(t.header_meters).select("feeder_id", "n_periods")
-    points = loadpoint.load_points(demand, cfg)
-    billed = demand.groupBy(F.col("transformer_site_id").alias("site_id")).agg(
-        F.sum("kwh_total").alias("billed")
+    site = F.col("transformer_site_id").alias("site_id")
+    parts = {
+        "unit": t.transformer_units.select("site_id", *bank.UNIT_FIELDS),
+        "meter": demand.select(site, F.col("kwh_total").alias("billed")),
+        "lamp": t.streetlights.select(site, lighting.lamp_kw(cfg).alias("lamp_kw")),
+        "point": loadpoint.load_points(demand, cfg).select(site, F.col("s_max_kva").alias("point_kva")),
+    }
+    stacked = stack(parts).where(F.col("site_id").isNotNull())
+    totals = stacked.groupBy("site_id").agg(
+        *bank.unit_aggregates(),
+        F.coalesce(F.sum("billed"), F.lit(0.0)).alias("billed"),
+        F.coalesce(F.sum("lamp_kw"), F.lit(0.0)).alias("lamp_kw"),
+        F.sum("point_kva").alias("point_kva"),
+        F.count("point_kva").alias("n_points"),
     )
-    ap = lighting.lighting_energy(t.streetlights, head, cfg).where("site_id is not null").select("site_id", "ap_kwh")
+    head = header_totals(t.header_meters).select("feeder_id", "n_periods")
+    config = F.col("bank_config")
     sites = (
-        bank.banks(t.sites, t.transformer_units, cfg)
+        t.sites.join(totals.where("n_units > 0"), "site_id")
         .join(head, "feeder_id")
-        .join(billed, "site_id", "left")
-        .join(ap, "site_id", "left")
-        .join(loadpoint.site_smax(points, cfg), "site_id", "left")
-        .na.fill(0.0, ["billed", "ap_kwh"])
+        .withColumn("capacity_kva", bank.capacity(config, cfg["thresholds"]["open_delta_factor"]))
+        .withColumn("headroom_kva", bank.headroom(config))
+        .withColumn("bank_quality_flags", bank.quality_flags(config))
     )
+    hours = F.col("n_periods") * P.hours_per_period(cfg)
+    ap_kwh = F.col("lamp_kw") * lighting.hours_lit(cfg, F.col("n_periods"))
     fc_pf = e["default_load_factor"] * e["default_site_pf"]
-    fallback = (F.col("billed") + F.col("ap_kwh")) / hours / fc_pf
-    s_max = F.when(
-        F.col("s_max_lp").isNotNull(), F.col("s_max_lp") + F.col("ap_kwh") / hours / fc_pf
-    ).otherwise(F.greatest(fallback, F.lit(0.0)))
+    from_points = E.coincidence("n_points", e["coincidence"]) * F.col("point_kva") + ap_kwh / hours / fc_pf
+    fallback = F.greatest((F.col("billed") + ap_kwh) / hours / fc_pf, F.lit(0.0))
+    s_max = F.when(F.col("n_points") > 0, from_points).otherwise(fallback)
     loading = F.when(F.col("capacity_kva") > 0, F.col("s_max") / F.col("capacity_kva")).when(
         F.col("capacity_kva").isNotNull(), F.lit(0.0)
     )
@@ -142,25 +161,31 @@ def close_balance(inputs: DataFrame, cfg: dict) -> DataFrame:
 
 
 def balance_inputs(t, demand: DataFrame, cfg: dict) -> DataFrame:
-    """One row per feeder; every source is reduced to feeder rows before it is joined."""
-    head = header_totals(t.header_meters)
-    billed = demand.groupBy("feeder_id").agg(
-        F.sum("kwh_total").alias("billed"), F.count(F.lit(1)).alias("n_customers")
-    )
-    lights = lighting.lighting_energy(t.streetlights, head.select("feeder_id", "n_periods"), cfg)
-    ap = lights.groupBy("feeder_id").agg(F.sum("ap_kwh").alias("ap"), F.sum("n_lights").alias("n_streetlights"))
-    sites = t.sites.groupBy("feeder_id").agg(F.count(F.lit(1)).alias("n_tx_sites"))
-    losses = site_loading(t, demand, cfg).groupBy("feeder_id").agg(F.sum("loss_kwh").alias("site_loss"))
-    out = head
-    for part in (billed, ap, outage_energy(t.switching_events), losses, sites):
-        out = out.join(part, "feeder_id", "left")
-    out = out.na.fill(0)
-    return out.select(
+    """One row per feeder with a head meter.
+
+    All sources are stacked under one feeder key, so the whole balance is a single
+    map-side combined aggregate instead of a chain of joins.
+    """
+    faults = t.switching_events.where(F.col("motivo") == "falla")
+    one = F.lit(1).cast("long")
+    parts = {
+        "head": t.header_meters.select("feeder_id", F.col("kwh").alias("header"), one.alias("n_periods")),
+        "meter": demand.select("feeder_id", F.col("kwh_total").alias("billed"), one.alias("n_customers")),
+        "lamp": t.streetlights.select("feeder_id", lighting.lamp_kw(cfg).alias("lamp_kw"), one.alias("n_streetlights")),
+        "fault": faults.select("feeder_id", (F.col("duration_h") * F.col("affected_kw")).alias("ens")),
+        "site": t.sites.select("feeder_id", one.alias("n_tx_sites")),
+        "loss": site_loading(t, demand, cfg).select("feeder_id", F.col("loss_kwh").alias("site_loss")),
+    }
+    names = ("header", "n_periods", "billed", "n_customers", "lamp_kw", "n_streetlights", "ens", "n_tx_sites", "site_loss")
+    rows = stack(parts).groupBy("feeder_id").agg(*[F.sum(n).alias(n) for n in names])
+    rows = rows.where(F.col("n_periods") > 0).na.fill(0)
+    ap = F.col("lamp_kw") * lighting.hours_lit(cfg, F.col("n_periods"))
+    return rows.withColumn("ap", ap).select(
         "feeder_id",
-        F.col("energy_header").alias("header"),
+        "header",
         "billed",
         "ap",
-        F.col("ens_kwh").alias("ens"),
+        "ens",
         F.lit(0.0).alias("transferred"),
         (F.col("site_loss") + secondary_loss(F.col("billed") + F.col("ap"), cfg)).alias("technical"),
         "n_customers",

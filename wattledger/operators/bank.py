@@ -9,10 +9,12 @@ from wattledger import params as P
 from wattledger.functions.numeric import listed, lookup, rnd
 
 
-def unit_totals(units: DataFrame) -> DataFrame:
-    """One row per site; the only shuffle of the unit table."""
-    return units.groupBy("site_id").agg(
-        F.count(F.lit(1)).alias("n_units"),
+UNIT_FIELDS = ("sn_kva", "p0_kw", "pk_kw", "voltage_ln")
+
+
+def unit_aggregates() -> list[Column]:
+    return [
+        F.count("sn_kva").alias("n_units"),
         F.min("sn_kva").alias("sn_min"),
         F.sum("sn_kva").alias("sn_sum"),
         F.sum("p0_kw").alias("p0_sum"),
@@ -20,7 +22,12 @@ def unit_totals(units: DataFrame) -> DataFrame:
         F.count("voltage_ln").alias("v_known"),
         F.max("voltage_ln").alias("v_max"),
         F.min("voltage_ln").alias("v_min"),
-    )
+    ]
+
+
+def unit_totals(units: DataFrame) -> DataFrame:
+    """One row per site; the only shuffle of the unit table."""
+    return units.groupBy("site_id").agg(*unit_aggregates())
 
 
 def _expected(config: Column) -> Column:

@@ -154,14 +154,14 @@ def grid_cluster(x: Column, y: Column, grid_m: float) -> Column:
     return (F.floor(x / grid_m) * 10000 + F.floor(y / grid_m)).cast("long")
 
 
-def morton(x: Column, y: Column) -> Column:
+def morton(x: str, y: str) -> Column:
     """Bit-interleaved position: neighbours in the plane stay close in the order."""
-    key = F.lit(0).cast("long")
-    for c, odd in ((x, 0), (y, 1)):
-        v = F.floor(c).cast("long")
-        for bit in range(MORTON_BITS):
-            key = key.bitwiseOR(F.shiftleft(F.shiftright(v, bit).bitwiseAND(F.lit(1).cast("long")), 2 * bit + odd))
-    return key
+    bits = [
+        f"shiftleft(shiftright(cast(floor({c}) as bigint), {bit}) & 1L, {2 * bit + odd})"
+        for c, odd in ((x, 0), (y, 1))
+        for bit in range(MORTON_BITS)
+    ]
+    return F.expr(" | ".join(bits))
 
 
 def clusters(selected: DataFrame, cfg: dict) -> DataFrame:
@@ -170,14 +170,14 @@ def clusters(selected: DataFrame, cfg: dict) -> DataFrame:
 
 def route(clustered: DataFrame) -> DataFrame:
     """Visit order inside each cluster."""
-    keyed = clustered.withColumn("route_key", morton(F.col("x"), F.col("y")))
+    keyed = clustered.withColumn("route_key", morton("x", "y"))
     return running(keyed, ["cluster"], [F.col("route_key").asc(), F.col("site_id").asc()], position="route_seq")
 
 
 def work_orders(selected: DataFrame, cfg: dict) -> DataFrame:
     """Clusters by benefit, sites in route order inside, dealt to crews and days."""
     b = cfg["budget"]
-    keyed = clusters(selected, cfg).withColumn("route_key", morton(F.col("x"), F.col("y")))
+    keyed = clusters(selected, cfg).withColumn("route_key", morton("x", "y"))
     worth = keyed.groupBy("cluster").agg(rnd(F.sum("benefit_usd"), 2).alias("cluster_benefit"))
     order = [F.col("cluster_benefit").desc(), F.col("cluster").asc(), F.col("route_key").asc(), F.col("site_id").asc()]
     ranked = running(keyed.join(worth, "cluster"), [], order)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wattledger.functions.numeric import rnd
 from wattledger.operators import network as N
-from wattledger.session import materialize
+from wattledger.session import materialize, materialize_with
 
 TOLERANCE = 1e-6
 MAX_SWEEPS = 100
@@ -71,8 +71,7 @@ def _load_current(p: Column, q: Column, vr: Column, vi: Column, phases: float) -
 
 def sweep(net: FlowNetwork, max_sweeps: int = MAX_SWEEPS) -> FlowResult:
     """Single-phase equivalent of a balanced feeder (three-phase powers)."""
-    state = net.node.withColumn("vr", F.lit(net.v0)).withColumn("vi", F.lit(0.0)).withColumn("it", F.lit(0))
-    state = state.withColumn("dv", F.lit(None).cast("double"))
+    state = net.node.withColumn("vr", F.lit(net.v0)).withColumn("vi", F.lit(0.0))
     z = net.branch.select(*KEY, "r", "x")
     levels = net.tree.levels
     open_feeders = None
@@ -87,18 +86,18 @@ def sweep(net: FlowNetwork, max_sweeps: int = MAX_SWEEPS) -> FlowResult:
         )
         path = N.path_sum(levels, net.node, drop, ["dr", "di"])
         moved = F.hypot(F.lit(net.v0) - F.col("dr") - F.col("vr"), -F.col("di") - F.col("vi"))
-        state = materialize(
+        state, seen = materialize_with(
             state.join(path, KEY).select(
-                *KEY, "p", "q", (F.lit(net.v0) - F.col("dr")).alias("vr"), (-F.col("di")).alias("vi"),
-                "it", moved.alias("dv"),
+                *KEY, "p", "q", (F.lit(net.v0) - F.col("dr")).alias("vr"), (-F.col("di")).alias("vi"), moved.alias("dv")
             ),
             "flow-state",
+            moved=F.max("dv"),
         )
         # a feeder's count stops at its first sweep below tolerance; later sweeps only refine it
         done = state.groupBy("feeder_id").agg((F.max("dv") < TOLERANCE * net.v0).alias("ok"))
         step = done.select("feeder_id", "ok", F.lit(turn).alias("turn"))
         open_feeders = step if open_feeders is None else open_feeders.unionByName(step)
-        if not step.where(~F.col("ok")).head(1):
+        if seen["moved"] is None or seen["moved"] < TOLERANCE * net.v0:
             break
     progress = open_feeders.groupBy("feeder_id").agg(
         F.coalesce(F.min(F.when(F.col("ok"), F.col("turn"))), F.lit(max_sweeps)).alias("iterations")
@@ -228,15 +227,16 @@ def sweep_3ph(
         moved = F.greatest(
             *[F.hypot(F.col(f"nr{p}") - F.col(f"vr{p}"), F.col(f"ni{p}") - F.col(f"vi{p}")) for p in PH]
         )
-        state = materialize(
+        state, seen = materialize_with(
             state.join(fresh, KEY).select(
                 *KEY, *powers, moved.alias("dv"), *[F.col(f"n{n}{p}").alias(f"v{n}{p}") for p in PH for n in "ri"]
             ),
             "flow3-state",
+            moved=F.max("dv"),
         )
         step = state.groupBy("feeder_id").agg((F.max("dv") < TOLERANCE * v0).alias("ok")).withColumn("turn", F.lit(turn))
         trail = step if trail is None else trail.unionByName(step)
-        if not step.where(~F.col("ok")).head(1):
+        if seen["moved"] is None or seen["moved"] < TOLERANCE * v0:
             break
     # loss = Re(conj(I) . Z I) per branch
     loss = F.lit(0.0)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wattledger.functions.numeric import rnd
 from wattledger.scale import top_rows
-from wattledger.session import materialize
+from wattledger.session import materialize, materialize_with
 
 KEY = ["feeder_id", "node"]
 EXTRA_ID_LIMIT = 20
@@ -106,9 +106,10 @@ def build_tree(parent: DataFrame, node: DataFrame, label: str = "tree") -> Tree:
     levels: list[DataFrame] = []
     reach, before = 1, -1
     while True:
-        state = materialize(state, label)
+        full = F.count(F.when(F.col("hops") == reach, 1))
+        state, seen = materialize_with(state, label, active=full)
         level = state.where(F.col("hops") == reach)
-        active = level.count()
+        active = seen["active"]
         if active == 0 or active == before:
             break
         levels.append(level.select(*KEY, F.col("ptr").alias("anc"), F.lit(reach).alias("step"), "dist", "r", "x"))
@@ -326,6 +327,11 @@ def extra_edges(net: Network) -> DataFrame:
     return net.edge.join(net.parent.select("feeder_id", "segment_id"), ["feeder_id", "segment_id"], "left_anti")
 
 
+def counted_extra_edges(net: Network) -> tuple[DataFrame, int]:
+    extra, seen = materialize_with(extra_edges(net), "extra-edges", n=F.count(F.lit(1)))
+    return extra, seen["n"]
+
+
 def unreachable(net: Network, extra: DataFrame, n_extra: int) -> DataFrame:
     """Nodes no path from the source reaches, second feeds included."""
     roots = net.tree.roots.select(*KEY, "root")
@@ -387,8 +393,7 @@ def cyclic_feeders(net: Network, extra: DataFrame, n_extra: int) -> DataFrame:
 
 def validate(net: Network) -> DataFrame:
     """TOPO_CYCLE, TOPO_ISLAND and TOPO_MULTIFEED per feeder with up to 20 example nodes."""
-    extra = materialize(extra_edges(net), "extra-edges")
-    n_extra = extra.count()
+    extra, n_extra = counted_extra_edges(net)
 
     def report(found: DataFrame, rule: str, severity: str, text: str) -> DataFrame:
         size = found.groupBy("feeder_id").agg(F.count(F.lit(1)).alias("n"))

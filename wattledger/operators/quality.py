@@ -194,8 +194,7 @@ def run_rules(t, net: N.Network, zones: DataFrame, load: DataFrame, cfg: dict) -
     segments = materialize(t.segments, "segments")
     pairs = materialize(with_upstream(segments), "segment-pairs")
     below = N.subtree_sum(net.tree.levels, load, ["kw"])
-    extra = materialize(N.extra_edges(net), "extra-edges")
-    lost = N.unreachable(net, extra, extra.count())
+    lost = N.unreachable(net, *N.counted_extra_edges(net))
     parts = [
         sandwich_conductor(pairs, segments, cfg),
         short_change(pairs, cfg),

@@ -191,18 +191,13 @@ def explain_top3(
     """
     head = scores.orderBy(F.col("risk_score").desc(), "customer_unit_id").limit(top_n).select("customer_unit_id")
     weights = weights or {n: 1.0 for n in FEATURES}
-    stats = features.agg(
-        *[F.avg(n).alias(f"m_{n}") for n in FEATURES], *[F.stddev_pop(n).alias(f"s_{n}") for n in FEATURES]
-    ).select(F.struct("*").alias("st")).scalar()
-
-    def reason(n: str) -> Column:
-        sd = F.col(f"st.s_{n}")
-        z = F.when(sd > 1e-12, (F.col(n) - F.col(f"st.m_{n}")) / sd).otherwise(F.lit(0.0)) * weights[n]
-        return F.struct(
-            (-F.round(F.abs(z), 6)).alias("o"), F.lit(n).alias("n"), F.when(z > 0, F.lit("+")).otherwise(F.lit("-")).alias("d")
-        )
-
-    best = F.slice(F.array_sort(F.array(*[reason(n) for n in FEATURES])), 1, 3)
+    moments = [f"{fn}({n}) as {tag}_{n}" for n in FEATURES for fn, tag in (("avg", "m"), ("stddev_pop", "s"))]
+    stats = features.selectExpr(*moments).select(F.struct("*").alias("st")).scalar()
+    reasons = []
+    for n in FEATURES:
+        z = f"if(st.s_{n} > 1e-12, ({n} - st.m_{n}) / st.s_{n}, 0D) * {weights[n]!r}D"
+        reasons.append(f"struct(-round(abs({z}), 6) as o, '{n}' as n, if({z} > 0, '+', '-') as d)")
+    best = F.expr(f"slice(array_sort(array({', '.join(reasons)})), 1, 3)")
     text = F.transform(best, lambda r: F.format_string("%s (%s)", r["n"], r["d"]))
     rows = features.join(head, "customer_unit_id", "left_semi").withColumn("st", stats).withColumn("t", text)
     return rows.select("customer_unit_id", *[F.get("t", F.lit(i)).alias(f"reason_{i + 1}") for i in range(3)])

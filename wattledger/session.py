@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Runtime SQL settings that keep one hot key from pinning a task.  They are only
 # applied where the caller left the engine default in place.
@@ -39,6 +39,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return known
 
 
+def materialize_with(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` that also returns aggregates collected while writing (no extra job)."""
+    seen = Observation()
+    named = [c.alias(name) for name, c in metrics.items()]
+    return materialize(df.observe(seen, *named), label), seen.get
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table.
 
