@@ -519,11 +519,13 @@ formula("f_q_from_p", q_kvar=f"inst * tan(acos({_PFE}))")
 formula("f_s_from_p_pf", s_kva=f"inst / {_PFE}")
 formula("f_s_from_pq", s_kva="sqrt(inst * inst + drp * drp)")
 formula("f_current_3ph", amps="drp * 1000.0 / (sqrt(3.0::DOUBLE) * 13800.0)")
-formula("f_current_1ph", amps_2w=_AMP, amps_3w="drp * 1000.0 / 240.0")
+formula("f_current_1ph_2w", amps=_AMP)
+formula("f_current_1ph_3w", amps="drp * 1000.0 / 240.0")
 formula("f_neutral_current", neutral_a="sqrt(pow(inst + drp * cos(radians(-115.0)) + 3.0 * cos(radians(115.0)), 2) + pow(drp * sin(radians(-115.0)) + 3.0 * sin(radians(115.0)), 2))")
 formula("f_loss_3ph_bal", loss_kw=f"3.0 * {_AMP} * {_AMP} * 0.276::DOUBLE * 0.4::DOUBLE / 1000.0")
 formula("f_loss_3ph_unbal", loss_kw=f"(({_AMP} * {_AMP} + inst * inst + 9.0) * 0.276::DOUBLE + 4.0 * 0.3::DOUBLE) * 0.4::DOUBLE / 1000.0")
-formula("f_loss_1ph", loss_2w_kw=f"2.0 * {_AMP} * {_AMP} * 0.83::DOUBLE * 0.05::DOUBLE / 1000.0", loss_3w_kw=f"(({_AMP} * {_AMP} + inst * inst) * 0.83::DOUBLE + 4.0 * 0.9::DOUBLE) * 0.05::DOUBLE / 1000.0")
+formula("f_loss_1ph_2w", loss_kw=f"2.0 * {_AMP} * {_AMP} * 0.83::DOUBLE * 0.05::DOUBLE / 1000.0")
+formula("f_loss_1ph_3w", loss_kw=f"(({_AMP} * {_AMP} + inst * inst) * 0.83::DOUBLE + 4.0 * 0.9::DOUBLE) * 0.05::DOUBLE / 1000.0")
 formula("f_energy_loss", loss_kwh="inst * 0.2875::DOUBLE * 2190.0")
 formula("f_tx_power_loss", loss_kw="0.145::DOUBLE + 0.55::DOUBLE * pow(drp / 50.0, 2)")
 formula("f_tx_energy_loss", loss_kwh="0.145::DOUBLE * 2190.0 + 0.55::DOUBLE * pow(drp / 50.0, 2) * 0.2875::DOUBLE * 2190.0")
@@ -546,6 +548,8 @@ oracle("bank_load_losses", f"""SELECT site_id, {r('sum(pk_kw * pow(kwh / ' + HT
   JOIN (SELECT transformer_site_id AS site_id, sum(kwh_total) AS kwh FROM demand GROUP BY 1) USING (site_id) GROUP BY 1""")
 oracle("bank_evaluate", f"SELECT feeder_id, site_id, bank_config, {r('capacity_kva', 4)} AS capacity_kva, {r('headroom_kva', 4)} AS single_phase_headroom_kva, {r('p0_sum', 4)} AS p0_total_kw, n_units FROM bk")
 oracle("bank_validate", "SELECT site_id, bank_config, n_units, bank_quality_flags FROM bk WHERE bank_quality_flags <> ''")
+for _n in ("P03", "P04"):
+    oracle(_n, f"SELECT site_id, bank_config, n_units FROM bk WHERE contains(bank_quality_flags, '{_n}')")
 oracle("tx_site_loss", f"SELECT site_id, {r('loss_kwh', 1)} AS loss_kwh FROM load")
 oracle("secondary_loss", f"SELECT feeder_id, {r(f'(billed + ap) * {_SEC!r}::DOUBLE * {FP!r}::DOUBLE', 1)} AS loss_kwh FROM bin")
 oracle("loadability_class", "SELECT site_id, loadability, loadability_class FROM ldt")
@@ -636,6 +640,11 @@ oracle("exec_report_risk", "SELECT feeder_id, CAST(rn AS INTEGER) AS rank, custo
 oracle("exec_report_split", " UNION ALL ".join(
     f"SELECT feeder_id, '{n}' AS part, {c} AS kwh FROM bal" for n, c in (("Facturada", "energy_billed_kwh"), ("Alumbrado", "energy_streetlight_kwh"), ("Técnicas", "energy_technical_kwh"), ("PNT", "pnt_kwh"))
 ))
+oracle("exec_report_tables", """SELECT 'sites' AS "table", feeder_id, CAST(rn AS VARCHAR) AS line, site_id AS item, s_max_kva AS value FROM (SELECT *, row_number() OVER (PARTITION BY feeder_id ORDER BY loadability DESC NULLS LAST, site_id) AS rn FROM ldt) WHERE rn <= 10
+  UNION ALL SELECT 'customers', feeder_id, CAST(rn AS VARCHAR), customer_unit_id, risk_score FROM (SELECT *, row_number() OVER (PARTITION BY feeder_id ORDER BY risk_score DESC, customer_unit_id) AS rn FROM risk) WHERE rn <= 10
+  UNION ALL """ + " UNION ALL ".join(
+    f"SELECT 'energy', feeder_id, '', '{n}', {c} FROM bal" for n, c in (("Facturada", "energy_billed_kwh"), ("Alumbrado", "energy_streetlight_kwh"), ("Técnicas", "energy_technical_kwh"), ("PNT", "pnt_kwh"))
+))
 oracle("inspection_sheet_tables", """SELECT p.site_id, p.feeder_id, roi, benefit_usd, visit_seq, day, CAST(rn AS INTEGER) AS rank, customer_unit_id, risk_score, coalesce(nullif(checklist, ''), 'Inspección visual de acometidas y medidores') AS checklist
   FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY risk_score DESC, customer_unit_id) AS rn FROM rreason) x JOIN plan p USING (site_id) LEFT JOIN why USING (site_id) WHERE rn <= 30""")
 oracle("dashboard_aggs", f"""SELECT 'kpi' AS panel, 'feeders' AS item, '' AS detail, count(*)::DOUBLE AS value FROM bal UNION ALL SELECT 'kpi', 'progress_pct', '', 50.0
@@ -714,6 +723,8 @@ oracle("threshold_sweep", " UNION ALL ".join(
 ))
 oracle("peer_percentile", f"SELECT transformer_site_id, tariff_class, n, {r('p05', 4)} AS p05 FROM p05")
 
+oracle("quantile", "SELECT site_id, count(*) AS n, " + ", ".join(f"{r(f'quantile_cont(mean_kwh, {p})', 4)} AS q{int(p * 100)}" for p in (0.25, 0.5, 0.75)) + " FROM mean GROUP BY 1")
+
 # --- oracles: features, risk --------------------------------------------------
 
 oracle("feat_cutoff", f"SELECT customer_unit_id, {r('avg(kwh)', 4)} AS mean_12 FROM (SELECT *, row_number() OVER (PARTITION BY customer_unit_id ORDER BY year_month DESC) AS back FROM cons WHERE year_month <= '1999-12') WHERE back <= 12 GROUP BY 1")
@@ -800,6 +811,8 @@ oracle("ranking_feeders", "SELECT feeder_id, pnt_pct, technical_pct, pnt_kwh, to
 oracle("ranking_sites", "SELECT site_id, feeder_id, benefit_usd, roi FROM cand ORDER BY roi DESC, site_id LIMIT 500")
 oracle("ranking_customer_units", "SELECT customer_unit_id, risk_score FROM risk ORDER BY risk_score DESC, customer_unit_id LIMIT 1000")
 oracle("ranking_zones", "SELECT feeder_id, zone_id, unaccounted_load_kw FROM zest")
+oracle("rankings", """SELECT 'feeders' AS ranking, feeder_id AS item, pnt_kwh AS value FROM bal UNION ALL SELECT 'sites', site_id, roi FROM (SELECT * FROM cand ORDER BY roi DESC, site_id LIMIT 500)
+  UNION ALL SELECT 'customer_units', customer_unit_id, risk_score FROM (SELECT * FROM risk ORDER BY risk_score DESC, customer_unit_id LIMIT 1000) UNION ALL SELECT 'zones', feeder_id || '/' || zone_id, unaccounted_load_kw FROM zest""")
 _KB = {cpv: int(BUD["field_usd"] / cpv) for cpv in BUD["cost_per_visit_grid"]}
 oracle("campaign_summary", f"""SELECT {BUD['field_usd']!r}::DOUBLE AS budget_field_usd, {r(f'{_DIRECTED!r}::DOUBLE', 0)} AS directed_budget_usd, {r(repr(BUD['field_usd'] * BUD['exploration_reserve_frac']), 0)} AS exploration_budget_usd, n AS sites_selected,
   (SELECT count(*) FROM expl) AS exploration_sites, n AS visits_total, {r('ben', 0)} AS expected_benefit_usd, {r('kwh', 0)} AS expected_recoverable_kwh_month, {r('cost', 0)} AS cost_spent_usd, {r('ben / greatest(1.0, cost)', 2)} AS roi_campaign,

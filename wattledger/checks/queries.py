@@ -33,6 +33,7 @@ from wattledger.operators import (
     transfers as T,
 )
 from wattledger.plans.run import Run, inspection_plan
+from wattledger.scale import quantiles
 from wattledger.session import checkpoint_root, materialize
 from wattledger.sources import lake as K
 from wattledger.sources.bench_tables import BenchTables, bench_settings
@@ -342,21 +343,18 @@ _formula("f_q_from_p", q_kvar=lambda: E.q_from_p(_inst, E.pf_from_energy(_e, _q)
 _formula("f_s_from_p_pf", s_kva=lambda: E.s_from_p(_inst, E.pf_from_energy(_e, _q)))
 _formula("f_s_from_pq", s_kva=lambda: E.s_from_pq(_inst, F.col(_drop)))
 _formula("f_current_3ph", amps=lambda: E.current_3ph(F.col(_drop), F.lit(13800.0)))
-_formula(
-    "f_current_1ph",
-    amps_2w=lambda: E.current_1ph(F.col(_drop), F.lit(220.0)),
-    amps_3w=lambda: E.current_1ph(F.col(_drop), F.lit(240.0)),
-)
+_formula("f_current_1ph_2w", amps=lambda: E.current_1ph(F.col(_drop), F.lit(220.0)))
+_formula("f_current_1ph_3w", amps=lambda: E.current_1ph(F.col(_drop), F.lit(240.0)))
 _formula("f_neutral_current", neutral_a=lambda: E.neutral_current(_inst, _drop, F.lit(3.0), 0.0, 5.0, -5.0))
 _formula("f_loss_3ph_bal", loss_kw=lambda: E.conductor_loss_3ph(_amps(), F.lit(0.276), F.lit(0.4)))
 _formula(
     "f_loss_3ph_unbal",
     loss_kw=lambda: E.conductor_loss_3ph_unbalanced(_amps(), F.col(_inst), F.lit(3.0), F.lit(2.0), F.lit(0.276), F.lit(0.3), F.lit(0.4)),
 )
+_formula("f_loss_1ph_2w", loss_kw=lambda: E.conductor_loss_1ph_2w(_amps(), F.lit(0.83), F.lit(0.05)))
 _formula(
-    "f_loss_1ph",
-    loss_2w_kw=lambda: E.conductor_loss_1ph_2w(_amps(), F.lit(0.83), F.lit(0.05)),
-    loss_3w_kw=lambda: E.conductor_loss_1ph_3w(_amps(), F.col(_inst), F.lit(2.0), F.lit(0.83), F.lit(0.9), F.lit(0.05)),
+    "f_loss_1ph_3w",
+    loss_kw=lambda: E.conductor_loss_1ph_3w(_amps(), F.col(_inst), F.lit(2.0), F.lit(0.83), F.lit(0.9), F.lit(0.05)),
 )
 _formula("f_energy_loss", loss_kwh=lambda: E.energy_loss_kwh(F.col(_inst), F.lit(0.2875), F.lit(2190.0)))
 _formula("f_tx_power_loss", loss_kw=lambda: E.tx_power_loss_kw(F.lit(0.145), F.lit(0.55), F.col(_drop), F.lit(50.0)))
@@ -434,6 +432,18 @@ def _(run):
     return rows.where("bank_quality_flags <> ''").select("site_id", "bank_config", "n_units", "bank_quality_flags")
 
 
+def _bank_rule(name: str):
+    def build(run):
+        rows = bank.banks(run.t.sites, run.t.transformer_units, run.cfg)
+        return rows.where(F.array_contains(F.split("bank_quality_flags", ","), name)).select("site_id", "bank_config", "n_units")
+
+    query(name)(build)
+
+
+_bank_rule("P03")
+_bank_rule("P04")
+
+
 @query("tx_site_loss")
 def _(run):
     return run.loading.select("site_id", rnd("loss_kwh", 1).alias("loss_kwh"))
@@ -608,6 +618,21 @@ def _(run):
     return reports.executive_split(run.balance)
 
 
+@query("exec_report_tables")
+def _(run):
+    """All executive tables in one long form."""
+    sites = reports.executive_sites(run.loadability).select(
+        F.lit("sites").alias("table"), "feeder_id", F.col("rank").cast("string").alias("line"), F.col("site_id").alias("item"), F.col("s_max_kva").alias("value")
+    )
+    meters = reports.executive_risk(run.proxy_risk).select(
+        F.lit("customers").alias("table"), "feeder_id", F.col("rank").cast("string").alias("line"), F.col("customer_unit_id").alias("item"), F.col("risk_score").alias("value")
+    )
+    split = reports.executive_split(run.balance).select(
+        F.lit("energy").alias("table"), "feeder_id", F.lit("").alias("line"), F.col("part").alias("item"), F.col("kwh").alias("value")
+    )
+    return sites.unionByName(meters).unionByName(split)
+
+
 @query("inspection_sheet_tables")
 def _(run):
     risk_rows = _risk_with_reasons(run)
@@ -845,6 +870,13 @@ def _(run):
     return rows.select(*keys, F.col("n").cast("long").alias("n"), rnd("p05", 4).alias("p05"))
 
 
+@query("quantile")
+def _(run):
+    probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    rows = quantiles(L.meter_means(run.series, run.t.customers), ["site_id"], "mean_kwh", probs)
+    return rows.select("site_id", F.col("n").cast("long").alias("n"), *[rnd(q, 4).alias(q) for q in probs])
+
+
 # --- features -----------------------------------------------------------------
 
 
@@ -1209,6 +1241,23 @@ def _(run):
     return C.ranking_zones(zones).select("feeder_id", "zone_id", "unaccounted_load_kw")
 
 
+@query("rankings")
+def _(run):
+    """The four rankings in one long form."""
+    zones = state.zone_reconcile(run.estimate, run.t.sites, run.node_zone)
+    parts = {
+        "feeders": (C.ranking_feeders(run.balance), F.col("feeder_id"), "pnt_kwh"),
+        "sites": (C.ranking_sites(_candidates(run)), F.col("site_id"), "roi"),
+        "customer_units": (C.ranking_units(run.proxy_risk), F.col("customer_unit_id"), "risk_score"),
+        "zones": (C.ranking_zones(zones), F.concat_ws("/", "feeder_id", "zone_id"), "unaccounted_load_kw"),
+    }
+    out = None
+    for name, (rows, key, value) in parts.items():
+        part = rows.select(F.lit(name).alias("ranking"), key.alias("item"), F.col(value).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _plan(run):
     return inspection_plan(run, _risk_with_reasons(run), _light_reliability(run))
 
