@@ -41,11 +41,12 @@ def outage_energy(events: DataFrame) -> DataFrame:
     )
 
 
-def site_loading(t, demand: DataFrame, cfg: dict) -> DataFrame:
+def site_loading(t, demand: DataFrame, head: DataFrame, cfg: dict) -> DataFrame:
     """Unrounded capacity, demand, ratio and loss per site.
 
-    ``t`` holds the entity tables, ``demand`` is ``loadpoint.metered(t, cfg)``.  Units,
-    meters, lamps and load points are stacked and reduced by site in one shuffle.
+    ``t`` holds the entity tables, ``demand`` is ``loadpoint.metered(t, cfg)`` and ``head``
+    is ``header_totals``.  Units, meters, lamps and load points are stacked and reduced
+    by site in one shuffle.
     """
     e = cfg["electrical"]
     site = F.col("transformer_site_id").alias("site_id")
@@ -63,11 +64,10 @@ def site_loading(t, demand: DataFrame, cfg: dict) -> DataFrame:
         F.sum("point_kva").alias("point_kva"),
         F.count("point_kva").alias("n_points"),
     )
-    head = header_totals(t.header_meters).select("feeder_id", "n_periods")
     config = F.col("bank_config")
     sites = (
         t.sites.join(totals.where("n_units > 0"), "site_id")
-        .join(head, "feeder_id")
+        .join(head.select("feeder_id", "n_periods"), "feeder_id")
         .withColumn("capacity_kva", bank.capacity(config, cfg["thresholds"]["open_delta_factor"]))
         .withColumn("headroom_kva", bank.headroom(config))
         .withColumn("bank_quality_flags", bank.quality_flags(config))
@@ -160,7 +160,7 @@ def close_balance(inputs: DataFrame, cfg: dict) -> DataFrame:
     )
 
 
-def balance_inputs(t, demand: DataFrame, cfg: dict) -> DataFrame:
+def balance_inputs(t, demand: DataFrame, head: DataFrame, cfg: dict) -> DataFrame:
     """One row per feeder with a head meter.
 
     All sources are stacked under one feeder key, so the whole balance is a single
@@ -169,12 +169,12 @@ def balance_inputs(t, demand: DataFrame, cfg: dict) -> DataFrame:
     faults = t.switching_events.where(F.col("motivo") == "falla")
     one = F.lit(1).cast("long")
     parts = {
-        "head": t.header_meters.select("feeder_id", F.col("kwh").alias("header"), one.alias("n_periods")),
+        "head": head.select("feeder_id", F.col("energy_header").alias("header"), "n_periods"),
         "meter": demand.select("feeder_id", F.col("kwh_total").alias("billed"), one.alias("n_customers")),
         "lamp": t.streetlights.select("feeder_id", lighting.lamp_kw(cfg).alias("lamp_kw"), one.alias("n_streetlights")),
         "fault": faults.select("feeder_id", (F.col("duration_h") * F.col("affected_kw")).alias("ens")),
         "site": t.sites.select("feeder_id", one.alias("n_tx_sites")),
-        "loss": site_loading(t, demand, cfg).select("feeder_id", F.col("loss_kwh").alias("site_loss")),
+        "loss": site_loading(t, demand, head, cfg).select("feeder_id", F.col("loss_kwh").alias("site_loss")),
     }
     names = ("header", "n_periods", "billed", "n_customers", "lamp_kw", "n_streetlights", "ens", "n_tx_sites", "site_loss")
     rows = stack(parts).groupBy("feeder_id").agg(*[F.sum(n).alias(n) for n in names])
@@ -195,10 +195,6 @@ def balance_inputs(t, demand: DataFrame, cfg: dict) -> DataFrame:
     )
 
 
-def feeder_balance(t, demand: DataFrame, cfg: dict) -> DataFrame:
-    return close_balance(balance_inputs(t, demand, cfg), cfg)
-
-
 def apply_credits(inputs: DataFrame, credits: DataFrame, cfg: dict) -> DataFrame:
     """Balance with the transferred energy credited; every derived column is refreshed."""
     credited = inputs.drop("transferred").join(

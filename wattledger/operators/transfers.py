@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wattledger.functions.numeric import rnd
 from wattledger.operators import series as S
 from wattledger.scale import running
+from wattledger.session import materialize
 
 PAIR_BLOCKS = 8
 
@@ -70,7 +71,7 @@ def infer_transfers(header: DataFrame, cfg: dict) -> DataFrame:
     faller, and the pair keys are spread over a block grid so no task holds them all.
     """
     th = cfg["thresholds"]
-    rows = head_profiles(header).where(F.col("n_months") >= 6)
+    rows = materialize(head_profiles(header).where(F.col("n_months") >= 6), "head-profiles")
     block = F.pmod(F.xxhash64("feeder_id"), F.lit(PAIR_BLOCKS))
     grid = F.explode(F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1)).cast("array<bigint>"))
     rising = rows.where("shift > 0").withColumn("bu", block).withColumn("bd", grid)
@@ -102,7 +103,7 @@ def infer_transfers(header: DataFrame, cfg: dict) -> DataFrame:
 
 def quantify(header: DataFrame, transfers: DataFrame) -> DataFrame:
     """Transferred energy credited per feeder: whoever gained load is debited."""
-    profile = head_profiles(header).select("feeder_id", "mean_month", "n_months")
+    profile = materialize(head_profiles(header).select("feeder_id", "mean_month", "n_months"), "head-means")
     a = profile.select(F.col("feeder_id").alias("feeder_a"), F.col("mean_month").alias("ma"), "n_months")
     b = profile.select(F.col("feeder_id").alias("feeder_b"), F.col("mean_month").alias("mb"))
     half = F.greatest(F.floor(F.col("n_months") / 2), F.lit(1))

@@ -32,8 +32,12 @@ class Run:
         return materialize(loadpoint.meter_demand(self.energy, self.t.customers, self.cfg), "meter-demand")
 
     @cached_property
+    def head(self) -> DataFrame:
+        return materialize(B.header_totals(self.t.header_meters), "head")
+
+    @property
     def head_periods(self) -> DataFrame:
-        return B.header_totals(self.t.header_meters).select("feeder_id", "n_periods")
+        return self.head.select("feeder_id", "n_periods")
 
     @cached_property
     def load_points(self) -> DataFrame:
@@ -41,7 +45,7 @@ class Run:
 
     @cached_property
     def loading(self) -> DataFrame:
-        return B.site_loading(self.t, self.demand, self.cfg)
+        return B.site_loading(self.t, self.demand, self.head, self.cfg)
 
     @cached_property
     def loadability(self) -> DataFrame:
@@ -49,7 +53,7 @@ class Run:
 
     @cached_property
     def balance_inputs(self) -> DataFrame:
-        return B.balance_inputs(self.t, self.demand, self.cfg)
+        return B.balance_inputs(self.t, self.demand, self.head, self.cfg)
 
     @cached_property
     def balance(self) -> DataFrame:
