@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 from wattledger import scale
 
 
-@pytest.fixture()
-def sliced(monkeypatch):
-    monkeypatch.setattr(scale, "SMALL_GROUP", 0)
-
-
 @pytest.fixture()
 def rows():
     rng = random.Random(7)
@@ -25,7 +20,7 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "g string, id long, v double").repartition(5)
 
 
-def test_running_matches_sorted_cumsum(spark, rows, sliced):
+def test_running_matches_sorted_cumsum(spark, rows):
     got = scale.running(frame(spark, rows), ["g"], [F.col("v").desc(), F.col("id").asc()], {"acc": "v"})
     got = {(r.g, r.id): (r.pos, r.acc) for r in got.collect()}
     for g in {r[0] for r in rows}:
@@ -35,15 +30,13 @@ def test_running_matches_sorted_cumsum(spark, rows, sliced):
             assert got[(g, i)] == (pos, acc)
 
 
-def test_global_running(spark, rows, sliced):
+def test_global_running(spark, rows):
     got = scale.running(frame(spark, rows), [], [F.col("id").asc()], {"acc": "v"})
     want = np.cumsum([r[2] for r in sorted(rows, key=lambda r: r[1])])
     assert [r.acc for r in got.orderBy("id").collect()] == list(want)
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_quantiles_match_numpy(spark, rows, monkeypatch, limit):
-    monkeypatch.setattr(scale, "SMALL_GROUP", limit)
+def test_quantiles_match_numpy(spark, rows):
     got = {r.g: r for r in scale.quantiles(frame(spark, rows), ["g"], "v", {"med": 0.5, "p05": 0.05, "p90": 0.9}).collect()}
     for g in {r[0] for r in rows}:
         v = [r[2] for r in rows if r[0] == g]
@@ -52,7 +45,7 @@ def test_quantiles_match_numpy(spark, rows, monkeypatch, limit):
             assert got[g][name] == pytest.approx(np.percentile(v, p))
 
 
-def test_distribution_counts_ties_once(spark, sliced):
+def test_distribution_counts_ties_once(spark):
     rows = [("a", i, float(i // 3)) for i in range(9)]
     got = {r.v: (r.below, r.upto, r.n) for r in scale.distribution(frame(spark, rows), ["g"], "v").collect()}
     assert got == {0.0: (0, 3, 9), 1.0: (3, 6, 9), 2.0: (6, 9, 9)}

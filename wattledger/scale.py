@@ -20,17 +20,6 @@ from wattledger.session import materialize
 _SLICE = "_slice"
 
 
-# A group this small sorts in one task in well under a second.
-SMALL_GROUP = 500_000
-
-
-def _largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    if not group:
-        return df.count()
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
 def running(
     df: DataFrame,
     group: Sequence[str],
@@ -42,29 +31,14 @@ def running(
 
     ``order`` must end in a unique key: ties are kept together by the range
     partitioning, so the key is what lets a hot group be split.  ``sums`` maps an
-    output column to the column that is accumulated.  The input is written once;
-    only if its largest group is measured to be small is a plain window used.
+    output column to the column that is accumulated.  Inputs of every size take this
+    one path: the input is written once, so that sampling the range bounds does not
+    run its plan a second time.
     """
     group, sums = list(group), dict(sums or {})
-    written = materialize(df, "ordered")
-    if _largest_group(written, group) <= SMALL_GROUP:
-        window = Window.partitionBy(*group).orderBy(*order)
-        upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return written.select(
-            *df.columns,
-            F.row_number().over(window).cast("long").alias(position),
-            *[F.sum(src).over(upto).alias(out) for out, src in sums.items()],
-        )
-    return _sliced_running(written, group, order, sums, position)
-
-
-def _sliced_running(
-    df: DataFrame, group: list[str], order: Sequence[Column], sums: dict[str, str], position: str
-) -> DataFrame:
     keys = [F.col(g).asc() for g in group]
-    sliced = materialize(
-        df.repartitionByRange(*keys, *order).withColumn(_SLICE, F.spark_partition_id()), "sliced"
-    )
+    ordered = materialize(df, "ordered").repartitionByRange(*keys, *order)
+    sliced = materialize(ordered.withColumn(_SLICE, F.spark_partition_id()), "sliced")
     totals = sliced.groupBy(*group, _SLICE).agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()]
     )
@@ -112,19 +86,10 @@ def quantiles(
 ) -> DataFrame:
     """Exact grouped quantiles with linear interpolation, plus the group size ``n``.
 
-    The input is written once.  ``percentile`` holds one group's values in one task,
-    so it is used only if the largest group is measured to be small.
+    ``percentile`` would hold one group's values in one task; here every group is read
+    off the sliced ranks of its distinct values.
     """
     keys = list(keys)
-    written = materialize(df.select(*keys, value).where(F.col(value).isNotNull()), "values")
-    if _largest_group(written, keys) <= SMALL_GROUP:
-        points = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q")
-        packed = written.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), points)
-        return packed.select(*keys, "n", *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)])
-    return _sliced_quantiles(written, keys, value, probs)
-
-
-def _sliced_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     ranked = distribution(df, keys, value)
 
     def pick(p: float) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -25,18 +24,24 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for cut points: the cluster's ``spark.checkpoint.dir``.
+    """Folder of this application's cut points, below the cluster's ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests on one machine) gets a local folder.
+    Where the session names none, a one-machine session uses a folder beside its
+    warehouse; on a cluster that is an error, since executors would each write to a disk
+    of their own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    known = spark.conf.get("wattledger.checkpoint.dir", None)
-    if not known:
-        known = tempfile.mkdtemp(prefix="spark-wl-", dir="/tmp")
-        spark.conf.set("wattledger.checkpoint.dir", known)
-    return known
+    if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-cuts"
+    return f"{configured.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Delete this application's cut points; call it when its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize_with(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
