@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattledger.llm import bpe, exact_dedup, license_scan, mixing, token_files, topk_search
+from wattledger.llm import bpe, exact_dedup, license_scan, mixing, near_dedup, token_files, topk_search
 from wattledger.llm.common import documents
 
 #: name of the vocabulary file that the token operators use
@@ -43,6 +43,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("repeats")
 
 
+@query("op2_near_dedup")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 @query("op3_mix_sources")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
