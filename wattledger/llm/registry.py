@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattledger.llm import bpe, exact_dedup, license_scan, mixing, near_dedup, token_files, topk_search
+from wattledger.llm import bpe, exact_dedup, license_scan, mixing, near_dedup, substring_dedup, token_files, topk_search
 from wattledger.llm.common import documents
 
 #: name of the vocabulary file that the token operators use
@@ -58,6 +58,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(documents(spark, sf_dir), tokenizer())
 
 
+@query("op5_substring_dedup")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(documents(spark, sf_dir))
+
+
 @query("op6_bpe_prefix_dp")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer())
