@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattledger.llm import bpe, exact_dedup, license_scan, mixing, near_dedup, substring_dedup, token_files, topk_search
+from wattledger.llm import bpe, exact_dedup, language_id, license_scan, mixing, near_dedup, substring_dedup, token_files, topk_search
 from wattledger.llm.common import documents
 
 #: name of the vocabulary file that the token operators use
@@ -43,6 +43,16 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("repeats")
 
 
+@query("op1_language_id")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(language_id.of_documents(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
+
+
+@query("language_id_pages")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(language_id.of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))).withColumnRenamed("id", "page_id")
+
+
 @query("op2_near_dedup")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
