@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattledger.llm import bpe, exact_dedup, language_id, license_scan, mixing, near_dedup, substring_dedup, token_files, topk_search
+from wattledger.llm import bpe, exact_dedup, language_id, license_scan, mixing, near_dedup, pii, substring_dedup, token_files, topk_search
 from wattledger.llm.common import documents
 
 #: name of the vocabulary file that the token operators use
@@ -78,6 +78,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer())
 
 
+@query("op8_pii_bootstrap")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(documents(spark, sf_dir))
+
+
 @query(
     "op9_exact_topk",
     """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
