@@ -32,6 +32,9 @@ END_ID = 2
 #: how ``.doc`` writes a null doc_id
 NO_ID = -(1 << 63)
 
+#: unknown words that go to the library as one text
+LED_WORDS = 1000
+
 _ENCODERS: dict[str, tuple[UnitEncoder, str]] = {}
 
 
@@ -49,7 +52,22 @@ def _encoder(path: str) -> tuple[UnitEncoder, str]:
         def encode_many(texts: list[str]) -> list[bytes]:
             return [np.array(e.ids, width).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
 
-        _ENCODERS[path] = UnitEncoder(encode_many), width
+        # a token with a blank in front opens a word: so many words can be encoded as one text
+        opens = np.zeros(library.get_vocab_size(), bool)
+        blank = library.encode(" ", add_special_tokens=False).tokens[0]
+        opens[[i for token, i in library.get_vocab().items() if token.startswith(blank)]] = True
+
+        def encode_led(words: list[str]) -> list[bytes]:
+            out: list[bytes] = []
+            for i in range(0, len(words), LED_WORDS):
+                some = words[i : i + LED_WORDS]
+                ids = np.array(library.encode(" " + " ".join(some), add_special_tokens=False).ids, width)
+                packed, cuts = ids.tobytes(), np.append(np.flatnonzero(opens[ids]), len(ids)) * ids.itemsize
+                cuts = cuts.tolist()
+                out += [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+            return out
+
+        _ENCODERS[path] = UnitEncoder(encode_many, encode_led), width
     return _ENCODERS[path]
 
 

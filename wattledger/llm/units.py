@@ -9,24 +9,33 @@ its units.  A text with any other blank is encoded whole.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain, islice
 
-#: units that a worker remembers; beyond them it starts anew
-CACHE_UNITS = 400_000
+#: units that a worker remembers (about 150 MB); beyond them it starts anew
+CACHE_UNITS = 800_000
 
 
 class UnitEncoder:
-    """texts -> ids, as packed bytes, through ``encode_many`` (list of texts -> list of packed ids)."""
+    """texts -> ids, as packed bytes.
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], units: int = CACHE_UNITS):
-        self.encode_many, self.most = encode_many, units
+    ``encode_many`` packs the ids of whole texts; ``encode_led`` those of words with a
+    blank before each (by default, ``encode_many`` of just that).
+    """
+
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], encode_led: Callable[[list[str]], list[bytes]] | None = None, most: int = CACHE_UNITS):
+        self.encode_many, self.most = encode_many, most
+        self.encode_led = encode_led or (lambda words: encode_many([" " + w for w in words]))
         self.inner: dict[str, bytes | None] = {}
         self.first: dict[str, bytes | None] = {"": b""}
 
-    def _learn(self, cache: dict, seen: set[str], lead: str) -> None:
-        new = [u for u in seen if u not in cache]
-        regular = [u for u in new if u and not u[-1].isspace() and not (lead and u[0].isspace())]
-        cache.update(dict.fromkeys(new))
-        cache.update(zip(regular, self.encode_many([lead + u for u in regular])))
+    @staticmethod
+    def _learn(cache: dict, seen: set[str], encode: Callable[[list[str]], list[bytes]]) -> None:
+        new = list(seen.difference(cache))
+        # a unit next to other white space has no ids of its own
+        regular = [u for u in new if u and not u[-1].isspace() and not u[0].isspace()]
+        if len(regular) < len(new):
+            cache.update(dict.fromkeys(new))
+        cache.update(zip(regular, encode(regular)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.inner) > self.most:
@@ -34,15 +43,14 @@ class UnitEncoder:
         if len(self.first) > self.most:
             self.first = {"": b""}
         split = [t.split(" ") for t in texts]
-        self._learn(self.first, {s[0] for s in split}, "")
-        self._learn(self.inner, {u for s in split for u in s[1:]}, " ")
+        self._learn(self.first, {s[0] for s in split}, self.encode_many)
+        self._learn(self.inner, set(chain.from_iterable(islice(s, 1, None) for s in split)), self.encode_led)
         out: list[bytes | None] = []
-        get, whole = self.inner.__getitem__, []
+        first, get, whole = self.first.__getitem__, self.inner.__getitem__, []
         for i, s in enumerate(split):
-            head = self.first[s[0]]
             try:
-                out.append(head + b"".join(map(get, s[1:])))
-            except TypeError:  # a unit next to other white space has no ids of its own
+                out.append(first(s[0]) + b"".join(map(get, islice(s, 1, None))))
+            except TypeError:
                 out.append(None)
                 whole.append(i)
         for i, ids in zip(whole, self.encode_many([texts[i] for i in whole])):
