@@ -38,10 +38,14 @@ PERCENT = 80
 MOST_TEMPLATES, MOST_WORDS = 500, 500
 
 
-def normal_words(text: Column) -> Column:
-    """Lower-case words; only ASCII letters and digits stay."""
-    clean = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9]+", " "), "^ | $", "")
-    return F.filter(F.split(F.lower(clean), " "), lambda w: w != "")
+def normal(text: Column) -> Column:
+    """Lower-case text in which blanks part the words; only ASCII letters, digits and line ends stay."""
+    return F.lower(F.regexp_replace(text, "[^A-Za-z0-9\\n]+", " "))
+
+
+def words_of(line: Column) -> Column:
+    """Words of a normalised line; one empty word if there is none."""
+    return F.split(F.trim(line), " ")
 
 
 def bigrams(words: Column) -> Column:
@@ -55,7 +59,7 @@ def template_sets(spark: SparkSession, templates: Mapping[str, str]) -> list[tup
     if len(templates) > MOST_TEMPLATES or any(len(t.split()) > MOST_WORDS for t in templates.values()):
         raise ValueError(f"at most {MOST_TEMPLATES} templates of {MOST_WORDS} words")
     rows = spark.createDataFrame(sorted(templates.items()), "license string, template string")
-    return [(r["license"], r["bg"]) for r in rows.select("license", bigrams(normal_words(F.col("template"))).alias("bg")).orderBy("license").collect() if r["bg"]]
+    return [(r["license"], r["bg"]) for r in rows.select("license", bigrams(words_of(normal(F.col("template")))).alias("bg")).orderBy("license").collect() if r["bg"]]
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
@@ -73,10 +77,22 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, percent: int
     sets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(len(bg)).alias("b"), F.array(*map(F.lit, bg)).alias("bg")) for i, (_, bg) in enumerate(known)])
     names = F.array(*[F.lit(name) for name, _ in known])
     every = F.array(*[F.lit(x) for x in sorted({x for _, bg in known for x in bg})])
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, bg in known for x in bg for w in x.split(" ")})])
     low, high = min(len(bg) for _, bg in known), max(len(bg) for _, bg in known)
     near = lambda a, b: (a * (200 - percent) >= b * percent) & (b * (200 - percent) >= a * percent)
     may_fit = lambda bg: (F.size(bg) * (200 - percent) >= low * percent) & (F.size(bg) * percent <= high * (200 - percent)) & F.arrays_overlap(bg, every)
 
+    def worth_comparing(words: Column) -> Column:
+        """False only for lines that no template can match, by their numbers of words alone.
+
+        A match leaves at most (200 - 2 * percent) / (200 - percent) of a line's bigrams, and half as many
+        as the largest template has, unshared; and every unknown word is in an unshared bigram, two
+        words at most in one.
+        """
+        strange = F.size(F.array_except(words, vocabulary))
+        most = F.size(words) - 1
+        return (most * (200 - percent) >= low * percent) & (strange * (200 - percent) <= most * 2 * (200 - 2 * percent)) & (strange * percent <= high * 2 * (200 - 2 * percent))
+
     def best(bg: Column) -> Column:
         def score(t: Column) -> Column:
             common, sizes = F.size(F.array_intersect(bg, t["bg"])), F.size(bg) + t["b"]
@@ -86,8 +102,9 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, percent: int
         return F.array_max(F.filter(F.transform(sets, score), lambda x: x.isNotNull()))
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(F.split(text, "\n"), lambda line: line != "").alias("lines"))
-    compared = lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.filter(F.transform("lines", lambda x: bigrams(normal_words(x))), may_fit).alias("sets"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split(text, "\n"), lambda line: line != "")).cast("long").alias("n_lines"), F.split(normal(text), "\n").alias("lines"))
+    lines = own.select("doc_id", "n_lines", F.filter(F.transform("lines", words_of), worth_comparing).alias("lines"))
+    compared = lines.select("doc_id", "n_lines", F.filter(F.transform("lines", bigrams), may_fit).alias("sets"))
     hits = compared.select("doc_id", "n_lines", F.filter(F.transform("sets", best), lambda x: x.isNotNull()).alias("hits"))
     name = lambda hit: F.element_at(names, (1 - hit["first"]).cast("int"))
     top = F.array_max("hits")
