@@ -71,13 +71,9 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-def null_safe(frame: DataFrame, other: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join in which null keys meet; the keys of ``other`` do not come out."""
-    renamed = other.withColumnsRenamed({c: f"_other_{c}" for c in on})
-    condition = F.lit(True)
-    for c in on:
-        condition &= frame[c].eqNullSafe(renamed[f"_other_{c}"])
-    return frame.join(renamed, condition, how).drop(*[f"_other_{c}" for c in on])
+def own_columns(frame: DataFrame) -> list[Column]:
+    """The frame's columns by name, whatever characters the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in frame.columns]
 
 
 def _place(column: str) -> tuple[Column, Column]:
@@ -91,15 +87,19 @@ def _place(column: str) -> tuple[Column, Column]:
 def membership(keys: DataFrame, column: str) -> DataFrame:
     """One-hash Bloom filter of a key column as a table of at most FILTER_BITS / 64 rows (slot, bits)."""
     slot, bit = _place(column)
-    known = keys.where(F.col(column).isNotNull()).select(slot.alias("_slot"), bit.alias("_bit"))
-    return known.groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    known = keys.where(F.col(column).isNotNull()).select(slot.alias("__members_slot"), bit.alias("__members_bit"))
+    return known.groupBy("__members_slot").agg(F.bit_or("__members_bit").alias("__members_bits"))
 
 
 def _against(rows: DataFrame, keys: DataFrame, column: str, how: str) -> DataFrame:
     slot, bit = _place(column)
-    placed = rows.withColumns({"_key_slot": slot, "_key_bit": bit})
-    hit = (F.col("_key_slot") == F.col("_slot")) & (F.col("_key_bit").bitwiseAND(F.col("_bits")) != 0)
-    return placed.join(F.broadcast(membership(keys, column)), hit, how).drop("_key_slot", "_key_bit")
+    hit = (slot == F.col("__members_slot")) & (bit.bitwiseAND(F.col("__members_bits")) != 0)
+    return rows.join(F.broadcast(membership(keys, column)), hit, how)
+
+
+def _exactly(rows: DataFrame, keys: DataFrame, column: str, how: str) -> DataFrame:
+    known = keys.select(F.col(column).alias("__members_key")).distinct()
+    return rows.join(known, F.col(column) == F.col("__members_key"), how)
 
 
 def maybe_members(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
@@ -113,7 +113,7 @@ def maybe_members(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
 def only_members(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Rows whose key is among ``keys``; only candidates are shuffled."""
-    return maybe_members(rows, keys, column).join(keys.select(column).distinct(), column, "left_semi")
+    return _exactly(maybe_members(rows, keys, column), keys, column, "left_semi")
 
 
 def without_members(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
@@ -121,6 +121,5 @@ def without_members(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
     Rows that the filter rules out pass as they are; only the others are shuffled for the exact anti join.
     """
-    sure = _against(rows, keys, column, "left_anti")
-    rest = maybe_members(rows, keys, column).join(keys.select(column).distinct(), column, "left_anti")
-    return sure.unionByName(rest.select(sure.columns))
+    rest = _exactly(maybe_members(rows, keys, column), keys, column, "left_anti")
+    return _against(rows, keys, column, "left_anti").union(rest)

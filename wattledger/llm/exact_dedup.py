@@ -181,5 +181,6 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     decisions = materialize(exact_dedup(docs), "exact")
     losers = decisions.where(~F.col("kept")).select("doc_id")
     repeated = decisions.where(F.col("kept") & (F.col("repeats") > 1) & F.col("doc_id").isNotNull()).select("doc_id")
-    once = common.only_members(docs, repeated, "doc_id").join(losers.distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
-    return common.without_members(docs, losers.union(repeated), "doc_id").select(docs.columns).unionByName(once)
+    # of rows that repeat a doc_id with its text, one stays
+    once = common.without_members(common.only_members(docs, repeated, "doc_id"), losers, "doc_id").dropDuplicates(["doc_id"])
+    return common.without_members(docs, losers.union(repeated), "doc_id").union(once)

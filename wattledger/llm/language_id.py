@@ -192,4 +192,4 @@ def of_pages(pages: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """``docs`` without the rejected rows, all columns as they came; rows without doc_id stay."""
     verdicts = materialize(identify(of_documents(docs)), "language")
-    return common.without_members(docs, verdicts.where(~F.col("accepted")).select(F.col("id").alias("doc_id")), "doc_id").select(docs.columns)
+    return common.without_members(docs, verdicts.where(~F.col("accepted")).select(F.col("id").alias("doc_id")), "doc_id")

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattledger.llm.common import WORD
+from wattledger.llm.common import WORD, own_columns
 from wattledger.scale import running
 from wattledger.session import materialize
 
@@ -124,6 +124,7 @@ def take(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id or without words are in the mix zero times.
     """
-    plan = mix(docs).where((F.col("copies") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("copies").alias("_copies"))
-    times = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_time")
-    return docs.join(plan, "doc_id").select(*docs.columns, times).drop("_time")
+    chosen = mix(docs).where((F.col("copies") > 0) & F.col("doc_id").isNotNull())
+    plan = chosen.groupBy(F.col("doc_id").alias("__mix_id")).agg(F.min("copies").alias("__mix_copies"))
+    times = F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("__mix_time")
+    return docs.join(plan, F.col("doc_id") == F.col("__mix_id")).select(*own_columns(docs), times).drop("__mix_time")

@@ -178,4 +178,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with the smallest doc_id of every group of near copies, all columns as they came."""
     verdicts = materialize(near_duplicates(docs), "near")
-    return common.without_members(docs, verdicts.where(~F.col("kept")).select("doc_id"), "doc_id").select(docs.columns)
+    return common.without_members(docs, verdicts.where(~F.col("kept")).select("doc_id"), "doc_id")
