@@ -142,9 +142,10 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // GROUP))
     nodes = suffixes.repartitionByRange(groups, "head", "whole", "doc_id").mapInArrow(_deep_nodes, _NODE)
     nodes = materialize(nodes, "nodes")
-    ends = nodes.where(F.col("kind") == END).select("head", "whole", F.col("part").alias("before"), F.col("doc_id").alias("smallest"))
+    # the order is by document within a node, so its first group holds its smallest document
+    ends = nodes.where(F.col("kind") == END).groupBy("head", "whole").agg(F.min("part").alias("begun"), F.min("doc_id").alias("smallest"))
     opened = nodes.where(F.col("kind") == OPEN)
-    late = opened.join(ends, ["head", "whole"]).where((F.col("before") < F.col("part")) & (F.col("smallest") < F.col("doc_id"))).select("doc_id", "at").distinct()
+    late = opened.join(ends, ["head", "whole"]).where((F.col("begun") < F.col("part")) & (F.col("smallest") < F.col("doc_id"))).select("doc_id", "at").distinct()
     return nodes.where(F.col("kind") == REPEAT).select("doc_id", "at").union(late), seconds
 
 
