@@ -1,15 +1,18 @@
 """Near-duplicate groups by a chosen-path similarity join.
 
 A document is the set of its five-word shingles, and stands for all documents with the
-same set.  It is put down several independent trees: a node names BRANCHES coordinates of
-the minhash sketch, and the document goes on to the children of its values there.  Two
-sets of similarity s share a child of a common node with probability about
-1 - (1 - s) ** BRANCHES; at 0.85 a pair meets at any depth of one tree with probability
-0.969, and in at least one of TREES = 5 trees with all but 3e-8.
-
-* Every node links its members to its smallest one (a star, linear in the node).
-* Members that confirmed links have not already connected are compared exhaustively where
-  the node has at most LEAF members; larger nodes branch on until they are small.
+same set.  It is put down TREES independent trees: on the first SPLITS levels a node names
+two coordinates of the minhash sketch and the document goes on to the children of its
+values at both, on the next TAIL levels it names one.  Two sets of similarity s go on
+together with probability s per named coordinate; at 0.85 they meet in a leaf of a tree
+with probability 0.937, and in none of six trees with probability 10^-7, while sets of
+similarity 0.3 meet in one of thirty cases.
+
+* Every leaf links its members to its smallest one (a star, linear in the leaf).
+* Members of leaves that confirmed links have not connected are compared exhaustively,
+  each with all that share one of its rarest shingles: of any two sets of 85 %, each has
+  a shared shingle among its 15 % rarest and one more, so no link is missed, and copies
+  with many changes of their own meet nobody, however large their family.
 * Every link is confirmed on the full sets.
 """
 
@@ -19,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wattledger.llm import common
 from wattledger.llm.components import components
@@ -28,12 +32,10 @@ SHINGLE = 5
 #: links need 100 * common >= PERCENT * union
 PERCENT = 85
 #: coordinates of the sketch
-SKETCH = 64
-TREES, BRANCHES, DEPTH = 5, 2, 3
-#: nodes up to this size are compared exhaustively; others branch on, to MOST_DEPTH at most, where they are compared too
-LEAF, MOST_DEPTH = 32, 12
+SKETCH = 96
+TREES, SPLITS, TAIL = 6, 3, 3
 #: pairs that agree on fewer coordinates are not compared: at similarity 0.85, one in 10^8 does
-LEAST_AGREEING = 36
+LEAST_AGREEING = 60
 
 _A, _C = common.constants(SKETCH, 1), common.constants(SKETCH, 2)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -81,29 +83,28 @@ def _sets(batches):
 def _full_sets(batches):
     hashes = common.WordHashes()
     for batch in common.passes(batches, "text"):
-        sets = [shingle_set(hashes.of(t.lower().split())).tobytes() for t in common.texts(batch, "text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+        sets = [shingle_set(hashes.of(t.lower().split())).view(np.int64) for t in common.texts(batch, "text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
 
-def _children(key: Column) -> Column:
-    """The nodes below a node that a sketch goes on to: one per chosen coordinate."""
-    first = F.pmod(F.xxhash64(key, F.lit("first")), F.lit(SKETCH))
-    chosen = [first]
-    for i in range(1, BRANCHES):
-        chosen.append(F.pmod(first + i + F.pmod(F.xxhash64(key, F.lit(i)), F.lit(SKETCH - BRANCHES + 1)), F.lit(SKETCH)))
-    return F.array(*[F.xxhash64(key, c, F.element_at("sketch", (c + 1).cast("int"))) for c in chosen])
+def _value(key: Column, nth: int) -> list[Column]:
+    """The nth coordinate that a node names, and the sketch's value there; coordinates of one node differ."""
+    step = SKETCH // max(2, TAIL)
+    at = F.pmod(F.pmod(F.xxhash64(key, F.lit(nth)), F.lit(step)) + nth * step, F.lit(SKETCH)).cast("int")
+    return [at, F.element_at("sketch", at + 1)]
 
 
-def _paths(members: DataFrame) -> DataFrame:
-    """(key, id): every node at DEPTH that a member (id, sketch) reaches, in all trees."""
+def _leaves(members: DataFrame) -> DataFrame:
+    """(key, id): every leaf that a member (id, sketch) reaches, in all trees."""
     nodes = members.select("id", "sketch", F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit("tree")) for t in range(TREES)])).alias("key"))
-    for level in range(DEPTH):
-        nodes = nodes.select("id", *(["sketch"] if level + 1 < DEPTH else []), F.explode(_children(F.col("key"))).alias("key"))
-    return nodes.select("key", "id")
+    for _ in range(SPLITS):
+        nodes = nodes.select("id", "sketch", F.explode(F.array(*[F.xxhash64("key", *_value(F.col("key"), i)) for i in range(2)])).alias("key"))
+    tail = [x for i in range(TAIL) for x in _value(F.col("key"), i)]
+    return nodes.select(F.xxhash64("key", *tail).alias("key"), "id")
 
 
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b)])
+    return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)])
 
 
 def _confirmed(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -114,16 +115,34 @@ def _confirmed(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFra
     near = materialize(pairs.join(left, "a").join(right, "b").where(agreeing >= LEAST_AGREEING).select("a", "b"), "near")
     full = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
     full = full.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    both = (F.length("set_a") + F.length("set_b")) / 8
-    counted = full.select("a", "b", both.cast("long").alias("both"), F.pandas_udf(_common, "long")("set_a", "set_b").alias("common"))
+    both = F.size("set_a") + F.size("set_b")
+    counted = full.select("a", "b", both.alias("both"), F.pandas_udf(_common, "long")("set_a", "set_b").alias("common"))
     return materialize(counted.where(F.col("common") * 100 >= (F.col("both") - F.col("common")) * PERCENT).select("a", "b"), "confirmed")
 
 
-def _mixed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, id, label, size) of the nodes whose members are not all connected yet."""
-    labelled = nodes.join(labels.select("id", F.col("label").alias("known")), "id", "left").select("key", "id", F.coalesce("known", "id").alias("label"))
-    facts = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
-    return materialize(labelled.join(facts.where(F.col("low") < F.col("high")).select("key", "size"), "key"), "mixed")
+def _open_members(leaves: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, label) of the members of leaves whose members are not all connected yet."""
+    labelled = leaves.join(labels.select("id", F.col("label").alias("known")), "id", "left").select("key", "id", F.coalesce("known", "id").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high")).select("key")
+    return materialize(labelled.join(mixed, "key").select("id", "label").distinct(), "open")
+
+
+def _across(open_members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different labels that may be links: both hold a shingle that is
+    among the rarest (100 - PERCENT) % + 1 of each, and their sizes allow it."""
+    each = sets.join(open_members, "id").select("id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > 1)
+    held = each.join(often, "shingle")
+    mine = Window.partitionBy("id")
+    # shingles of one document alone come first in its order and meet nobody
+    first = F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1 - (F.col("n") - F.col("shared"))
+    ranked = held.withColumns({"nth": F.row_number().over(mine.orderBy("often", "shingle")), "shared": F.count(F.lit(1)).over(mine)})
+    rare = materialize(ranked.where(F.col("nth") <= first).select("shingle", "id", "label", "n"), "rare")
+    several = rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high")).select("shingle")
+    left = rare.join(several, "shingle").select("shingle", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"))
+    right = rare.select("shingle", F.col("id").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    sizes = (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)
+    return left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & sizes).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -143,32 +162,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = drawn.join(classes.select(F.col("id").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"]).select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
     members = materialize(members, "members")
 
-    leads = _paths(members).groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where(F.col("lead") < F.col("last"))
+    leads = _leaves(members).groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where(F.col("lead") < F.col("last"))
     leads = materialize(leads.select("key", "lead"), "leads")
-    nodes = materialize(common.maybe_members(_paths(members), leads, "key").join(leads, "key"), "nodes")
-    inside = nodes.select("id").distinct().select(F.col("id").alias("doc_id"))
+    leaves = materialize(common.maybe_members(_leaves(members), leads, "key").join(leads, "key"), "leaves")
+    inside = leaves.select("id").distinct().select(F.col("id").alias("doc_id"))
     texts = common.only_members(own, inside, "doc_id")
-    sets = materialize(texts.mapInArrow(_full_sets, "doc_id long, shingles binary").withColumnRenamed("doc_id", "id").dropDuplicates(["id"]), "sets")
-
-    tested = materialize(nodes.where(F.col("lead") < F.col("id")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = _confirmed(tested, members, sets)
-    labels = components(links)
-
-    open_nodes = _mixed(nodes.select("key", "id"), labels)
-    for depth in range(DEPTH, MOST_DEPTH + 1):
-        small = open_nodes if depth == MOST_DEPTH else open_nodes.where(F.col("size") <= LEAF)
-        left = small.select("key", F.col("id").alias("a"), F.col("label").alias("label_a"))
-        right = small.select("key", F.col("id").alias("b"), F.col("label").alias("label_b"))
-        pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))).select("a", "b").distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(pairs)
-        links = links.union(_confirmed(pairs, members, sets))
-        large = open_nodes.where(F.col("size") > LEAF)
-        if depth == MOST_DEPTH or large.isEmpty():
-            break
-        below = large.join(members, "id").select("id", F.explode(_children(F.col("key"))).alias("key"))
-        open_nodes = _mixed(below.select("key", "id"), labels)
-    labels = components(links)
+    sets = materialize(texts.mapInArrow(_full_sets, "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "id").dropDuplicates(["id"]), "sets")
+
+    stars = leaves.where(F.col("lead") < F.col("id")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    links = _confirmed(stars, members, sets)
+    open_members = _open_members(leaves.select("key", "id"), components(links))
+    labels = components(links.union(_confirmed(_across(open_members, sets), members, sets)))
 
     rep = drawn.join(classes, "set_hash", "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("id")).alias("id"))
     named = rep.join(labels, "id", "left").select("doc_id", "n_shingles", F.coalesce("label", "id", "doc_id").alias("component_id"))
