@@ -108,9 +108,9 @@ def test_near_links_at_the_threshold_and_chains(spark):
     assert near_rows(documents(spark, texts)) == brute_components(rows)
 
 
-def test_near_many_copies_of_one_text(spark, monkeypatch):
-    """Large nodes branch on; a family of copies stays one component."""
-    monkeypatch.setattr(near_dedup, "LEAF", 4)
+def test_near_many_copies_of_one_text(spark):
+    """A family in which some copies are linked, some by way of others, and some not at all."""
+
     rng = random.Random(5)
     base = prose(rng, 300).split()
     texts = []
