@@ -13,7 +13,7 @@ import numpy as np
 
 from wattledger import params as P
 from wattledger.checks.queries import CAMPAIGN, KS, PERIOD, SWEEP_CHECK, Z0_RATIO
-from wattledger.operators.campaign import MORTON_BITS, budget_grid
+from wattledger.operators.campaign import budget_grid
 from wattledger.operators.features import FEATURES, WINDOWS
 from wattledger.operators.ingest import ENUMS
 from wattledger.operators.reconcile import lognormal_factors
@@ -258,7 +258,6 @@ RULES = {
     "R25": rule("R25", "lamp WHERE transformer_site_id IS NULL", "streetlight_id", "'Luminaria sin puesto de transformación por traza'"),
 }
 cte("finding", " UNION ALL ".join(RULES.values()))
-cte("light", " UNION ALL ".join(RULES[n] for n in ("R08", "R20", "R25")))
 
 
 def reliability(findings: str, edges: str, balance: str) -> str:
@@ -269,7 +268,6 @@ def reliability(findings: str, edges: str, balance: str) -> str:
 
 
 cte("rel", reliability("finding", "edge", "bal"))
-cte("rellight", reliability("light", "seg", "(SELECT feeder_id, true AS balance_coherent FROM hp)"))
 
 # --- series, labels, features -------------------------------------------------
 
@@ -369,10 +367,9 @@ cte("tails", """SELECT *, -ln(count(*) OVER (PARTITION BY feeder_id, f ORDER BY
 cte("ecod", f"""SELECT feeder_id, customer_unit_id, {r('greatest(sum(l), sum(rt), sum(CASE WHEN sk < 0 THEN l ELSE rt END))', 6)} AS ecod FROM (SELECT *, sum(d * d * d) OVER (PARTITION BY feeder_id, f) AS sk FROM tails) GROUP BY 1, 2""")
 cte("unsup", "SELECT feeder_id, customer_unit_id, percent_rank() OVER (PARTITION BY feeder_id ORDER BY ecod) AS score_unsup FROM ecod")
 cte("fstat", "SELECT f, avg(raw) AS m, stddev_pop(raw) AS s FROM flong GROUP BY 1")
-cte("toprisk", f"SELECT customer_unit_id FROM risk ORDER BY risk_score DESC, customer_unit_id LIMIT {TH['explain_top_n']}")
 cte("reason", """SELECT customer_unit_id, max(txt) FILTER (rn = 1) AS reason_1, max(txt) FILTER (rn = 2) AS reason_2, max(txt) FILTER (rn = 3) AS reason_3 FROM (
   SELECT customer_unit_id, f || CASE WHEN z > 0 THEN ' (+)' ELSE ' (-)' END AS txt, row_number() OVER (PARTITION BY customer_unit_id ORDER BY round(abs(z), 6) DESC, f) AS rn FROM (
-  SELECT customer_unit_id, f, CASE WHEN s > 1e-12 THEN (raw - m) / s ELSE 0.0 END AS z FROM flong JOIN fstat USING (f) WHERE customer_unit_id IN (SELECT customer_unit_id FROM toprisk))) GROUP BY 1""")
+  SELECT customer_unit_id, f, CASE WHEN s > 1e-12 THEN (raw - m) / s ELSE 0.0 END AS z FROM flong JOIN fstat USING (f))) GROUP BY 1""")
 
 # --- state estimation ---------------------------------------------------------
 
@@ -396,7 +393,7 @@ cte("cand", f"""SELECT site_id, feeder_id, n_units, {r('ben', 4)} AS benefit_usd
   SELECT c.*, ben0 * (coalesce(reliability_index, 100) / 100.0 * 0.5 + 0.5) AS ben, coalesce(rl.reliability_index, 100) AS reliability_index FROM (
   SELECT transformer_site_id AS site_id, min(cust.feeder_id) AS feeder_id, count(*) AS n_units, sum(greatest(0.0, least(1.0, risk_score)) * recoverable_kwh_month * {BUD['recovery_months'] * BUD['tariff_usd_per_kwh']!r}::DOUBLE) AS ben0,
     avg(risk_score) AS mean_risk, max(risk_score) AS max_risk, sum(recoverable_kwh_month) AS rec, min(pole_id) AS pole_id FROM risk JOIN cust USING (customer_unit_id) GROUP BY 1) c
-  LEFT JOIN rellight rl USING (feeder_id)) LEFT JOIN (SELECT pole_id, x, y FROM pole) USING (pole_id)""")
+  LEFT JOIN rel rl USING (feeder_id)) LEFT JOIN (SELECT pole_id, x, y FROM pole) USING (pole_id)""")
 _run = "sum(cost_usd) OVER ({p} ORDER BY {o} ROWS UNBOUNDED PRECEDING)"
 cte("greedy", f"""SELECT *, {_run.format(p='', o='roi DESC, site_id')} AS spent, row_number() OVER (ORDER BY roi DESC, site_id) AS pos FROM cand""")
 cte("sel", f"""SELECT * FROM (SELECT c.*, {_run.format(p='PARTITION BY feeder_id', o='ve_neto_usd DESC, site_id')} AS spent, pot / (SELECT sum(greatest(ve_neto_usd, 0)) FROM cand) * {_DIRECTED!r}::DOUBLE AS fb
@@ -409,9 +406,9 @@ def explore(budget: float) -> str:
 
 
 cte("expl", explore(BUD["field_usd"] * BUD["exploration_reserve_frac"]))
-_CELL = "(CAST(floor(x / 1000.0) AS BIGINT) * 10000 + CAST(floor(y / 1000.0) AS BIGINT))"
+_CELL = "(CAST(floor(x / 1000.0) AS BIGINT) * 4294967296 + CAST(floor(y / 1000.0) AS BIGINT))"
 _MORTON = " | ".join(
-    f"(((CAST(floor({c}) AS BIGINT) >> {b}) & 1) << {2 * b + odd})" for c, odd in (("x", 0), ("y", 1)) for b in range(MORTON_BITS)
+    f"((((CAST(floor({c}) AS BIGINT) + 1073741824) >> {b}) & 1) << {2 * b + odd})" for c, odd in (("x", 0), ("y", 1)) for b in range(31)
 )
 
 
@@ -485,7 +482,8 @@ oracle("link_consumption", f"""SELECT records, matched, records - matched AS unm
 oracle("ingest_consumption", "SELECT customer_unit_id, feeder_id, year_month, kwh, false AS estimated FROM linked")
 oracle("ingest_header", f"SELECT feeder_id, year_month, CASE WHEN year_month LIKE '%-10' THEN 0.0 ELSE {r(r('kwh', 2), 1)} END AS kwh FROM head")
 oracle("norm_year_month", "SELECT periodo AS raw, year_month, count(*) AS n FROM bill GROUP BY 1, 2")
-_TABLES = {"customers": "cust", "sites": "site", "transformer_units": "unit", "segments": "seg", "streetlights": "lamp", "switching_devices": "device", "poles": "pole", "header_meters": "head"}
+_TABLES = {"customers": "cust", "sites": "site", "transformer_units": "unit", "segments": "seg", "streetlights": "lamp", "switching_devices": "device", "poles": "pole", "header_meters": "head",
+    "consumption": "cons", "theft_labels": "theft", "switching_events": "(SELECT *, ts AS timestamp, CAST(NULL AS VARCHAR) AS device_id FROM ev)"}
 _ABSENT = {("sites", "kind")}
 oracle("validate_required", " UNION ALL ".join(
     f"SELECT '{e}' AS entity, '{c}' AS \"column\", {'0' if (e, c) in _ABSENT else f'count(*) FILTER ({c} IS NULL)'} AS nulls, count(*) AS \"rows\" FROM {t}"
@@ -650,7 +648,7 @@ oracle("inspection_sheet_tables", """SELECT p.site_id, p.feeder_id, roi, benefit
 oracle("dashboard_aggs", f"""SELECT 'kpi' AS panel, 'feeders' AS item, '' AS detail, count(*)::DOUBLE AS value FROM bal UNION ALL SELECT 'kpi', 'progress_pct', '', 50.0
   UNION ALL SELECT 'kpi', 'balances_closed', '', (count(*) FILTER (balance_coherent AND NOT pnt_negative_alert))::DOUBLE FROM bal
   UNION ALL SELECT 'kpi', 'pnt_pct', '', {r('sum(pnt_kwh) * 100.0 / sum(energy_header_kwh)', 2)} FROM bal UNION ALL SELECT 'kpi', 'technical_pct', '', {r('sum(energy_technical_kwh) * 100.0 / sum(energy_header_kwh)', 2)} FROM bal
-  UNION ALL SELECT 'loadability', coalesce(loadability_class, 'none'), '', count(*)::DOUBLE FROM ldt GROUP BY 2 UNION ALL SELECT 'quality', rule_id, severity, count(*)::DOUBLE FROM light GROUP BY 2, 3
+  UNION ALL SELECT 'loadability', coalesce(loadability_class, 'none'), '', count(*)::DOUBLE FROM ldt GROUP BY 2 UNION ALL SELECT 'quality', rule_id, severity, count(*)::DOUBLE FROM finding GROUP BY 2, 3
   UNION ALL SELECT 'lighting', anomaly, severity, count(*)::DOUBLE FROM anom GROUP BY 2, 3""")
 
 # --- oracles: topology --------------------------------------------------------
@@ -679,10 +677,10 @@ cte("dmulti", "SELECT feeder_id, node FROM dedge GROUP BY 1, 2 HAVING count(*) >
 
 
 def topo(rows: str, name: str, severity: str, text: str) -> str:
-    return f"SELECT feeder_id, '{name}' AS rule_id, '{severity}' AS severity, printf('{text}', count(*)) AS evidence, string_agg(node, ',' ORDER BY node) FILTER (rn <= 20) AS elements FROM (SELECT *, row_number() OVER (PARTITION BY feeder_id ORDER BY node) AS rn FROM {rows}) GROUP BY 1"
+    return f"SELECT feeder_id, '{name}' AS rule_id, '{severity}' AS severity, printf('{text}', count(*) OVER (PARTITION BY feeder_id)) AS evidence, node FROM {rows}"
 
 
-oracle("topo_validate", "SELECT DISTINCT feeder_id, 'TOPO_CYCLE' AS rule_id, 'critica' AS severity, 'El grafo del alimentador contiene ciclos (no radial)' AS evidence, '' AS elements FROM dloop WHERE s = node UNION ALL "
+oracle("topo_validate", "SELECT DISTINCT feeder_id, 'TOPO_CYCLE' AS rule_id, 'critica' AS severity, 'El grafo del alimentador contiene ciclos (no radial)' AS evidence, CAST(NULL AS VARCHAR) AS node FROM dloop WHERE s = node UNION ALL "
     + topo("dlost", "TOPO_ISLAND", "critica", "%d nodos no alcanzables desde la fuente") + " UNION ALL " + topo("dmulti", "TOPO_MULTIFEED", "alta", "%d nodos con más de un padre"))
 oracle("topo_summary", """SELECT feeder_id, n_nodes, n_edges, n_zones, CAST(0 AS BIGINT) AS topo_findings, coalesce(nq, 0) AS n_quality_findings, coalesce(nc, 0) AS critical_findings FROM (SELECT feeder_id, count(*) AS n_nodes FROM nodes GROUP BY 1)
   JOIN (SELECT feeder_id, count(*) AS n_edges FROM edge GROUP BY 1) USING (feeder_id) JOIN (SELECT feeder_id, count(*) AS n_zones FROM bound GROUP BY 1) USING (feeder_id)
@@ -701,7 +699,7 @@ for _n in ("R01", "R02", "R03", "R04", "R06", "R07", "R08", "R10", "R13", "R20",
 cte("accumk", "SELECT feeder_id, node, kw * 1000.0 AS kw FROM accum")
 oracle("R09", amps_rule("accumk"))
 oracle("R15", rule("R15", "cust WHERE ck % 17 = 0", "customer_unit_id", "'Cliente sin puesto de transformación por traza'"))
-oracle("R22", rule("R22", "(SELECT feeder_id, site_id AS el FROM site WHERE node_id IN (SELECT node FROM dlost) OR node_id NOT IN (SELECT node FROM dnode) UNION ALL SELECT feeder_id, el FROM (SELECT feeder_id, customer_unit_id AS el, row_number() OVER (PARTITION BY feeder_id ORDER BY customer_unit_id) AS rn FROM cust WHERE customer_unit_id IN (SELECT node FROM dlost)) WHERE rn <= 100)", "el",
+oracle("R22", rule("R22", "(SELECT feeder_id, site_id AS el FROM site WHERE node_id IN (SELECT node FROM dlost) OR node_id NOT IN (SELECT node FROM dnode) UNION ALL SELECT feeder_id, customer_unit_id AS el FROM cust WHERE customer_unit_id IN (SELECT node FROM dlost))", "el",
     "CASE WHEN el LIKE 'C%' THEN 'Cliente no alcanzable desde la fuente' ELSE 'Puesto no alcanzable desde la fuente' END"))
 # nearest device or source above a device along tree edges (smallest segment id per node)
 cte("dpar", "SELECT feeder_id, node, arg_min(parent, segment_id) AS parent FROM dedge GROUP BY 1, 2")
@@ -828,8 +826,7 @@ oracle("field_feedback", f"""SELECT CASE WHEN {hexv('site_id')} < 11 THEN 'direc
 oracle("needs_recompute", "SELECT DISTINCT feeder_id FROM head WHERE f % 5 = 0")
 oracle("mark_done", "SELECT count(DISTINCT feeder_id) AS feeders, CAST(0 AS BIGINT) AS still_open FROM head")
 oracle("stream_bronze", f"SELECT feeder_id, year_month, count(*) AS records, {r('sum(kwh)', 1)} AS kwh FROM linked GROUP BY 1, 2")
-oracle("stream_ens", f"""SELECT feeder_id, strftime(d, '%Y-%m-%d') AS day, {r('sum(duration_h * affected_kw)', 3)} AS ens_kwh, count(*) AS n_faults FROM (SELECT *, date_trunc('day', ts) AS d FROM ev WHERE motivo = 'falla')
-  WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM ev WHERE motivo = 'falla') GROUP BY 1, 2""")
+oracle("stream_ens", f"""SELECT feeder_id, strftime(d, '%Y-%m-%d') AS day, {r('sum(duration_h * affected_kw)', 3)} AS ens_kwh, count(*) AS n_faults FROM (SELECT *, date_trunc('day', ts) AS d FROM ev WHERE motivo = 'falla') GROUP BY 1, 2""")
 
 
 def _assemble(body: str) -> str:

@@ -299,6 +299,7 @@ def _(run):
     tables = {
         "customers": t.customers, "sites": t.sites, "transformer_units": t.transformer_units, "segments": t.segments,
         "streetlights": t.streetlights, "switching_devices": t.switching_devices, "poles": t.poles, "header_meters": t.header_meters,
+        "consumption": t.consumption, "theft_labels": t.theft_labels, "switching_events": t.switching_events,
     }
     return G.validate_required(tables)
 
@@ -306,7 +307,7 @@ def _(run):
 @query("validate_labels_enum")
 def _(run):
     t = run.t
-    return G.validate_enums({"customers": t.customers, "sites": t.sites, "segments": t.segments, "switching_devices": t.switching_devices})
+    return G.validate_enums({"customers": t.customers, "sites": t.sites, "segments": t.segments, "switching_devices": t.switching_devices, "streetlights": t.streetlights, "switching_events": t.switching_events})
 
 
 # --- formulas -----------------------------------------------------------------
@@ -567,21 +568,6 @@ def _(run):
     return run.reliability
 
 
-def _light_findings(run):
-    """Rules that need no network trace."""
-    return (
-        Q.wrong_feeder(run.t.segments, run.cfg)
-        .unionByName(Q.device_state(run.t.switching_devices, run.cfg))
-        .unionByName(Q.lamp_without_site(run.t.streetlights, run.cfg))
-    )
-
-
-def _light_reliability(run):
-    """Reliability before any balance is known: only the findings count."""
-    unknown = run.head_periods.select("feeder_id", F.lit(True).alias("balance_coherent"))
-    return B.reliability(_light_findings(run), run.t.segments, unknown)
-
-
 def _status(run):
     outputs = {"topology": run.t.segments, "ml_risk": run.proxy_risk}
     return reports.feeder_status(run.balance, outputs)
@@ -644,7 +630,7 @@ def _(run):
 def _(run):
     return reports.dashboard(
         reports.feeder_status(run.balance, {"topology": run.t.segments}), run.balance, run.loadability,
-        _light_findings(run), lighting.lighting_anomalies(run.t.streetlights),
+        run.findings, lighting.lighting_anomalies(run.t.streetlights),
     )
 
 
@@ -725,7 +711,7 @@ def _damaged(run):
 
 @query("topo_validate")
 def _(run):
-    return N.validate(N.build(_damaged(run), run.t.sites))
+    return N.validate_nodes(N.build(_damaged(run), run.t.sites))
 
 
 @query("topo_summary")
@@ -1006,7 +992,7 @@ def _(run):
 
 
 def _reasons(run):
-    return risk.explain_top3(run.features, run.proxy_risk, run.cfg["thresholds"]["explain_top_n"])
+    return risk.explain_top3(run.features)
 
 
 def _risk_with_reasons(run):
@@ -1155,7 +1141,7 @@ def _(run):
 
 def _candidates(run):
     if not hasattr(run, "_cand"):
-        cand = C.candidates(run.proxy_risk, run.t.customers, run.t.poles, run.cfg, _light_reliability(run))
+        cand = C.candidates(run.proxy_risk, run.t.customers, run.t.poles, run.cfg, run.reliability)
         run._cand = materialize(cand, "candidates")
     return run._cand
 
@@ -1259,7 +1245,7 @@ def _(run):
 
 
 def _plan(run):
-    return inspection_plan(run, _risk_with_reasons(run), _light_reliability(run))
+    return inspection_plan(run, _risk_with_reasons(run), run.reliability)
 
 
 @query("campaign_summary")
@@ -1296,7 +1282,7 @@ def _inputs(run, header):
     return {
         "sites": t.sites, "transformer_units": t.transformer_units, "customers": t.customers, "segments": t.segments,
         "streetlights": t.streetlights, "switching_devices": t.switching_devices, "header_meters": header,
-        "switching_events": t.switching_events,
+        "switching_events": t.switching_events, "consumption": t.consumption, "poles": t.poles, "theft_labels": t.theft_labels,
     }
 
 
@@ -1346,17 +1332,14 @@ def _(run):
 
 @query("stream_ens")
 def _(run):
-    """Fault events as a file stream; windows close as the watermark passes them.
-
-    Events are laid out in time order, the last day is still open when the feed ends.
-    """
+    """Fault events as a file stream; every window of the feed is in the table at its end."""
     spark, files = run.t.spark, _scratch(run, "events")
     faults = run.t.switching_events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     faults.write.parquet(files)
     source = spark.readStream.schema(faults.schema).parquet(files)
     target, mark = _scratch(run, "ens"), _scratch(run, "ens-mark")
     feeds.stream_outages(source, target, mark).awaitTermination()
-    rows = spark.read.parquet(target)
+    rows = feeds.outages(spark, target)
     return rows.select(
         "feeder_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), rnd("ens_kwh", 3).alias("ens_kwh"), "n_faults"
     )

@@ -146,18 +146,19 @@ def allocation_curve(cand: DataFrame, max_budget: float, steps: int = 20) -> Dat
 
 # --- work orders --------------------------------------------------------------
 
-MORTON_BITS = 20
+# metres on either side of the origin that the visit order tells apart: 2^30
+MORTON_BITS = 31
 
 
 def grid_cluster(x: Column, y: Column, grid_m: float) -> Column:
-    """Cell of a square grid."""
-    return (F.floor(x / grid_m) * 10000 + F.floor(y / grid_m)).cast("long")
+    """Cell of a square grid: the column in the upper half of the number, the row in the lower."""
+    return (F.floor(x / grid_m) * (1 << 32) + F.floor(y / grid_m)).cast("long")
 
 
 def morton(x: str, y: str) -> Column:
     """Bit-interleaved position: neighbours in the plane stay close in the order."""
     bits = [
-        f"shiftleft(shiftright(cast(floor({c}) as bigint), {bit}) & 1L, {2 * bit + odd})"
+        f"shiftleft(shiftright(cast(floor({c}) as bigint) + {1 << MORTON_BITS - 1}L, {bit}) & 1L, {2 * bit + odd})"
         for c, odd in ((x, 0), (y, 1))
         for bit in range(MORTON_BITS)
     ]

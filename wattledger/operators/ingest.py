@@ -344,6 +344,8 @@ ENUMS = {
     ("sites", "bank_config"): P.BANK_CONFIGS,
     ("segments", "phase"): P.PHASES,
     ("switching_devices", "normal_state"): ("NA", "NC"),
+    ("streetlights", "technology"): P.LAMP_TECHNOLOGIES,
+    ("switching_events", "motivo"): P.SWITCHING_REASONS,
 }
 
 

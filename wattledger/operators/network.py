@@ -15,11 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattledger.functions.numeric import rnd
-from wattledger.scale import top_rows
 from wattledger.session import materialize, materialize_with
 
 KEY = ["feeder_id", "node"]
-EXTRA_ID_LIMIT = 20
 
 
 def source_of(feeder: Column) -> Column:
@@ -392,22 +390,26 @@ def cyclic_feeders(net: Network, extra: DataFrame, n_extra: int) -> DataFrame:
 
 
 def validate(net: Network) -> DataFrame:
-    """TOPO_CYCLE, TOPO_ISLAND and TOPO_MULTIFEED per feeder with up to 20 example nodes."""
+    """TOPO_CYCLE, TOPO_ISLAND and TOPO_MULTIFEED: one row per feeder and rule."""
+    return _topology(net)[0]
+
+
+def validate_nodes(net: Network) -> DataFrame:
+    """The rows of ``validate`` with every node they name; node is null for cycles."""
+    found, nodes = _topology(net)
+    return found.join(nodes, ["feeder_id", "rule_id"], "left")
+
+
+def _topology(net: Network) -> tuple[DataFrame, DataFrame]:
     extra, n_extra = counted_extra_edges(net)
 
     def report(found: DataFrame, rule: str, severity: str, text: str) -> DataFrame:
         size = found.groupBy("feeder_id").agg(F.count(F.lit(1)).alias("n"))
-        some = (
-            top_rows(found.select(*KEY), ["feeder_id"], [F.col("node")], EXTRA_ID_LIMIT, "rn")
-            .groupBy("feeder_id")
-            .agg(F.concat_ws(",", F.array_sort(F.collect_list("node"))).alias("elements"))
-        )
-        return size.join(some, "feeder_id").select(
+        return size.select(
             "feeder_id",
             F.lit(rule).alias("rule_id"),
             F.lit(severity).alias("severity"),
             F.format_string(text, F.col("n")).alias("evidence"),
-            "elements",
         )
 
     cycle = cyclic_feeders(net, extra, n_extra).select(
@@ -415,14 +417,13 @@ def validate(net: Network) -> DataFrame:
         F.lit("TOPO_CYCLE").alias("rule_id"),
         F.lit("critica").alias("severity"),
         F.lit("El grafo del alimentador contiene ciclos (no radial)").alias("evidence"),
-        F.lit("").alias("elements"),
-    )
-    island = report(
-        unreachable(net, extra, n_extra), "TOPO_ISLAND", "critica", "%d nodos no alcanzables desde la fuente"
     )
+    lost = unreachable(net, extra, n_extra).select(*KEY)
+    island = report(lost, "TOPO_ISLAND", "critica", "%d nodos no alcanzables desde la fuente")
     fed_twice = extra.select(*KEY).distinct()
     multi = report(fed_twice, "TOPO_MULTIFEED", "alta", "%d nodos con más de un padre")
-    return cycle.unionByName(island).unionByName(multi)
+    named = lost.withColumn("rule_id", F.lit("TOPO_ISLAND")).unionByName(fed_twice.withColumn("rule_id", F.lit("TOPO_MULTIFEED")))
+    return cycle.unionByName(island).unionByName(multi), named
 
 
 # --- protection zones ---------------------------------------------------------

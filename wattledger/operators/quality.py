@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from wattledger import params as P
 from wattledger.functions.numeric import lookup
 from wattledger.operators import network as N
-from wattledger.scale import top_rows
 from wattledger.session import materialize
 
 OUT = ("feeder_id", "rule_id", "element_id", "severity", "evidence", "confidence", "suggested_value")
@@ -165,17 +164,13 @@ def device_state(devices: DataFrame, cfg: dict) -> DataFrame:
 
 
 def not_reachable(sites: DataFrame, customers: DataFrame, net: N.Network, lost: DataFrame, cfg: dict) -> DataFrame:
-    """Sites off the network or cut off; meters that are nodes but cut off.
-
-    The report lists a fixed number of meters per feeder; sites are listed in full.
-    """
+    """Sites off the network or cut off; meters that are nodes but cut off."""
     at_site = sites.where(F.col("node_id").isNotNull()).withColumnRenamed("node_id", "node")
     absent = at_site.join(net.node, N.KEY, "left_anti")
     cut = at_site.join(lost, N.KEY, "left_semi")
     site_rows = _emit(absent.unionByName(cut), cfg, "R22", "site_id", F.lit("Puesto no alcanzable desde la fuente"))
     at = customers.select("feeder_id", F.col("customer_unit_id").alias("node")).join(lost, N.KEY, "left_semi")
-    listed = top_rows(at, ["feeder_id"], [F.col("node")], cfg["unreachable_customer_limit"], "rn")
-    return site_rows.unionByName(_emit(listed, cfg, "R22", "node", F.lit("Cliente no alcanzable desde la fuente")))
+    return site_rows.unionByName(_emit(at, cfg, "R22", "node", F.lit("Cliente no alcanzable desde la fuente")))
 
 
 def orphan_zone(zones: DataFrame, cfg: dict) -> DataFrame:

@@ -22,7 +22,6 @@ from wattledger.scale import distribution, quantiles
 from wattledger.session import materialize
 
 PU_METHODS = ("elkan_noto", "bagging_pu", "spies")
-BUCKETS = 1_000_000
 
 
 def assemble(features: DataFrame, names=FEATURES) -> DataFrame:
@@ -31,7 +30,7 @@ def assemble(features: DataFrame, names=FEATURES) -> DataFrame:
 
 def hash_unit(seed: int) -> Column:
     """Uniform [0,1) per meter, stable under repartitioning and recomputation."""
-    return F.pmod(F.xxhash64("customer_unit_id", F.lit(seed)), F.lit(BUCKETS)) / BUCKETS
+    return F.shiftrightunsigned(F.xxhash64("customer_unit_id", F.lit(seed)), 11) / float(1 << 53)
 
 
 def _booster(seed: int, rounds: int) -> GBTClassifier:
@@ -108,9 +107,14 @@ def ipw_weights(rows: DataFrame, clip: float = 10.0) -> DataFrame:
     if seen["lo"] == seen["hi"]:
         return rows.select("customer_unit_id", F.lit(1.0).alias("weight"))
     model = LogisticRegression(featuresCol="x", labelCol="s", maxIter=50, regParam=0.01).fit(rows)
-    raw = _score(model, rows, "p").select(
-        "customer_unit_id", (F.lit(1.0) / F.greatest(F.lit(1.0 / clip), F.least(F.lit(1.0), F.col("p")))).alias("w")
-    )
+    weight = F.lit(1.0) / F.greatest(F.lit(1.0 / clip), F.least(F.lit(1.0), F.col("p")))
+    # a logistic score is one dot product with a few fitted numbers, so the plan holds no model
+    fitted = F.array(*[F.lit(float(c)) for c in model.coefficients])
+    terms = F.zip_with(vector_to_array("x"), fitted, lambda v, c: v * c)
+    score = F.aggregate(terms, F.lit(float(model.intercept)), lambda acc, t: acc + t)
+    scored = rows.select("customer_unit_id", (1 / (1 + F.exp(-score))).alias("p"))
+    # written once: neither the mean nor the result scores the rows again
+    raw = materialize(scored.select("customer_unit_id", weight.alias("w")), "propensities")
     mean = raw.agg(F.avg("w")).scalar()
     return raw.select("customer_unit_id", (F.col("w") / mean).alias("weight"))
 
@@ -182,14 +186,11 @@ def calibrate(scored: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("calibrated", clipped).drop("label")
 
 
-def explain_top3(
-    features: DataFrame, scores: DataFrame, top_n: int, weights: dict[str, float] | None = None
-) -> DataFrame:
-    """Three signed reasons per meter for the head of the ranking only.
+def explain_top3(features: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """Three signed reasons for every meter.
 
     A reason is a feature's importance times its z-score over all meters.
     """
-    head = scores.orderBy(F.col("risk_score").desc(), "customer_unit_id").limit(top_n).select("customer_unit_id")
     weights = weights or {n: 1.0 for n in FEATURES}
     moments = [f"{fn}({n}) as {tag}_{n}" for n in FEATURES for fn, tag in (("avg", "m"), ("stddev_pop", "s"))]
     stats = features.selectExpr(*moments).select(F.struct("*").alias("st")).scalar()
@@ -199,7 +200,7 @@ def explain_top3(
         reasons.append(f"struct(-round(abs({z}), 6) as o, '{n}' as n, if({z} > 0, '+', '-') as d)")
     best = F.expr(f"slice(array_sort(array({', '.join(reasons)})), 1, 3)")
     text = F.transform(best, lambda r: F.format_string("%s (%s)", r["n"], r["d"]))
-    rows = features.join(head, "customer_unit_id", "left_semi").withColumn("st", stats).withColumn("t", text)
+    rows = features.withColumn("st", stats).withColumn("t", text)
     return rows.select("customer_unit_id", *[F.get("t", F.lit(i)).alias(f"reason_{i + 1}") for i in range(3)])
 
 
@@ -216,7 +217,7 @@ def positives(theft_labels: DataFrame, mined: DataFrame | None) -> DataFrame:
 def train_risk(
     features: DataFrame, positive: DataFrame, cfg: dict, method: str = "elkan_noto", seed: int = 0
 ) -> DataFrame:
-    """Calibrated risk per meter with reasons for the head of the ranking.
+    """Calibrated risk per meter with its reasons.
 
     ``features`` must be a written table.  Without positives only outliers rank.
     """
@@ -243,7 +244,7 @@ def train_risk(
         )
     scored = materialize(scored, "risk-scores")
     importance = _importance(rows, seed) if rows.where("s = 1").head(1) else None
-    reasons = explain_top3(features, scored, cfg["thresholds"]["explain_top_n"], importance)
+    reasons = explain_top3(features, importance)
     return (
         scored.join(reasons, "customer_unit_id", "left")
         .na.fill("", ["reason_1", "reason_2", "reason_3"])

@@ -10,7 +10,8 @@ from wattledger.operators import series as S
 from wattledger.scale import running
 from wattledger.session import materialize
 
-PAIR_BLOCKS = 8
+# feeders of one block of the pairing
+BLOCK_FEEDERS = 500
 
 
 def topology_versions(events: DataFrame, period_start: str, period_end: str) -> DataFrame:
@@ -67,17 +68,22 @@ def head_profiles(header: DataFrame) -> DataFrame:
 def infer_transfers(header: DataFrame, cfg: dict) -> DataFrame:
     """Feeder pairs whose head energy shifted in opposite directions and moves inversely.
 
-    One bounded row per feeder enters the pairing.  Only a riser can pair with a
-    faller, and the pair keys are spread over a block grid so no task holds them all.
+    One bounded row per feeder enters the pairing.  Only a riser can pair with a faller,
+    and one of the two must have shifted strongly; the pairs are dealt over a grid of
+    blocks that grows with the number of feeders, so no task holds them all.
     """
     th = cfg["thresholds"]
     rows = materialize(head_profiles(header).where(F.col("n_months") >= 6), "head-profiles")
-    block = F.pmod(F.xxhash64("feeder_id"), F.lit(PAIR_BLOCKS))
-    grid = F.explode(F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1)).cast("array<bigint>"))
-    rising = rows.where("shift > 0").withColumn("bu", block).withColumn("bd", grid)
-    falling = rows.where("shift < 0").withColumn("bd", block).withColumn("bu", grid)
-    pairs = rising.alias("u").join(falling.alias("d"), ["bu", "bd"])
-    pairs = pairs.where(F.greatest(F.col("u.shift"), -F.col("d.shift")) >= th["transfer_min_shift"])
+    blocks = -(-max(rows.count(), 1) // BLOCK_FEEDERS)
+    block = F.pmod(F.xxhash64("feeder_id"), F.lit(blocks))
+    grid = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+    # weak risers meet strong fallers alone: the kind is part of the join key
+    strong = F.abs("shift") >= th["transfer_min_shift"]
+    kinds = F.explode(F.when(strong, F.array(F.lit("any"), F.lit("weak"))).otherwise(F.array(F.lit("any"))))
+    up, down = rows.where("shift > 0"), rows.where("shift < 0")
+    rising = up.withColumn("kind", F.when(strong, F.lit("any")).otherwise(F.lit("weak"))).withColumn("bu", block).withColumn("bd", grid)
+    falling = down.withColumn("kind", kinds).withColumn("bd", block).withColumn("bu", grid)
+    pairs = rising.alias("u").join(falling.alias("d"), ["kind", "bu", "bd"])
     dot = S.total(F.zip_with("u.c", "d.c", lambda a, b: a * b))
     pairs = pairs.withColumn("corr", dot / (F.col("u.norm") * F.col("d.norm"))).where(
         F.col("corr") <= th["transfer_corr"]

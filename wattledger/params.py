@@ -69,7 +69,6 @@ THRESHOLDS = {
     "drop_recovery_months": 3,
     "jump_after_intervention_pct": 0.30,
     "zero_active_months": 4,
-    "explain_top_n": 1000,
     "drop_overload_ratio": 1.0,
     "drop_underuse_ratio": 0.10,
     "intra_dispersion_min_ratio": 0.40,
@@ -98,7 +97,6 @@ RULES = {
     "R25": (True, "media", 1.0),
 }
 RULE_MIN_LENGTH_M = 15.0
-UNREACHABLE_CUSTOMER_LIMIT = 100
 SEVERITY_WEIGHT = {"critica": 5.0, "alta": 2.0, "media": 1.0}
 
 # code -> (material, r ohm/km, x ohm/km, ampacity A); gauge grows down each list
@@ -154,6 +152,8 @@ BUDGET = {
 }
 
 PHASE_DESIGNATION = {1: "C", 2: "B", 3: "BC", 4: "A", 5: "CA", 6: "AB", 7: "ABC"}
+LAMP_TECHNOLOGIES = ("led", "sodium", "mercury", "metal_halide")
+SWITCHING_REASONS = ("falla", "maniobra", "transferencia")
 PHASES = ("A", "B", "C", "AB", "BC", "CA", "ABC")
 
 BANK_CONFIG_DOMAIN = {
@@ -217,7 +217,6 @@ _DEFAULTS = {
     "montecarlo": MONTECARLO,
     "rules": RULES,
     "rule_min_length_m": RULE_MIN_LENGTH_M,
-    "unreachable_customer_limit": UNREACHABLE_CUSTOMER_LIMIT,
     "budget": BUDGET,
     "months_per_period": 1.0,
 }

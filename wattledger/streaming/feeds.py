@@ -59,12 +59,28 @@ def outage_windows(events: DataFrame, window: str = "1 day", lateness: str = "2
 
 
 def stream_outages(events: DataFrame, target: str, checkpoint: str, window: str = "1 day", lateness: str = "2 days") -> StreamingQuery:
+    """Windows as they change, the open ones at the feed's end included.
+
+    Every micro-batch goes to its own ``batch_id`` partition, replaced on retry; ``outages``
+    reads the last state of each window.
+    """
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("batch_id", F.lit(batch_id))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(target)
+
     return (
         outage_windows(events, window, lateness)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", target)
+        .writeStream.outputMode("update")
+        .foreachBatch(land)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def outages(spark: SparkSession, target: str) -> DataFrame:
+    """Latest state of every window over all landed batches."""
+    values = F.struct("batch_id", "ens_kwh", "n_faults")
+    last = spark.read.parquet(target).groupBy("feeder_id", "window_start").agg(F.max(values).alias("v"))
+    return last.select("feeder_id", "window_start", "v.ens_kwh", "v.n_faults")
