@@ -36,6 +36,8 @@ SKETCH = 96
 TREES, SPLITS, TAIL = 6, 3, 3
 #: pairs that agree on fewer coordinates are not compared: at similarity 0.85, one in 10^8 does
 LEAST_AGREEING = 60
+#: length of the parity signature
+BITS = 1024
 
 _A, _C = common.constants(SKETCH, 1), common.constants(SKETCH, 2)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -63,6 +65,15 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """BITS / 64 numbers whose bits say which classes of shingle hashes are odd in number.
+
+    The bits in which two sets differ are at most the shingles in which they do.
+    """
+    odd = np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches):
     hashes = common.WordHashes()
     for batch in common.passes(batches, "text"):
@@ -84,7 +95,8 @@ def _full_sets(batches):
     hashes = common.WordHashes()
     for batch in common.passes(batches, "text"):
         sets = [shingle_set(hashes.of(t.lower().split())).view(np.int64) for t in common.texts(batch, "text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+        bits = [parity(s.view(np.uint64)) for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "shingles", "bits"])
 
 
 def _value(key: Column, nth: int) -> list[Column]:
@@ -129,7 +141,7 @@ def _open_members(leaves: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _across(open_members: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of different labels that may be links: both hold a shingle that is
-    among the rarest (100 - PERCENT) % + 1 of each, and their sizes allow it."""
+    among the rarest (100 - PERCENT) % + 1 of each, and their sizes and parities allow it."""
     each = sets.join(open_members, "id").select("id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > 1)
     held = each.join(often, "shingle")
@@ -139,10 +151,13 @@ def _across(open_members: DataFrame, sets: DataFrame) -> DataFrame:
     ranked = held.withColumns({"nth": F.row_number().over(mine.orderBy("often", "shingle")), "shared": F.count(F.lit(1)).over(mine)})
     rare = materialize(ranked.where(F.col("nth") <= first).select("shingle", "id", "label", "n"), "rare")
     several = rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high")).select("shingle")
-    left = rare.join(several, "shingle").select("shingle", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"))
-    right = rare.select("shingle", F.col("id").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    rare = materialize(rare.join(several, "shingle").join(sets.select("id", "bits"), "id"), "rare-shared")
+    left = rare.select("shingle", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    right = rare.select("shingle", F.col("id").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    differing = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(1, BITS // 64)), F.bit_count(F.get("bits_a", F.lit(0)).bitwiseXOR(F.get("bits_b", F.lit(0)))))
+    alike = differing * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)
     sizes = (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)
-    return left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & sizes).select("a", "b").distinct()
+    return left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & sizes & alike).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -167,7 +182,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaves = materialize(common.maybe_members(_leaves(members), leads, "key").join(leads, "key"), "leaves")
     inside = leaves.select("id").distinct().select(F.col("id").alias("doc_id"))
     texts = common.only_members(own, inside, "doc_id")
-    sets = materialize(texts.mapInArrow(_full_sets, "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "id").dropDuplicates(["id"]), "sets")
+    sets = materialize(texts.mapInArrow(_full_sets, "doc_id long, shingles array<long>, bits array<long>").withColumnRenamed("doc_id", "id").dropDuplicates(["id"]), "sets")
 
     stars = leaves.where(F.col("lead") < F.col("id")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = _confirmed(stars, members, sets)
