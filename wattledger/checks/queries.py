@@ -313,14 +313,17 @@ def _(run):
 # --- formulas -----------------------------------------------------------------
 
 
+ENERGY_FORMULAS = {"f_mean_power", "f_load_factor", "f_loss_factor", "f_velander", "f_pf_energy", "f_tanphi", "f_q_from_p", "f_s_from_p_pf"}
+
+
 def _formula(name: str, **columns):
-    """A scalar formula over every meter (energy, phase currents, conductor)."""
+    """A scalar formula over every meter; readings are only read where the formula uses energy."""
 
     def build(run):
-        e = run.energy.select("customer_unit_id", "kwh_total")
-        q = run.t.consumption.groupBy("customer_unit_id").agg(F.sum("kvarh").alias("kvarh_total"))
-        m = run.t.customers.select("customer_unit_id", "tariff_class", "installed_load_kw", "service_drop_kva")
-        rows = e.join(q, "customer_unit_id").join(m, "customer_unit_id")
+        rows = run.t.customers.select("customer_unit_id", "tariff_class", "installed_load_kw", "service_drop_kva")
+        if name in ENERGY_FORMULAS:
+            sums = run.t.consumption.groupBy("customer_unit_id").agg(F.sum("kwh").alias("kwh_total"), F.sum("kvarh").alias("kvarh_total"))
+            rows = rows.join(sums, "customer_unit_id")
         return rows.select("customer_unit_id", *[rnd(c(), 6).alias(n) for n, c in columns.items()])
 
     query(name)(build)
@@ -813,7 +816,7 @@ def _(run):
 
 @query("series_pivot")
 def _(run):
-    return S.series_rows(S.series(run.t.consumption)).select(
+    return S.series_rows(S.series(run.consumption)).select(
         "customer_unit_id", F.col("t").cast("long").alias("t"), "year_month", rnd("kwh", 2).alias("kwh"), rnd("kvarh", 2).alias("kvarh")
     )
 
@@ -1049,7 +1052,7 @@ def _(run):
 
 
 def _stats(run):
-    return state.site_stats(run.t.consumption, run.t.customers, run.hours)
+    return state.site_stats(run.consumption, run.t.customers, run.hours)
 
 
 @query("site_monthly_stats")

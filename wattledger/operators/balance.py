@@ -54,7 +54,7 @@ def site_loading(t, demand: DataFrame, head: DataFrame, cfg: dict) -> DataFrame:
         "unit": t.transformer_units.select("site_id", *bank.UNIT_FIELDS),
         "meter": demand.select(site, F.col("kwh_total").alias("billed")),
         "lamp": t.streetlights.select(site, lighting.lamp_kw(cfg).alias("lamp_kw")),
-        "point": loadpoint.load_points(demand, cfg).select(site, F.col("s_max_kva").alias("point_kva")),
+        "point": loadpoint.point_kva(demand, cfg).select(site, F.col("s_max_kva").alias("point_kva")),
     }
     stacked = stack(parts).where(F.col("site_id").isNotNull())
     totals = stacked.groupBy("site_id").agg(

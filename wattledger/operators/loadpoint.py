@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from wattledger.functions import electrical as E
 from wattledger.functions.numeric import ratio, rnd
 from wattledger.scale import quantiles
-from wattledger.session import materialize
 
 
 def meter_energy(consumption: DataFrame) -> DataFrame:
@@ -40,14 +39,8 @@ def meter_demand(energy: DataFrame, customers: DataFrame, cfg: dict) -> DataFram
     )
 
 
-def metered(t, cfg: dict) -> DataFrame:
-    """``meter_demand`` of a table set, written once because several branches read it."""
-    energy = materialize(meter_energy(t.consumption), "meter-energy")
-    return materialize(meter_demand(energy, t.customers, cfg), "meter-demand")
-
-
-def load_points(demand: DataFrame, cfg: dict) -> DataFrame:
-    """One row per load point, with coincidence applied inside the point."""
+def _points(demand: DataFrame, cfg: dict) -> tuple[DataFrame, DataFrame]:
+    """(meters of load points, their sums per point)."""
     meters = demand.where(F.col("site_id").isNotNull())
     weight = F.greatest(F.col("e_month"), F.lit(0.0)) + 1e-9
     totals = meters.groupBy("site_id").agg(
@@ -62,8 +55,20 @@ def load_points(demand: DataFrame, cfg: dict) -> DataFrame:
         F.min("e_month").alias("low"),
         F.sum("dmax_kw").alias("peaks"),
     )
-    median = quantiles(meters, ["site_id"], "e_month", {"med": 0.5}).select("site_id", "med")
     s_max = F.when(F.col("p_max") > 0, F.col("p_max") / F.col("pf")).otherwise(F.lit(0.0))
+    return meters, totals.withColumn("s_max", s_max)
+
+
+def point_kva(demand: DataFrame, cfg: dict) -> DataFrame:
+    """Maximum apparent power of every load point: what the balance needs, without any median."""
+    return _points(demand, cfg)[1].select("transformer_site_id", rnd("s_max", 3).alias("s_max_kva"))
+
+
+def load_points(demand: DataFrame, cfg: dict) -> DataFrame:
+    """One row per load point, with coincidence applied inside the point."""
+    meters, totals = _points(demand, cfg)
+    median = quantiles(meters, ["site_id"], "e_month", {"med": 0.5}).select("site_id", "med")
+    s_max = F.col("s_max")
     return totals.join(median, "site_id").select(
         "feeder_id",
         F.col("site_id").alias("load_point_id"),

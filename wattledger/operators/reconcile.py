@@ -140,23 +140,11 @@ def lognormal_factors(cfg: dict) -> list[float]:
 def loss_uncertainty(balance: DataFrame, cfg: dict) -> DataFrame:
     """P10/P50/P90 of technical and non-technical loss per feeder."""
     mc = cfg["montecarlo"]
-    factors = F.array(*[F.lit(x) for x in lognormal_factors(cfg)])
-    draws = balance.select(
-        "feeder_id", "energy_technical_kwh", "losses_total_kwh", F.explode(factors).alias("f")
-    ).select(
-        "feeder_id",
-        (F.col("energy_technical_kwh") * F.col("f")).alias("tech"),
-        (F.col("losses_total_kwh") - F.col("energy_technical_kwh") * F.col("f")).alias("pnt"),
-    )
-    points = F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))
-    q = draws.groupBy("feeder_id").agg(
-        F.percentile("tech", points).alias("t"), F.percentile("pnt", points).alias("p")
-    )
-    out = [
-        rnd(F.get(c, F.lit(i)), 1).alias(f"{name}_{label}")
-        for name, c in (("technical", "t"), ("pnt", "p"))
-        for i, label in enumerate(("p10", "p50", "p90"))
-    ]
-    return q.select(
+    # every feeder is scaled by the same draws, so its percentiles are those of the draws times its loss
+    p10, p50, p90 = (float(x) for x in np.percentile(lognormal_factors(cfg), (10, 50, 90)))
+    tech, losses = F.col("energy_technical_kwh"), F.col("losses_total_kwh")
+    out = [rnd(tech * f, 1).alias(f"technical_{label}") for label, f in (("p10", p10), ("p50", p50), ("p90", p90))]
+    out += [rnd(losses - tech * f, 1).alias(f"pnt_{label}") for label, f in (("p10", p90), ("p50", p50), ("p90", p10))]
+    return balance.select(
         "feeder_id", *out, F.lit(mc["n_samples"]).alias("n_samples"), F.lit(mc["sigma_technical"]).alias("sigma_technical")
     )

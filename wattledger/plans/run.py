@@ -23,9 +23,14 @@ class Run:
         self.t, self.cfg = t, cfg
         self.hours = P.hours_per_period(cfg)
 
+    @cached_property
+    def consumption(self) -> DataFrame:
+        """Readings on the full calendar, written once for all that read them."""
+        return materialize(self.t.consumption, "consumption")
+
     @cached_property
     def energy(self) -> DataFrame:
-        return materialize(loadpoint.meter_energy(self.t.consumption), "meter-energy")
+        return materialize(loadpoint.meter_energy(self.consumption), "meter-energy")
 
     @cached_property
     def demand(self) -> DataFrame:
@@ -89,7 +94,7 @@ class Run:
 
     @cached_property
     def series(self) -> DataFrame:
-        return materialize(S.series(self.t.consumption), "series")
+        return materialize(S.series(self.consumption), "series")
 
     @cached_property
     def mined(self) -> DataFrame:
@@ -108,7 +113,7 @@ class Run:
 
     @cached_property
     def estimate(self) -> DataFrame:
-        pseudo = state.pseudo_measurements(state.site_stats(self.t.consumption, self.t.customers, self.hours))
+        pseudo = state.pseudo_measurements(state.site_stats(self.consumption, self.t.customers, self.hours))
         return materialize(state.wls(pseudo, state.measured_total(self.balance, self.cfg)), "estimate")
 
     @cached_property

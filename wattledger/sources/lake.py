@@ -17,17 +17,20 @@ class Lake:
         return f"{self.root}/{layer}/{entity}"
 
     def read_entity(self, layer: str, entity: str, feeder_id: str | None = None) -> DataFrame:
-        """Whole entity, or one feeder by partition pruning; files merged by column name.
+        """Whole entity, or one feeder by partition pruning.
 
-        A missing entity is an empty frame with the canonical schema.
+        Bronze entities are read with their canonical schema, so no footer is read to find
+        it and older files simply lack newer columns.  An entity that was never written is
+        an empty frame; every other failure is raised.
         """
-        reader = self.spark.read.option("mergeSchema", True)
+        known = entity in schemas.entities()
+        reader = self.spark.read.schema(schemas.schema(entity)) if known and layer == "bronze" else self.spark.read
         try:
             df = reader.parquet(self.path(layer, entity))
-        except AnalysisException:
-            known = entity in schemas.entities()
-            schema = schemas.schema(entity) if known else schemas.T.StructType([])
-            return self.spark.createDataFrame([], schema)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schemas.schema(entity) if known else schemas.T.StructType([]))
         return df if feeder_id is None else df.where(F.col("feeder_id") == feeder_id)
 
     def write_partitions(self, layer: str, entity: str, df: DataFrame, extract_date: str | None = None) -> None:
