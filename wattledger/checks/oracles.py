@@ -825,6 +825,10 @@ oracle("field_feedback", f"""SELECT CASE WHEN {hexv('site_id')} < 11 THEN 'direc
 
 oracle("needs_recompute", "SELECT DISTINCT feeder_id FROM head WHERE f % 5 = 0")
 oracle("mark_done", "SELECT count(DISTINCT feeder_id) AS feeders, CAST(0 AS BIGINT) AS still_open FROM head")
+_GOLD = {"feeder_balance": "bal", "transformer_loadability": "ldt", "protection_zones": "zone", "data_quality_findings": "finding", "reliability_index": "rel", "credited_balance": "bal"}
+oracle("run_screening", " UNION ALL ".join(
+    f'SELECT \'{n}\' AS entity, count(*) AS "rows", count(DISTINCT feeder_id) AS feeders, (SELECT count(*) FROM bal) AS analysed, CAST(0 AS BIGINT) AS analysed_again FROM {t}' for n, t in _GOLD.items()
+))
 oracle("stream_bronze", f"SELECT feeder_id, year_month, count(*) AS records, {r('sum(kwh)', 1)} AS kwh FROM linked GROUP BY 1, 2")
 oracle("stream_ens", f"""SELECT feeder_id, strftime(d, '%Y-%m-%d') AS day, {r('sum(duration_h * affected_kw)', 3)} AS ens_kwh, count(*) AS n_faults FROM (SELECT *, date_trunc('day', ts) AS d FROM ev WHERE motivo = 'falla') GROUP BY 1, 2""")
 

@@ -32,6 +32,7 @@ from wattledger.operators import (
     state,
     transfers as T,
 )
+from wattledger.plans import batch
 from wattledger.plans.run import Run, inspection_plan
 from wattledger.scale import quantiles
 from wattledger.session import checkpoint_root, materialize
@@ -1317,6 +1318,19 @@ def _(run):
     return after.agg(F.count(F.lit(1)).alias("feeders")).select("feeders", left.scalar().alias("still_open"))
 
 
+GOLD = ["feeder_balance", "transformer_loadability", "protection_zones", "data_quality_findings", "reliability_index", "credited_balance"]
+
+
+@query("run_screening")
+def _(run):
+    """Two runs on one lake: the first analyses every feeder, the second none."""
+    lake = K.Lake(run.t.spark, _scratch(run, "lake"))
+    first = batch.analyse(run.t, run.cfg, lake)
+    again = batch.analyse(run.t, run.cfg, lake)
+    counts = first.agg(F.count(F.lit(1)).alias("analysed")).scalar(), again.agg(F.count(F.lit(1)).alias("again")).scalar()
+    return batch.gold_counts(lake, GOLD).select("*", counts[0].alias("analysed"), counts[1].alias("analysed_again"))
+
+
 @query("stream_bronze")
 def _(run):
     """Billing files picked up in several micro-batches, then read back."""
