@@ -55,3 +55,8 @@ def test_top_rows_pushes_the_limit_below_the_shuffle(spark, rows):
     top = scale.top_rows(frame(spark, rows), ["g"], [F.col("v").desc(), F.col("id").asc()], 3, "rn")
     assert "WindowGroupLimit" in top._jdf.queryExecution().toString()
     assert top.groupBy("g").count().where("count > 3").count() == 0
+
+
+def test_quantile_over_all_rows(spark, rows):
+    got = scale.quantiles(frame(spark, rows), [], "v", {"med": 0.5}).first()
+    assert got.n == len(rows) and got.med == pytest.approx(np.percentile([r[2] for r in rows], 50))

@@ -75,8 +75,11 @@ def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
     )
     ranked = running(counts, keys, [F.col(value).asc()], {"upto": "c"})
-    size = ranked.groupBy(*keys).agg(F.sum("c").alias("n"))
-    return ranked.join(size, keys).select(
+    if keys:
+        sized = ranked.join(ranked.groupBy(*keys).agg(F.sum("c").alias("n")), keys)
+    else:
+        sized = ranked.withColumn("n", ranked.agg(F.sum("c").alias("n")).scalar())
+    return sized.select(
         *keys, value, "c", (F.col("upto") - F.col("c")).alias("below"), "upto", "n"
     )
 
