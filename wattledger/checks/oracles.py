@@ -433,6 +433,8 @@ oracle("src_list_feeders", "SELECT DISTINCT feeder_id FROM head")
 oracle("src_csv_layers", "SELECT feeder_id, units, sites FROM (SELECT feeder_id, count(*) AS units FROM unit GROUP BY 1) JOIN (SELECT feeder_id, count(*) AS sites FROM site GROUP BY 1) USING (feeder_id)")
 cte("bill", f"""SELECT ck, CASE WHEN ck % 53 = 0 THEN 'CX' || ck ELSE 'CC' || ck END AS cta, CASE WHEN ck % 97 = 0 THEN 'sin fecha' ELSE {YM} || '-01' END AS periodo,
   CASE WHEN ck % 89 = 0 THEN 0.0 ELSE kwh END AS kwh, CASE WHEN ck % 97 = 0 THEN 'sin fecha' ELSE {YM} END AS year_month FROM readings""")
+_BRONZE = {"transformer_units": "unit", "sites": "site", "load_points": "(SELECT *, split_part(site_id, '-', 1) AS feeder_id FROM vlp)", "customers": "vmeter", "poles": "pole", "streetlights": "lamp", "switching_devices": "device", "segments": "seg"}
+oracle("ingest_layers", " UNION ALL ".join(f'SELECT \'{n}\' AS entity, count(*) AS "rows", count(DISTINCT feeder_id) AS feeders FROM {t}' for n, t in _BRONZE.items()))
 oracle("src_tabular", "SELECT periodo AS period, count(*) AS records, count(DISTINCT cta) AS accounts FROM bill GROUP BY 1")
 oracle("sink_partition", f"SELECT feeder_id, count(*) AS n_months, {r('sum(kwh) * (CASE WHEN f % 2 = 0 THEN 2 ELSE 1 END)', 1)} AS kwh FROM head GROUP BY feeder_id, f")
 oracle("sink_csv_export", f"SELECT feeder_id, count(*) AS n, {r('sum(installed_load_kw)', 2)} AS installed_load_kw FROM cust WHERE feeder_id IN ('F01', 'F02', 'F03') GROUP BY 1")

@@ -112,6 +112,21 @@ def _(run):
     return units.join(sites, "ALIMENTADORID").select(F.col("ALIMENTADORID").alias("feeder_id"), "units", "sites")
 
 
+@query("ingest_layers")
+def _(run):
+    """Every vendor layer as CSV, read back as text, mapped, and written to bronze."""
+    folder, lake = _scratch(run, "layers"), K.Lake(run.t.spark, _scratch(run, "lake"))
+    for name in run.t.layers:
+        run.t.layers[name].write.option("header", True).csv(f"{folder}/{name}.csv")
+    layers = K.read_layers_csv(run.t.spark, folder, list(run.t.layers))
+    out = None
+    for entity in G.ingest_layers(lake, layers, G.MAPPING):
+        rows = lake.read_entity("bronze", entity)
+        part = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("feeder_id").alias("feeders")).select(F.lit(entity).alias("entity"), "rows", "feeders")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("src_tabular")
 def _(run):
     path = _scratch(run, "billing") + ".csv"

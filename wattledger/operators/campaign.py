@@ -306,9 +306,3 @@ def field_feedback(inspections: DataFrame) -> DataFrame:
         rnd(F.sum("recovered_kwh"), 1).alias("recovered_kwh"),
         rnd(F.sum("actual_cost_usd"), 2).alias("cost_usd"),
     )
-
-
-def top_per_feeder(df: DataFrame, order: list[Column], k: int) -> DataFrame:
-    return top_rows(df, ["feeder_id"], order, k, "rank")
-
-

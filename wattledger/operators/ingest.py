@@ -93,9 +93,9 @@ def map_fields(layer: DataFrame, fields: dict[str, str], feeder: str = UNKNOWN_F
     return layer.select(*known, owner.alias("feeder_id"))
 
 
-def map_entity(layers: Mapping[str, DataFrame], entity: str) -> DataFrame | None:
+def map_entity(layers: Mapping[str, DataFrame], entity: str, mapping: Mapping = MAPPING) -> DataFrame | None:
     """All source layers of an entity under one schema, with their layer name."""
-    names, fields = MAPPING[entity]
+    names, fields = mapping[entity]
     parts = [map_fields(layers[n], fields).withColumn("source_layer", F.lit(n)) for n in names if n in layers]
     if not parts:
         return None
@@ -120,14 +120,14 @@ def fill_plate(units: DataFrame) -> DataFrame:
     )
 
 
-def units(layers: Mapping[str, DataFrame]) -> DataFrame:
-    rows = map_entity(layers, "transformer_units").withColumn("sn_kva", D.parse_kva("sn_kva"))
+def units(layers: Mapping[str, DataFrame], mapping: Mapping = MAPPING) -> DataFrame:
+    rows = map_entity(layers, "transformer_units", mapping).withColumn("sn_kva", D.parse_kva("sn_kva"))
     return fill_plate(decode_phases(rows))
 
 
-def sites(layers: Mapping[str, DataFrame], unit_rows: DataFrame) -> DataFrame:
+def sites(layers: Mapping[str, DataFrame], unit_rows: DataFrame, mapping: Mapping = MAPPING) -> DataFrame:
     count = unit_rows.groupBy("site_id").agg(F.count(F.lit(1)).alias("n_units"))
-    rows = map_entity(layers, "sites").join(count, "site_id", "left")
+    rows = map_entity(layers, "sites", mapping).join(count, "site_id", "left")
     rows = rows.withColumn("bank_config", D.decode_bank_config("bank_config_raw", "n_units"))
     rows = rows.withColumn("declared_kva", D.parse_kva("declared_kva")).withColumn("kind", F.lit("transformer"))
     return decode_phases(rows).drop("bank_config_raw", "n_units")
@@ -139,15 +139,17 @@ def first_per_key(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, *[F.col(f"r.{c}") for c in rest])
 
 
-def load_points(layers: Mapping[str, DataFrame]) -> DataFrame:
-    rows = map_entity(layers, "load_points")
+def load_points(layers: Mapping[str, DataFrame], mapping: Mapping = MAPPING) -> DataFrame:
+    rows = map_entity(layers, "load_points", mapping)
     order = ["reading_route"] + [c for c in rows.columns if c not in ("reading_route", "load_point_id")]
     return first_per_key(decode_phases(rows.select("load_point_id", *order)), "load_point_id")
 
 
-def identify_customers(layers: Mapping[str, DataFrame]) -> DataFrame:
+def identify_customers(layers: Mapping[str, DataFrame], mapping: Mapping = MAPPING) -> DataFrame:
     """A blank unique code falls back to the GIS id so no meter is lost."""
-    rows = map_entity(layers, "customers")
+    rows = map_entity(layers, "customers", mapping)
+    if "customer_unit_id" not in rows.columns:
+        rows = rows.withColumn("customer_unit_id", F.lit(None).cast("string"))
     code = F.coalesce(F.nullif(F.trim("customer_unit_id"), F.lit("")), F.col("global_id"))
     return decode_phases(rows.withColumn("customer_unit_id", code))
 
@@ -166,9 +168,9 @@ def inherit_from_load_point(customers: DataFrame, points: DataFrame) -> DataFram
     return rows.withColumn("phase", F.coalesce("phase", "lp_phase")).drop("lp_phase")
 
 
-def add_attributes(customers: DataFrame, layers: Mapping[str, DataFrame]) -> DataFrame:
+def add_attributes(customers: DataFrame, layers: Mapping[str, DataFrame], mapping: Mapping = MAPPING) -> DataFrame:
     """Billing attributes by unique code (first per code) and the tariff class."""
-    attrs = map_entity(layers, "customer_attributes").drop("feeder_id", "source_layer")
+    attrs = map_entity(layers, "customer_attributes", mapping).drop("feeder_id", "source_layer")
     rows = customers.join(first_per_key(attrs, "customer_unit_id"), "customer_unit_id", "left")
     return rows.withColumn("tariff_class", D.decode_tariff("tariff_raw")).drop("tariff_raw")
 
@@ -187,40 +189,51 @@ def section(source_layer) -> Column:
     return F.when(F.lower(source_layer).contains("bajatension"), "secondary").otherwise("primary")
 
 
-def segments(layers: Mapping[str, DataFrame]) -> DataFrame:
-    rows = decode_phases(map_entity(layers, "segments"))
+def segments(layers: Mapping[str, DataFrame], mapping: Mapping = MAPPING) -> DataFrame:
+    rows = decode_phases(map_entity(layers, "segments", mapping))
     return rows.withColumn("section", section(F.col("source_layer")))
 
 
-def build_canonical(layers: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+def build_canonical(layers: Mapping[str, DataFrame], mapping: Mapping = MAPPING) -> dict[str, DataFrame]:
     """All entities the layers allow, lazily; each is one plan."""
     out: dict[str, DataFrame] = {}
     if "UNIDADTRANSFDISTRIBUCION" in layers:
-        out["transformer_units"] = units(layers)
+        out["transformer_units"] = units(layers, mapping=mapping)
     if "PuestoTransfDistribucion" in layers:
-        out["sites"] = sites(layers, out["transformer_units"])
+        out["sites"] = sites(layers, out["transformer_units"], mapping=mapping)
     if "PuntoCarga" in layers:
-        out["load_points"] = load_points(layers)
+        out["load_points"] = load_points(layers, mapping=mapping)
     if "CONEXIONCONSUMIDOR" in layers:
-        meters = identify_customers(layers)
+        meters = identify_customers(layers, mapping=mapping)
         if "load_points" in out:
             meters = inherit_from_load_point(meters, out["load_points"])
         if "ATRIBUTOSCONSUMIDOR" in layers:
-            meters = add_attributes(meters, layers)
+            meters = add_attributes(meters, layers, mapping=mapping)
         else:
             meters = meters.withColumn("tariff_class", F.lit(P.TARIFF_DEFAULT))
         out["customers"] = meters
     if "EstructuraSoporte" in layers:
-        out["poles"] = map_entity(layers, "poles")
+        out["poles"] = map_entity(layers, "poles", mapping)
     if "Luminaria" in layers:
-        out["streetlights"] = trace_parent(decode_phases(map_entity(layers, "streetlights")), out["sites"])
+        out["streetlights"] = trace_parent(decode_phases(map_entity(layers, "streetlights", mapping)), out["sites"])
     if "PuestoProteccionDinamico" in layers:
-        out["switching_devices"] = map_entity(layers, "switching_devices")
+        out["switching_devices"] = map_entity(layers, "switching_devices", mapping)
     if "TramoDistribucionAereo" in layers or "TramoBajaTensionAereo" in layers:
-        out["segments"] = segments(layers)
+        out["segments"] = segments(layers, mapping=mapping)
     return out
 
 
+def ingest_layers(lake, layers: Mapping[str, DataFrame], mapping: Mapping = MAPPING) -> list[str]:
+    """Source layers to bronze entities in one call; returns the entities written.
+
+    ``mapping`` gives each entity its source layers and fields, as MAPPING does.
+    """
+    found = build_canonical(layers, mapping)
+    for entity, rows in found.items():
+        lake.write_partitions("bronze", entity, schemas.conform(rows, entity))
+    return list(found)
+
+
 def hierarchy_summary(relations: dict[str, tuple[DataFrame, DataFrame, str]]) -> DataFrame:
     """Children per parent for each named relation (parents, children, child's parent key)."""
 

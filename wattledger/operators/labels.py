@@ -1,5 +1,6 @@
 """Consumption anomaly labels mined from each meter's own history and its peers."""
 
+# The Spanish finding and evidence texts are output values that readers of the reports expect.
 from __future__ import annotations
 
 from functools import reduce

@@ -1,5 +1,6 @@
 """Street lighting: unmetered energy and anomalies."""
 
+# The Spanish finding and evidence texts are output values that readers of the reports expect.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame

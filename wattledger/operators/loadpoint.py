@@ -1,5 +1,6 @@
 """Load points (one service entrance, many meters) and site demand."""
 
+# The Spanish finding and evidence texts are output values that readers of the reports expect.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame

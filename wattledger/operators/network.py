@@ -6,6 +6,7 @@ path sum is log2(depth) joins on unique keys.  Size is nodes x log2(depth), so a
 long chain never explodes into quadratic pairs.
 """
 
+# The Spanish finding and evidence texts are output values that readers of the reports expect.
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -120,7 +121,9 @@ def build_tree(parent: DataFrame, node: DataFrame, label: str = "tree") -> Tree:
             F.col("r").alias("r2"),
             F.col("x").alias("x2"),
         )
-        state = state.join(up, ["feeder_id", "ptr"]).select(
+        # nodes that have reached their top stay as they are; only the others look further up
+        resting = state.where(F.col("hops") < reach)
+        climbing = level.join(up, ["feeder_id", "ptr"]).select(
             *KEY,
             F.col("ptr2").alias("ptr"),
             (F.col("hops") + F.col("hops2")).alias("hops"),
@@ -128,6 +131,7 @@ def build_tree(parent: DataFrame, node: DataFrame, label: str = "tree") -> Tree:
             (F.col("r") + F.col("r2")).alias("r"),
             (F.col("x") + F.col("x2")).alias("x"),
         )
+        state = resting.unionByName(climbing)
         reach, before = reach * 2, active
     roots = state.select(*KEY, F.col("ptr").alias("root"), "hops", "dist", "r", "x")
     if active:  # nodes on or behind a cycle have no root and take no part in traces
@@ -171,23 +175,19 @@ def trace_downstream(net: Network, starts: DataFrame) -> DataFrame:
     found = starts.select("feeder_id", "start", F.col("start").alias("node"), F.lit(0).alias("hops"))
     for level in net.tree.levels:
         step = level.select("feeder_id", F.col("node").alias("next"), F.col("anc").alias("node"), "step")
-        hop = found.join(step, KEY, "left")
-        both = F.array(
-            F.struct(F.col("node").alias("node"), F.col("hops").alias("hops")),
-            F.struct(F.col("next").alias("node"), (F.col("hops") + F.col("step")).alias("hops")),
-        )
-        found = _spread(hop, both, ["feeder_id", "start"])
+        # an inner join: adaptive execution may split the side on which many nodes share an ancestor
+        below = found.join(step, KEY).select("feeder_id", "start", F.col("next").alias("node"), (F.col("hops") + F.col("step")).alias("hops"))
+        found = found.unionByName(below)
     return found.where("hops > 0")
 
 
-def _spread(hop: DataFrame, both: Column, keep: list[str]) -> DataFrame:
-    """Keep the row itself once and add the row it leads to.
-
-    A node can be an ancestor of many, so the left join repeats it; the own copy is
-    kept by the distinct over the (small) trace keys.
-    """
-    rows = hop.select(*keep, F.explode(both).alias("s")).select(*keep, "s.node", "s.hops")
-    return rows.where(F.col("node").isNotNull()).distinct()
+def reached_below(net: Network, entries: DataFrame) -> DataFrame:
+    """Nodes at or below any of ``entries``: one mark per node, however many entries it is below."""
+    marked = entries.select(*KEY).distinct()
+    for level in net.tree.levels:
+        lower = level.join(marked.withColumnRenamed("node", "anc"), ["feeder_id", "anc"], "left_semi").select(*KEY)
+        marked = marked.unionByName(lower).distinct()
+    return marked
 
 
 def trace_upstream(net: Network, starts: DataFrame) -> DataFrame:
@@ -342,13 +342,9 @@ def unreachable(net: Network, extra: DataFrame, n_extra: int) -> DataFrame:
         entry = (
             extra.join(reached.withColumnRenamed("node", "parent"), ["feeder_id", "parent"], "left_semi")
             .join(lost, KEY, "left_semi")
-            .select("feeder_id", F.col("node").alias("start"))
-            .distinct()
-        )
-        down = trace_downstream(net, entry).select(*KEY)
-        found = materialize(
-            down.unionByName(entry.withColumnRenamed("start", "node")).distinct(), "rescued"
+            .select(*KEY)
         )
+        found = materialize(reached_below(net, entry), "rescued")
         rescued = found.count()
         if rescued:
             reached = materialize(reached.unionByName(found).distinct(), "reached")

@@ -1,5 +1,6 @@
 """Data-quality rules over segments, sites, meters, devices, zones and lamps."""
 
+# The Spanish finding and evidence texts are output values that readers of the reports expect.
 from __future__ import annotations
 
 import math
