@@ -48,6 +48,11 @@ def test_sampling_hash_is_even_and_fine(spark):
     assert 0 <= row.low < 0.001 and 0.999 < row.high < 1 and abs(row.mean - 0.5) < 0.01
 
 
+def test_isotonic_pools_violators():
+    assert risk.isotonic([0, 3, 1, 0, 4], [4, 4, 4, 0, 4]) == [0.0, 0.5, 0.5, 1.0, 1.0]
+    assert risk.isotonic([2, 0], [2, 2]) == [0.5, 0.5]
+
+
 class _Cluster:
     """A session that looks like one on a cluster and names no shared folder."""
 

@@ -741,6 +741,12 @@ oracle("build_features", "SELECT customer_unit_id, feeder_id, " + ", ".join(f"{r
 oracle("rank_norm", f"SELECT customer_unit_id, {r('percent_rank() OVER (PARTITION BY feeder_id ORDER BY risk_score)', 6)} AS rank FROM risk")
 oracle("unsup_scores", f"SELECT customer_unit_id, {r('score_unsup', 6)} AS score_unsup FROM unsup")
 oracle("risk_ensemble", f"SELECT customer_unit_id, {r('0.6 * pr + 0.4 * score_unsup', 6)} AS ensemble FROM unsup JOIN (SELECT customer_unit_id, percent_rank() OVER (PARTITION BY feeder_id ORDER BY risk_score) AS pr FROM risk) USING (customer_unit_id)")
+cte("ens", f"SELECT customer_unit_id, least(floor({r('0.6 * pr + 0.4 * score_unsup', 6)} * 1000), 1000) AS b FROM unsup JOIN (SELECT customer_unit_id, percent_rank() OVER (PARTITION BY feeder_id ORDER BY risk_score) AS pr FROM risk) USING (customer_unit_id)")
+# isotonic shares of the bins: max over starts of the min over ends of the mean between
+cte("ebin", "SELECT *, sum(s) OVER (ORDER BY b) AS su, sum(n) OVER (ORDER BY b) AS nu FROM (SELECT b, sum(is_theft::INTEGER) AS s, count(*) AS n FROM ens JOIN theft USING (customer_unit_id) GROUP BY 1)")
+cte("eiso", """SELECT k AS b, max(m) AS p FROM (SELECT i.b AS i, j.b AS k, min((j.su - i.su + i.s) / (j.nu - i.nu + i.n)::DOUBLE) OVER (PARTITION BY i.b ORDER BY j.b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m
+  FROM ebin i JOIN ebin j ON i.b <= j.b) GROUP BY 1""")
+oracle("calibrate", f"SELECT customer_unit_id, {r('p', 5)} AS risk_score FROM ens JOIN eiso USING (b)")
 oracle("explain_top3", "SELECT * FROM reason")
 oracle("precision_at_k", " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS k, {r('count(*) FILTER (is_theft) / count(*)::DOUBLE', 4)} AS precision_at_k FROM ranked WHERE pos <= {k}" for k in KS))
 oracle("energy_at_k", " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS k, {r('sum(CASE WHEN is_theft THEN recoverable_kwh_month ELSE 0 END)', 1)} AS energy_at_k FROM ranked WHERE pos <= {k}" for k in KS))

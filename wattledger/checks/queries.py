@@ -1007,7 +1007,7 @@ def _(run):
 def _(run):
     truth = run.t.theft_labels.select("customer_unit_id", F.col("is_theft").cast("int").alias("s"))
     scored = materialize(_ensemble(run).join(truth, "customer_unit_id"), "to-calibrate")
-    return risk.calibrate(scored).select("customer_unit_id", F.round("calibrated", 5).alias("risk_score"))
+    return risk.calibrate(scored).select("customer_unit_id", rnd("calibrated", 5).alias("risk_score"))
 
 
 def _reasons(run):

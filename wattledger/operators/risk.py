@@ -12,7 +12,6 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,12 +177,35 @@ def ensemble(pu: DataFrame, unsup: DataFrame) -> DataFrame:
     )
 
 
+#: score bins of the calibration: all that reaches the driver is a sum and a count for each
+CALIBRATION_BINS = 1000
+
+
+def isotonic(sums: list[float], counts: list[int]) -> list[float]:
+    """Nearest non-decreasing shares of weighted bins (pool adjacent violators); None for leading empty bins."""
+    blocks: list[list] = []
+    for i, (total, n) in enumerate(zip(sums, counts)):
+        if n:
+            blocks.append([total, n, i])
+            while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] > blocks[-1][0] * blocks[-2][1]:
+                total, n, last = blocks.pop()
+                blocks[-1] = [blocks[-1][0] + total, blocks[-1][1] + n, last]
+    out, at = [], 0
+    for i in range(len(sums)):
+        while at + 1 < len(blocks) and i > blocks[at][2]:
+            at += 1
+        out.append(blocks[at][0] / blocks[at][1] if blocks else 0.0)
+    return out
+
+
 def calibrate(scored: DataFrame) -> DataFrame:
-    """Isotonic probability from ``ensemble`` against ``s``."""
-    rows = scored.withColumn("label", F.col("s").cast("double"))
-    model = IsotonicRegression(featuresCol="ensemble", labelCol="label", predictionCol="calibrated").fit(rows)
-    clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated")))
-    return model.transform(rows).withColumn("calibrated", clipped).drop("label")
+    """Isotonic probability from ``ensemble`` (0 to 1) against ``s``, fitted on bins of the score."""
+    place = F.least(F.floor(rnd("ensemble", 6) * CALIBRATION_BINS), F.lit(CALIBRATION_BINS)).cast("int")
+    rows = scored.withColumn("_bin", place)
+    found = {r["_bin"]: r for r in rows.groupBy("_bin").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n")).collect()}
+    bins = range(CALIBRATION_BINS + 1)
+    fitted = isotonic([found[i]["s"] if i in found else 0 for i in bins], [found[i]["n"] if i in found else 0 for i in bins])
+    return rows.withColumn("calibrated", F.get(F.array(*map(F.lit, fitted)), F.col("_bin"))).drop("_bin")
 
 
 def explain_top3(features: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
