@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from wattledger.llm import common
 from wattledger.llm.units import UnitEncoder
 
-#: tested pairs that a worker remembers
-CACHE_PAIRS = 1_000_000
+#: tested pairs, words and units that a worker remembers, about 150 MB together; beyond them it starts anew
+CACHE_PAIRS, CACHE_WORDS, CACHE_UNITS = 200_000, 250_000, 250_000
 #: white space of Unicode, which Python's own class exceeds; fixed values
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: the word pattern of this family of vocabularies; fixed values
@@ -147,9 +147,7 @@ class PrefixEncoder:
         return b"".join(out)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        from wattledger.llm.units import CACHE_UNITS
-
-        if len(self.known) > CACHE_UNITS:
+        if len(self.known) > CACHE_WORDS:
             self.known.clear()
         return [self._text(t) for t in texts]
 
@@ -164,7 +162,7 @@ def loaded(path: str) -> tuple[PrefixEncoder, UnitEncoder]:
     """One encoder per worker and file."""
     if path not in _LOADED:
         bpe = PrefixEncoder(path)
-        _LOADED[path] = bpe, UnitEncoder(bpe.encode_many)
+        _LOADED[path] = bpe, UnitEncoder(bpe.encode_many, most=CACHE_UNITS)
     return _LOADED[path]
 
 
