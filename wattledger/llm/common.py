@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,16 +25,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def passes(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most PASS_BYTES of text each, so that memory does not follow the batch size."""
+def passes(batches: Iterator[pa.RecordBatch], column: str, most: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most ``most`` bytes of text each, so that memory does not follow the batch size."""
     for batch in batches:
-        sizes = np.array([len(v) if v is not None else 0 for v in batch.column(column).cast(pa.large_binary()).to_pylist()] or [0])
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, total = 0, 0
         for i in range(batch.num_rows):
-            if total and total + sizes[i] > PASS_BYTES:
+            if total and total + sizes[i] > most:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
-            total += int(sizes[i])
+            total += sizes[i]
         if batch.num_rows > start:
             yield batch.slice(start)
 

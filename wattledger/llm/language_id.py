@@ -38,6 +38,9 @@ STRENGTH = 20.0
 #: a row below this posterior is rejected
 LEAST_CONFIDENCE = 0.5
 
+#: bytes of text in one numpy pass; trigrams take some forty times as much for a moment
+PASS_BYTES = 1 << 20
+
 _LETTER = np.zeros(256, np.uint8)
 _LETTER[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _LETTER[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -64,7 +67,7 @@ def _counts(languages: Sequence[str]):
 
     def count(batches):
         total = np.zeros(len(languages) * BUCKETS, np.int64)
-        for batch in common.passes(batches, "text"):
+        for batch in common.passes(batches, "text", PASS_BYTES):
             bucket, sizes = trigrams(common.texts(batch, "text"))
             kind = np.array([index.get(d, -1) for d in batch.column("declared").to_pylist()], np.int64)
             kind = np.repeat(kind, sizes)
@@ -91,7 +94,7 @@ def train(rows: DataFrame, languages: Sequence[str] = LANGUAGES) -> np.ndarray:
 
 def _scores(model: np.ndarray):
     def score(batches):
-        for batch in common.passes(batches, "text"):
+        for batch in common.passes(batches, "text", PASS_BYTES):
             bucket, sizes = trigrams(common.texts(batch, "text"))
             starts = np.concatenate([[0], np.cumsum(sizes)])
             logs = np.zeros((len(sizes), len(model)))
