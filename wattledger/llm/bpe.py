@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from wattledger.llm import common
 from wattledger.llm.units import UnitEncoder
 
-#: tested pairs, words and units that a worker remembers, about 150 MB together; beyond them it starts anew
-CACHE_PAIRS, CACHE_WORDS, CACHE_UNITS = 200_000, 250_000, 250_000
+#: tested pairs, words and units that a worker remembers, about 300 MB together; beyond them it starts anew
+CACHE_PAIRS, CACHE_WORDS, CACHE_UNITS = 1_000_000, 400_000, 400_000
 #: white space of Unicode, which Python's own class exceeds; fixed values
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: the word pattern of this family of vocabularies; fixed values
@@ -166,18 +166,23 @@ def loaded(path: str) -> tuple[PrefixEncoder, UnitEncoder]:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", release: bool = False) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit): one row per row of ``docs``.
 
     ``tokenizer`` is a vocabulary file that driver and executors can read.  Null and empty
     texts have no ids.  Rows may repeat; an empty table gives an empty result; other
-    columns are not read.
+    columns are not read.  ``release`` gives a worker's memory back at each task's end, for
+    jobs whose later stages use the same workers.
     """
+
     def run(batches):
         bpe, units = loaded(tokenizer)
         for batch in common.passes(batches, "text"):
             ids = [np.frombuffer(x, bpe.width).astype("<u4").tobytes() for x in units([t or "" for t in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        if release:
+            del bpe, units
+            _LOADED.pop(tokenizer, None)
 
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, ids binary")
