@@ -5,7 +5,7 @@ and read again as the next one's docs.  All but the last return the columns of d
 
 * language_id drops documents whose language is not known with confidence,
 * exact_dedup keeps the last document of every group of equal texts,
-* near_dedup keeps one document of every group of near copies,
+* near_dedup keeps one document of every group of near copies (NEAR_PERCENT of five-word shingles),
 * mix_sources repeats or leaves out documents so that sources meet their target weights,
 * bpe_encode returns every document's token ids and the digest of their decoded text.
 
@@ -26,6 +26,10 @@ from wattledger.llm.registry import tokenizer
 from wattledger.session import checkpoint_root
 
 
+#: similarity at which the near_dedup stage links texts; op2 has its own
+NEAR_PERCENT = 80
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.accepted(docs)
 
@@ -35,7 +39,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

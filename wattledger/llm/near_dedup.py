@@ -1,21 +1,24 @@
 """Near-duplicate groups by a chosen-path similarity join.
 
 A document is the set of its five-word shingles, and stands for all documents with the
-same set.  It is put down TREES independent trees: on the first SPLITS levels a node names
-two coordinates of the minhash sketch and the document goes on to the children of its
-values at both, on the next TAIL levels it names one.  Two sets of similarity s go on
-together with probability s per named coordinate; at 0.85 they meet in a leaf of a tree
-with probability 0.937, and in none of six trees with probability 10^-7, while sets of
-similarity 0.3 meet in one of thirty cases.
+same set.  It is put down several trees: on the first SPLITS levels a node names two
+coordinates of the minhash sketch and the document goes on to the children of its values
+at both, on the next TAIL levels it names one.  Two sets whose sketches agree at a share s
+go on together with probability s per named coordinate.  All trees read one sketch, so
+what a pair is missed with is averaged over the agreements of its sketches; ``trees``
+gives the fewest trees that miss a pair at the threshold with at most MISSED.
 
 * Every leaf links its members to its smallest one (a star, linear in the leaf).
 * Members of leaves that confirmed links have not connected are compared exhaustively,
   each with all that share one of its rarest shingles: of any two sets of 85 %, each has
-  a shared shingle among its 15 % rarest and one more, so no link is missed, and copies
-  with many changes of their own meet nobody, however large their family.
+  a shared shingle among its 15 % rarest and one more (of 80 %, its 20 % rarest), so no
+  link is missed, and copies with many changes of their own meet nobody, however large
+  their family.
 * Every link is confirmed on the full sets.
 """
 
+from math import comb
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,13 +32,13 @@ from wattledger.llm.components import components
 from wattledger.session import materialize
 
 SHINGLE = 5
-#: links need 100 * common >= PERCENT * union
+#: links need 100 * common >= percent * union; this is the percent of op2
 PERCENT = 85
 #: coordinates of the sketch
 SKETCH = 96
-TREES, SPLITS, TAIL = 6, 3, 3
-#: pairs that agree on fewer coordinates are not compared: at similarity 0.85, one in 10^8 does
-LEAST_AGREEING = 60
+SPLITS, TAIL = 3, 3
+#: most that a pair at the threshold may be missed with, by the trees and by its number of agreeing coordinates
+MISSED, MISAGREED = 1e-7, 2e-8
 #: length of the parity signature
 BITS = 1024
 
@@ -43,6 +46,35 @@ _A, _C = common.constants(SKETCH, 1), common.constants(SKETCH, 2)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _agreements(percent: int) -> list[float]:
+    """Probabilities that 0 to SKETCH coordinates agree for sets of this similarity."""
+    s = percent / 100
+    return [comb(SKETCH, n) * s**n * (1 - s) ** (SKETCH - n) for n in range(SKETCH + 1)]
+
+
+def miss_rate(percent: int, n_trees: int) -> float:
+    """Probability that sets of this similarity meet in no leaf, averaged over the agreements of their sketches."""
+
+    def meet(s: float) -> float:
+        met = s**TAIL
+        for _ in range(SPLITS):
+            met = 1 - (1 - s * met) ** 2
+        return met
+
+    return sum(p * (1 - meet(n / SKETCH)) ** n_trees for n, p in enumerate(_agreements(percent)))
+
+
+def trees(percent: int) -> int:
+    """The fewest trees that miss at most MISSED of the pairs at the threshold: 11 at 85, 18 at 80."""
+    return next(n for n in range(1, 10_000) if miss_rate(percent, n) <= MISSED)
+
+
+def least_agreeing(percent: int) -> int:
+    """Pairs that agree on fewer coordinates are not compared (60 at 85, 53 at 80)."""
+    below = np.cumsum(_agreements(percent))
+    return int(np.searchsorted(below, MISAGREED, side="right"))
+
+
 def shingle_set(words: np.ndarray) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a sequence of word hashes."""
     if not len(words):
@@ -106,9 +138,9 @@ def _value(key: Column, nth: int) -> list[Column]:
     return [at, F.element_at("sketch", at + 1)]
 
 
-def _leaves(members: DataFrame) -> DataFrame:
+def _leaves(members: DataFrame, n_trees: int) -> DataFrame:
     """(key, id): every leaf that a member (id, sketch) reaches, in all trees."""
-    nodes = members.select("id", "sketch", F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit("tree")) for t in range(TREES)])).alias("key"))
+    nodes = members.select("id", "sketch", F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit("tree")) for t in range(n_trees)])).alias("key"))
     for _ in range(SPLITS):
         nodes = nodes.select("id", "sketch", F.explode(F.array(*[F.xxhash64("key", *_value(F.col("key"), i)) for i in range(2)])).alias("key"))
     tail = [x for i in range(TAIL) for x in _value(F.col("key"), i)]
@@ -119,17 +151,17 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)])
 
 
-def _confirmed(pairs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) that are links, by agreement of the sketches and then the full sets."""
     left = members.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
     right = members.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
     agreeing = F.size(F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda same: same))
-    near = materialize(pairs.join(left, "a").join(right, "b").where(agreeing >= LEAST_AGREEING).select("a", "b"), "near")
+    near = materialize(pairs.join(left, "a").join(right, "b").where(agreeing >= least_agreeing(percent)).select("a", "b"), "near")
     full = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
     full = full.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
     both = F.size("set_a") + F.size("set_b")
     counted = full.select("a", "b", both.alias("both"), F.pandas_udf(_common, "long")("set_a", "set_b").alias("common"))
-    return materialize(counted.where(F.col("common") * 100 >= (F.col("both") - F.col("common")) * PERCENT).select("a", "b"), "confirmed")
+    return materialize(counted.where(F.col("common") * 100 >= (F.col("both") - F.col("common")) * percent).select("a", "b"), "confirmed")
 
 
 def _open_members(leaves: DataFrame, labels: DataFrame) -> DataFrame:
@@ -139,15 +171,15 @@ def _open_members(leaves: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(labelled.join(mixed, "key").select("id", "label").distinct(), "open")
 
 
-def _across(open_members: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of different labels that may be links: both hold a shingle that is
-    among the rarest (100 - PERCENT) % + 1 of each, and their sizes and parities allow it."""
+    among the rarest (100 - percent) % + 1 of each, and their sizes and parities allow it."""
     each = sets.join(open_members, "id").select("id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > 1)
     held = each.join(often, "shingle")
     mine = Window.partitionBy("id")
     # shingles of one document alone come first in its order and meet nobody
-    first = F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1 - (F.col("n") - F.col("shared"))
+    first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - (F.col("n") - F.col("shared"))
     ranked = held.withColumns({"nth": F.row_number().over(mine.orderBy("often", "shingle")), "shared": F.count(F.lit(1)).over(mine)})
     rare = materialize(ranked.where(F.col("nth") <= first).select("shingle", "id", "label", "n"), "rare")
     several = rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high")).select("shingle")
@@ -155,14 +187,15 @@ def _across(open_members: DataFrame, sets: DataFrame) -> DataFrame:
     left = rare.select("shingle", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     right = rare.select("shingle", F.col("id").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     differing = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(1, BITS // 64)), F.bit_count(F.get("bits_a", F.lit(0)).bitwiseXOR(F.get("bits_b", F.lit(0)))))
-    alike = differing * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)
-    sizes = (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)
+    alike = differing * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    sizes = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     return left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & sizes & alike).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
+    Texts are linked whose sets share at least ``percent`` (1 to 100) of their union.
     Words are cut at ASCII white space after lower-casing A-Z.  component_id is the
     smallest doc_id that links reach; ``kept`` marks that document.  A doc_id stands for one text.
     A text of one to four words is one shingle; a null or empty one has none and is linked
@@ -170,6 +203,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id has no component and is kept.  An empty table gives an empty result; other
     columns are not read.
     """
+    n_trees = trees(percent)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     drawn = materialize(own.mapInArrow(_sets, "doc_id long, n_shingles long, set_hash binary, sketch array<int>"), "sketches")
     classes = drawn.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("set_hash").agg(F.min("doc_id").alias("id"))
@@ -177,24 +211,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = drawn.join(classes.select(F.col("id").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"]).select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
     members = materialize(members, "members")
 
-    leads = _leaves(members).groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where(F.col("lead") < F.col("last"))
+    leads = _leaves(members, n_trees).groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where(F.col("lead") < F.col("last"))
     leads = materialize(leads.select("key", "lead"), "leads")
-    leaves = materialize(common.maybe_members(_leaves(members), leads, "key").join(leads, "key"), "leaves")
+    leaves = materialize(common.maybe_members(_leaves(members, n_trees), leads, "key").join(leads, "key"), "leaves")
     inside = leaves.select("id").distinct().select(F.col("id").alias("doc_id"))
     texts = common.only_members(own, inside, "doc_id")
     sets = materialize(texts.mapInArrow(_full_sets, "doc_id long, shingles array<long>, bits array<long>").withColumnRenamed("doc_id", "id").dropDuplicates(["id"]), "sets")
 
     stars = leaves.where(F.col("lead") < F.col("id")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirmed(stars, members, sets)
+    links = _confirmed(stars, members, sets, percent)
     open_members = _open_members(leaves.select("key", "id"), components(links))
-    labels = components(links.union(_confirmed(_across(open_members, sets), members, sets)))
+    labels = components(links.union(_confirmed(_across(open_members, sets, percent), members, sets, percent)))
 
     rep = drawn.join(classes, "set_hash", "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("id")).alias("id"))
     named = rep.join(labels, "id", "left").select("doc_id", "n_shingles", F.coalesce("label", "id", "doc_id").alias("component_id"))
     return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the smallest doc_id of every group of near copies, all columns as they came."""
-    verdicts = materialize(near_duplicates(docs), "near")
+    verdicts = materialize(near_duplicates(docs, percent), "near")
     return common.without_members(docs, verdicts.where(~F.col("kept")).select("doc_id"), "doc_id")
