@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattledger.operators import balance as B
 from wattledger.operators import incremental, transfers
-from wattledger.plans.run import Run, full, screening
+from wattledger.plans.run import Run, by_feeder, fitted, screening
 from wattledger.session import materialize
 from wattledger.sources.lake import Lake
 
@@ -18,7 +18,8 @@ INPUTS = (
     "sites", "transformer_units", "customers", "segments", "streetlights", "switching_devices", "header_meters",
     "switching_events", "consumption", "poles", "theft_labels",
 )
-LEVELS = {"screening": screening, "full": full}
+#: by level, the tables of changed feeders and those that are fitted over all feeders
+LEVELS = {"screening": (screening, None), "full": (by_feeder, fitted)}
 
 
 class Selected:
@@ -39,7 +40,9 @@ class Selected:
 def analyse(tables, cfg: dict, lake: Lake, level: str = "screening", force: bool = False) -> DataFrame:
     """Analyse the feeders whose inputs changed since their last run at this level.
 
-    Gold tables are replaced feeder by feeder; then transfers between all heads are found
+    Gold tables are replaced feeder by feeder.  What is fitted over all feeders (risk, load
+    curves) is fitted on all of them again as soon as one has changed, and replaced for all,
+    so no table mixes two fits; then transfers between all heads are found
     and credited to the balances that are in gold, and the hashes are recorded last, so a
     run that breaks off is repeated.  Returns (feeder_id, input_hash) of what was analysed.
     """
@@ -50,7 +53,11 @@ def analyse(tables, cfg: dict, lake: Lake, level: str = "screening", force: bool
     if todo.isEmpty():
         return todo
     run = Run(Selected(tables, todo), cfg)
-    for name, table in LEVELS[level](run).items():
+    of_changed, of_all = LEVELS[level]
+    results = of_changed(run)
+    if of_all:
+        results.update(of_all(Run(tables, cfg)))
+    for name, table in results.items():
         layer = "gold" if "feeder_id" in table.columns else "system"
         lake.write_partitions(layer, name, table if layer == "gold" else table.withColumn("feeder_id", F.lit("all")))
     lake.write_partitions("gold", "balance_inputs", run.balance_inputs)

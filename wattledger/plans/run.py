@@ -146,26 +146,38 @@ def screening(run: Run) -> dict[str, DataFrame]:
     }
 
 
-def full(run: Run) -> dict[str, DataFrame]:
-    """Screening plus power flow, state estimation, model risk and load curves."""
-    from wattledger.operators import curves
-
+def by_feeder(run: Run) -> dict[str, DataFrame]:
+    """The tables of the full level that depend on each feeder alone."""
     out = screening(run)
-    positive = risk.positives(run.t.theft_labels, run.mined)
-    clusters, centroids = curves.load_curves(run.series)
+    del out["customer_risk"]
     out.update(
         {
             "powerflow_results": flow.results(*run.flow),
             "zone_state_estimation": state.zone_reconcile(run.estimate, run.t.sites, run.node_zone),
             "pnt_independent": state.independent_pnt(run.estimate, run.balance, run.cfg),
-            "customer_risk": risk.train_risk(run.features, positive, run.cfg),
-            "load_clusters": clusters,
-            "load_curve_centroids": centroids,
         }
     )
     return out
 
 
+def fitted(run: Run) -> dict[str, DataFrame]:
+    """The tables of the full level that are fitted over all feeders of the run."""
+    from wattledger.operators import curves
+
+    positive = risk.positives(run.t.theft_labels, run.mined)
+    clusters, centroids = curves.load_curves(run.series)
+    return {
+        "customer_risk": risk.train_risk(run.features, positive, run.cfg),
+        "load_clusters": clusters,
+        "load_curve_centroids": centroids,
+    }
+
+
+def full(run: Run) -> dict[str, DataFrame]:
+    """Screening plus power flow, state estimation, model risk and load curves."""
+    return {**by_feeder(run), **fitted(run)}
+
+
 def inspection_plan(run: Run, risk_table: DataFrame, reliability: DataFrame | None = None) -> dict[str, DataFrame]:
     """Candidates, directed and exploratory picks, work orders, curve, rankings, summary.
 
