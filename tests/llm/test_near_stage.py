@@ -40,3 +40,10 @@ def test_stage_keeps_one_of_copies_at_80_percent(spark):
     assert sorted(r.doc_id for r in stage(spark, df, "").select("doc_id").collect()) == at_80
     assert sorted(r.doc_id for r in near_dedup.near_duplicates(df).where("kept").select("doc_id").collect()) == at_85
     assert near_dedup.least_agreeing(85) == 60 and near_dedup.least_agreeing(80) == 53
+
+
+def test_trees_miss_at_most_the_stated_share():
+    assert 1e-5 < near_dedup.miss_rate(85, 6) < 1.2e-5
+    for percent in (80, 85):
+        assert near_dedup.miss_rate(percent, near_dedup.trees(percent)) <= 1e-7 < near_dedup.miss_rate(percent, near_dedup.trees(percent) - 1)
+    assert (near_dedup.trees(85), near_dedup.trees(80)) == (11, 18)
