@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattledger.llm import bpe, divergence_audit, exact_dedup, filter_audit, language_id, license_scan, mixing, near_dedup, pii, substring_dedup, token_files, topk_search
+from wattledger.llm import bpe, divergence_audit, exact_dedup, filter_audit, language_id, license_scan, lm_scoring, mixing, near_dedup, pii, substring_dedup, token_files, topk_search
 from wattledger.llm.common import documents
 
 #: name of the vocabulary file that the token operators use
@@ -101,6 +101,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+@query("op11_lm_scoring")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
 @query("op12_filter_audit", filter_audit.AUDIT_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
