@@ -1,27 +1,24 @@
-"""A run that writes: changed feeders are analysed, their results replaced, and marked as done."""
+"""A run that writes: changed feeders are analysed, and one snapshot holds what is known after it."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattledger.operators import balance as B
-from wattledger.operators import incremental, transfers
-from wattledger.plans.run import Run, by_feeder, fitted, screening
+from wattledger.operators import campaign, incremental, reconcile, reports, transfers
+from wattledger.plans.run import Run, by_feeder, fitted, inspection_plan, screening
 from wattledger.session import materialize
 from wattledger.sources.lake import Lake
+from wattledger.sources.snapshots import Writer, counts
 
 #: entity tables whose content decides whether a feeder is analysed again
 INPUTS = (
     "sites", "transformer_units", "customers", "segments", "streetlights", "switching_devices", "header_meters",
     "switching_events", "consumption", "poles", "theft_labels",
 )
-#: by level, the tables of changed feeders and those that are fitted over all feeders
-LEVELS = {"screening": (screening, None), "full": (by_feeder, fitted)}
-
-
 class Selected:
     """The entity tables of another table set, for some feeders only."""
 
@@ -37,44 +34,86 @@ class Selected:
         return self._made[name]
 
 
-def analyse(tables, cfg: dict, lake: Lake, level: str = "screening", force: bool = False) -> DataFrame:
+#: stage of the pipeline and the table by whose rows it is known to be done for a feeder
+STAGE_TABLES = {"topology": "feeder_topology", "state_estimation": "zone_state_estimation", "ml_risk": "customer_risk"}
+
+
+def campaign_tables(writer: Writer, run: Run) -> dict[str, DataFrame]:
+    """The inspection plan over all feeders, from what the run has written for each."""
+    risk, balance = writer.read("gold", "customer_risk"), writer.read("gold", "feeder_balance")
+    plan = inspection_plan(run, risk, writer.read("gold", "reliability_index"))
+    plan["ranking_feeders"] = campaign.ranking_feeders(balance)
+    plan["ranking_zones"] = campaign.ranking_zones(writer.read("gold", "zone_state_estimation"))
+    return plan
+
+
+#: by level: the tables of changed feeders, those that are fitted over all feeders, those that follow from all of them
+LEVELS: dict[str, tuple[Callable, Callable | None, Callable | None]] = {
+    "screening": (screening, None, None),
+    "full": (by_feeder, fitted, campaign_tables),
+}
+
+
+def status(writer: Writer, planned: bool) -> DataFrame:
+    """Stages done per feeder, judged by the tables as they are after this run."""
+    tables = {stage: writer.read("gold", name) for stage, name in STAGE_TABLES.items()}
+    known = {stage: table for stage, table in tables.items() if table.columns}
+    rows = reports.feeder_status(writer.read("gold", "feeder_balance"), known)
+    # the campaign spends one budget over all feeders: each of them has taken part in it
+    return reports.mark_prioritized(rows, rows) if planned else rows
+
+
+def analyse(tables, cfg: dict, lake: Lake, level: str = "screening", force: bool = False, feeders: list[str] | None = None) -> DataFrame:
     """Analyse the feeders whose inputs changed since their last run at this level.
 
-    Gold tables are replaced feeder by feeder.  What is fitted over all feeders (risk, load
-    curves) is fitted on all of them again as soon as one has changed, and replaced for all,
-    so no table mixes two fits; then transfers between all heads are found
-    and credited to the balances that are in gold, and the hashes are recorded last, so a
-    run that breaks off is repeated.  Returns (feeder_id, input_hash) of what was analysed.
+    ``feeders`` limits the analysis to some of them.  Everything the run writes becomes one
+    snapshot, committed last: a feeder's rows are replaced in every table, also by none;
+    feeders without a head meter any more leave all tables; a run that breaks off changes
+    nothing.  What is fitted over all feeders (risk, load curves) is fitted on all of them
+    again as soon as one has changed, so no table mixes two fits; then come transfers
+    between all heads and their credits, the system's P/Q summary, the campaign, and the
+    status of every feeder.  Returns (feeder_id, input_hash) of what was analysed.
     """
-    state = f"done_{level}"
+    state, store = f"done_{level}", lake.snapshots
     now = materialize(incremental.input_hash({n: getattr(tables, n) for n in INPUTS}, level), "hashes")
-    done = lake.read_entity("state", state)
-    todo = now if force or not done.columns else materialize(incremental.needs_recompute(now, done), "todo")
-    if todo.isEmpty():
+    done = store.read("state", state)
+    wanted = now if feeders is None else now.where(F.col("feeder_id").isin(feeders))
+    todo = wanted if force or not done.columns else incremental.needs_recompute(wanted, done)
+    todo = materialize(todo, "todo")
+    left = done.join(now, "feeder_id", "left_anti") if done.columns else done
+    if todo.isEmpty() and left.isEmpty():
         return todo
-    run = Run(Selected(tables, todo), cfg)
-    of_changed, of_all = LEVELS[level]
-    results = of_changed(run)
-    if of_all:
-        results.update(of_all(Run(tables, cfg)))
-    for name, table in results.items():
-        layer = "gold" if "feeder_id" in table.columns else "system"
-        lake.write_partitions(layer, name, table if layer == "gold" else table.withColumn("feeder_id", F.lit("all")))
-    lake.write_partitions("gold", "balance_inputs", run.balance_inputs)
+    writer, changed = store.begin(), todo.select("feeder_id")
+    run, everything = Run(Selected(tables, todo), cfg), Run(tables, cfg)
+    of_changed, of_all, of_system = LEVELS[level]
+
+    def put(name: str, table: DataFrame, replaced: DataFrame | None) -> None:
+        per_feeder = "feeder_id" in table.columns
+        writer.write("gold" if per_feeder else "system", name, table, replaced if per_feeder else None)
+
+    for name, table in of_changed(run).items():
+        put(name, table, changed)
+    put("balance_inputs", run.balance_inputs, changed)
+    for name, table in (of_all(everything) if of_all else {}).items():
+        put(name, table, None)
+    alive = now.select("feeder_id")
     found = materialize(transfers.infer_transfers(tables.header_transfer, cfg), "transfers")
-    pairs = found.withColumnsRenamed({"feeder_a": "feeder_id"})
-    lake.write_partitions("system", "feeder_transfers", pairs)
+    put("feeder_transfers", found, None)
     credits = transfers.quantify(tables.header_transfer, found)
-    lake.write_partitions("gold", "credited_balance", B.apply_credits(lake.read_entity("gold", "balance_inputs"), credits, cfg))
-    lake.write_partitions("state", state, todo)
+    known = writer.read("gold", "balance_inputs").join(alive, "feeder_id", "left_semi")
+    put("credited_balance", B.apply_credits(known, credits, cfg), None)
+    reconciled = writer.read("gold", "pq_reconciliation")
+    if reconciled.columns:
+        put("pq_system", reconcile.pq_system(reconciled.join(alive, "feeder_id", "left_semi")), None)
+    for name, table in (of_system(writer, everything) if of_system else {}).items():
+        put(name, table, None)
+    if writer.read("gold", "feeder_balance").columns:
+        put("feeder_status", status(writer, of_system is not None).join(alive, "feeder_id", "left_semi"), None)
+    writer.write("state", state, todo, changed)
+    writer.commit(alive)
     return todo
 
 
 def gold_counts(lake: Lake, names: list[str]) -> DataFrame:
     """(entity, rows, feeders) of gold tables."""
-
-    def one(name: str) -> DataFrame:
-        per = lake.read_entity("gold", name).groupBy("feeder_id").agg(F.count(F.lit(1)).alias("n"))
-        return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("feeders")).select(F.lit(name).alias("entity"), "rows", "feeders")
-
-    return reduce(DataFrame.unionByName, map(one, names))
+    return counts(lake.snapshots, "gold", names)

@@ -152,7 +152,6 @@ def by_feeder(run: Run) -> dict[str, DataFrame]:
     del out["customer_risk"]
     out.update(
         {
-            "powerflow_results": flow.results(*run.flow),
             "zone_state_estimation": state.zone_reconcile(run.estimate, run.t.sites, run.node_zone),
             "pnt_independent": state.independent_pnt(run.estimate, run.balance, run.cfg),
         }
@@ -174,7 +173,7 @@ def fitted(run: Run) -> dict[str, DataFrame]:
 
 
 def full(run: Run) -> dict[str, DataFrame]:
-    """Screening plus power flow, state estimation, model risk and load curves."""
+    """Screening plus state estimation, model risk and load curves."""
     return {**by_feeder(run), **fitted(run)}
 
 
@@ -204,5 +203,3 @@ def inspection_plan(run: Run, risk_table: DataFrame, reliability: DataFrame | No
             cand, selected, campaign.greedy(cand, directed), explore, risk_table, run.t.theft_labels, run.cfg
         ),
     }
-
-

@@ -7,12 +7,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattledger import schemas
+from wattledger.sources.snapshots import Snapshots
 
 
 class Lake:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    @property
+    def snapshots(self) -> Snapshots:
+        """What runs have written: gold, system tables and states, by the manifest of each run."""
+        return Snapshots(self.spark, f"{self.root}/snapshots")
+
     def path(self, layer: str, entity: str) -> str:
         return f"{self.root}/{layer}/{entity}"
 
@@ -34,7 +40,7 @@ class Lake:
         return df if feeder_id is None else df.where(F.col("feeder_id") == feeder_id)
 
     def write_partitions(self, layer: str, entity: str, df: DataFrame, extract_date: str | None = None) -> None:
-        """Replace exactly the feeders present in ``df``.
+        """Replace exactly the feeders present in ``df``: arrivals.  What a run leaves goes to ``snapshots``.
 
         Rebalancing by feeder gives each feeder few large files and splits a feeder
         that holds much of the data over several writers.
