@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from wattledger.checks.oracles import ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "nation customer orders lineitem part events".split()
@@ -32,7 +33,7 @@ def test_every_oracle_belongs_to_a_query():
 
 
 def test_every_oracle_runs(duck):
-    for name, sql in entry_module.oracle_sql().items():
+    for name, sql in ORACLES.items():
         duck.execute(sql).fetchall()
 
 
