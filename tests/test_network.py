@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wattledger import params as P
 from wattledger.operators import flow
 from wattledger.operators import network as N
+from wattledger.scale import along
 
 SEG = (
     "feeder_id string, segment_id string, node_from string, node_to string, length_m double, r_ohm_per_km double, "
@@ -46,6 +47,7 @@ def test_long_chain_with_side_branches(spark):
     load = spark.createDataFrame([("F1", n, float(i + 1)) for i, n in enumerate(sorted(parent))], "feeder_id string, node string, kw double")
     kw = {r.node: r.kw for r in load.collect()}
     acc = {r.node: r.kw for r in N.subtree_sum(net.tree.levels, load, ["kw"]).collect()}
+    assert acc == {r.node: r.kw for r in N.downstream_sum(net, load, ["kw"]).collect()}
     for n in [*parent, "F1-SRC"]:
         assert acc[n] == pytest.approx(kw.get(n, 0) + sum(v for m, v in kw.items() if n in above(m)))
     paths = {r.node: r.kw for r in N.path_sum(net.tree.levels, net.node, load, ["kw"]).collect()}
@@ -70,6 +72,110 @@ def test_validation_finds_cycle_island_and_second_feed(spark):
     assert rules == {"TOPO_CYCLE", "TOPO_ISLAND"}
 
 
+def numbered(net):
+    return {r.node: r for r in net.intervals.collect()}
+
+
+def test_intervals_of_a_random_forest(spark):
+    rng = random.Random(11)
+    names = [f"n{i}" for i in range(150)]
+    edges = [("F1-SRC" if i == 0 or rng.random() < 0.1 else names[rng.randrange(i)], n) for i, n in enumerate(names) if rng.random() < 0.93]
+    parent = {b: a for a, b in edges}
+    net = N.build(segs(spark, edges), no_sites(spark))
+    got = numbered(net)
+
+    def above(n):
+        out = set()
+        while n in parent:
+            n = parent[n]
+            out.add(n)
+        return out
+
+    assert sorted(r.entry for r in got.values()) == list(range(1, len(got) + 1))
+    for n in got:
+        assert got[n].depth == len(above(n))
+        assert {m for m in got if got[n].entry < got[m].entry <= got[n].last} == {m for m in got if n in above(m)}
+    kw = {n: rng.randrange(1, 50) for n in rng.sample(sorted(got), 40)}
+    load = spark.createDataFrame([("F1", n, float(v)) for n, v in kw.items()], "feeder_id string, node string, kw double")
+    sums = {r.node: r.kw for r in N.downstream_sum(net, load, ["kw"]).collect()}
+    want = {n: sum(v for m, v in kw.items() if m == n or n in above(m)) for n in got}
+    assert sums == {n: v for n, v in want.items() if v}
+    starts = spark.createDataFrame([("F1", n) for n in rng.sample(sorted(got), 30)], "feeder_id string, start string")
+    ranges = N.trace_ranges(net, starts).collect()
+    assert len(ranges) == 30 and all(r.n_below == sum(r.start in above(m) for m in got) for r in ranges)
+    members = {(r.start, r.node, r.hops) for r in N.trace_downstream(net, starts).collect()}
+    assert members == {(r.start, m, len(above(m)) - len(above(r.start))) for r in ranges for m in got if r.start in above(m)}
+
+
+def test_intervals_across_slices_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N.I, "BLOCK", 7)
+    edges = [("F1-SRC", "a")] + [("a", f"x{i}") for i in range(60)] + [("x5", f"y{i}") for i in range(40)]
+    net = N.build(segs(spark, edges), no_sites(spark))
+    load = spark.createDataFrame([("F1", b, 1.0) for _, b in edges], "feeder_id string, node string, kw double")
+    upto = along(net.intervals.withColumn("one", F.lit(1)), ["feeder_id"], "entry", {"n": "one"}, slice_rows=9)
+    assert all(r.n == r.entry for r in upto.collect())
+    starts = spark.createDataFrame([("F1", "a"), ("F1", "x5"), ("F1", "x6")], "feeder_id string, start string")
+    found = N.trace_downstream(net, starts).groupBy("start").count().collect()
+    assert {r.start: r["count"] for r in found} == {"a": 100, "x5": 40}
+    assert {r.node: r.kw for r in N.downstream_sum(net, load, ["kw"]).collect()}["x5"] == 41.0
+
+
+def test_star_of_100000_and_chain_of_10000(spark):
+    star = spark.range(100_000).selectExpr("'F1' feeder_id", "concat('s', id) segment_id", "'F1-SRC' node_from", "concat('n', id) node_to")
+    chain = spark.range(10_000).selectExpr("'F2' feeder_id", "concat('c', id) segment_id", "if(id = 0, 'F2-SRC', concat('n', id - 1)) node_from", "concat('n', id) node_to")
+    rows = star.union(chain).selectExpr("*", "1.0D length_m", "0.5D r_ohm_per_km", "0.2D x_ohm_per_km", "'ABC' phase", "1.0D voltage_ll", "'primary' section")
+    net = N.build(rows, no_sites(spark))
+    load = net.node.withColumn("kw", F.lit(1.0))
+    sums = N.downstream_sum(net, load, ["kw"])
+    assert {r.feeder_id: r.kw for r in sums.where("node = concat(feeder_id, '-SRC')").collect()} == {"F1": 100_001.0, "F2": 10_001.0}
+    chained = sums.where("feeder_id = 'F2' AND node LIKE 'n%'")
+    assert chained.where("kw <> 10000 - cast(substring(node, 2) AS int)").count() == 0 and chained.count() == 10_000
+    # the sum shuffles a fixed number of times, whatever the depth
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 * 12
+    # every node of the chain as a start: one row each, not the 5 * 10^7 nodes below them
+    starts = net.node.where("feeder_id = 'F2'").withColumnRenamed("node", "start")
+    assert N.trace_ranges(net, starts).agg(F.count("*").alias("n"), F.sum("n_below").alias("below")).first() == (10_001, 10_000 * 10_001 // 2)
+
+
+def test_validation_of_random_graphs(spark):
+    rng = random.Random(4)
+    edges, cyclic, lost = [], set(), set()
+    for f in range(80):
+        nodes = [f"F{f}-SRC"] + [f"m{i}" for i in range(rng.randrange(3, 14))]
+        own = {(rng.choice(nodes), rng.choice(nodes[1:])) for _ in range(rng.randrange(2, 18))}
+        own = [(a, b) for a, b in own if a != b or rng.random() < 0.2]
+        edges += [(f"F{f}", a, b) for a, b in own]
+        near = {n: {b for a, b in own if a == n} for n in {*nodes}}
+
+        def reach(n):
+            seen, todo = set(), [n]
+            while todo:
+                for m in near[todo.pop()] - seen:
+                    seen.add(m)
+                    todo.append(m)
+            return seen
+
+        if any(n in reach(n) for n in nodes):
+            cyclic.add(f"F{f}")
+        used = {x for e in own for x in e}
+        lost |= {(f"F{f}", n) for n in used - reach(nodes[0]) - {nodes[0]}}
+    rows = [(f, f"s{i:04d}", a, b, 1.0, 0.5, 0.2, "ABC", 1.0, "primary") for i, (f, a, b) in enumerate(edges)]
+    net = N.build(spark.createDataFrame(rows, SEG), no_sites(spark))
+    assert {r.feeder_id for r in N.cyclic_feeders(net).collect()} == cyclic
+    assert {(r.feeder_id, r.node) for r in N.unreachable(net).collect()} == lost
+
+
+def test_ties_stay_linear(spark):
+    # 10^4 ties that all lead to each other from above: no pair of ties becomes a row
+    base = spark.range(10_000).selectExpr("concat('c', id) segment_id", "if(id = 0, 'F1-SRC', concat('n', id - 1)) node_from", "concat('n', id) node_to")
+    ties = spark.range(10_000).selectExpr("concat('t', id) segment_id", "concat('n', id) node_from", "concat('n', (id * 7919) % 10000) node_to")
+    rows = base.union(ties).selectExpr("'F1' feeder_id", "*", "1.0D length_m", "0.5D r_ohm_per_km", "0.2D x_ohm_per_km", "'ABC' phase", "1.0D voltage_ll", "'primary' section")
+    net = N.build(rows, no_sites(spark))
+    assert [r.feeder_id for r in N.cyclic_feeders(net).collect()] == ["F1"]
+    assert N.unreachable(net).count() == 0
+
+
 def test_island_fed_by_second_feed_is_reachable(spark):
     # y's tree edge comes from the cut-off x, a second feed arrives from a
     edges = [("F1-SRC", "a"), ("x", "y"), ("y", "z"), ("a", "y")]

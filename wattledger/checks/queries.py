@@ -702,7 +702,7 @@ def _(run):
 
 @query("accumulate_downstream")
 def _(run):
-    out = N.subtree_sum(run.net.tree.levels, run.node_load, ["kw"])
+    out = N.downstream_sum(run.net, run.node_load, ["kw"])
     return out.select("feeder_id", "node", rnd("kw", 4).alias("kw"))
 
 
@@ -797,7 +797,7 @@ _rule("R25", lambda run: Q.lamp_without_site(run.t.streetlights, run.cfg))
 def _(run):
     """Load raised a thousandfold so that the rule has something to find."""
     load = run.node_load.withColumn("kw", F.col("kw") * 1000.0)
-    return Q.ampacity(run.t.segments, N.subtree_sum(run.net.tree.levels, load, ["kw"]), run.cfg)
+    return Q.ampacity(run.t.segments, N.downstream_sum(run.net, load, ["kw"]), run.cfg)
 
 
 @query("R15")
@@ -815,7 +815,7 @@ def _(run):
 @query("R22")
 def _(run):
     net = N.build(_damaged(run), run.t.sites)
-    lost = N.unreachable(net, *N.counted_extra_edges(net))
+    lost = N.unreachable(net)
     return Q.not_reachable(run.t.sites, run.t.customers, net, lost, run.cfg)
 
 

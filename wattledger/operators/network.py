@@ -1,9 +1,10 @@
-"""Feeder trees as a binary ancestor index instead of an all-pairs closure.
+"""Feeder trees as a binary ancestor index and depth-first intervals instead of an all-pairs closure.
 
 Level k maps each node to its ancestor 2^k steps up.  Building it takes
-log2(depth) self-joins of the node table; afterwards any trace, subtree sum or
-path sum is log2(depth) joins on unique keys.  Size is nodes x log2(depth), so a
-long chain never explodes into quadratic pairs.
+log2(depth) self-joins of the node table, and size is nodes x log2(depth), so a
+long chain never explodes into quadratic pairs.  From the levels every node gets its
+depth-first interval once; subtree sums, traces and marks below nodes then
+take the same few shuffles at any depth.
 """
 
 # The Spanish finding and evidence texts are output values that readers of the reports expect.
@@ -11,11 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattledger.functions.numeric import rnd
+from wattledger.operators import intervals as I
 from wattledger.session import materialize, materialize_with
 
 KEY = ["feeder_id", "node"]
@@ -150,6 +153,35 @@ class Network:
     node: DataFrame
     tree: Tree
 
+    @cached_property
+    def intervals(self) -> DataFrame:
+        """(feeder_id, node, entry, last, depth) of every node that has a root."""
+        return I.number(self.tree.roots, self.tree.levels, self.parent)
+
+    @cached_property
+    def forest(self) -> tuple[DataFrame, DataFrame]:
+        """(intervals, parent) of all nodes: every cycle of tree edges is cut above its smallest node."""
+        if not self.tree.cyclic:
+            return self.intervals, self.parent
+        parent = materialize(self.parent.join(cycle_tops(self), KEY, "left_anti"), "cut-parents")
+        tree = build_tree(parent, self.node, "forest")
+        return I.number(tree.roots, tree.levels, parent), parent
+
+    @cached_property
+    def feeds(self) -> tuple[DataFrame, int]:
+        """(feeder_id, segment_id, start, first, last), and their number: edges besides those of the forest.
+
+        ``start`` is the depth-first number of the node an edge comes from; ``first`` to
+        ``last`` are those of the node it leads to and of everything below that.
+        """
+        numbers, parent = self.forest
+        beside = self.edge.join(parent.select("feeder_id", "segment_id"), ["feeder_id", "segment_id"], "left_anti")
+        start = numbers.select("feeder_id", F.col("node").alias("parent"), F.col("entry").alias("start"))
+        end = numbers.select(*KEY, F.col("entry").alias("first"), "last")
+        rows = beside.join(start, ["feeder_id", "parent"]).join(end, KEY).select("feeder_id", "segment_id", "start", "first", "last")
+        found, seen = materialize_with(rows, "feeds", n=F.count(F.lit(1)))
+        return found, seen["n"]
+
 
 def build(segments: DataFrame, sites: DataFrame) -> Network:
     edge = materialize(edges(segments, sites), "edges")
@@ -171,23 +203,13 @@ def ancestor_index(net: Network) -> DataFrame:
 
 
 def trace_downstream(net: Network, starts: DataFrame) -> DataFrame:
-    """Descendants of each start (feeder_id, start); every node is met exactly once."""
-    found = starts.select("feeder_id", "start", F.col("start").alias("node"), F.lit(0).alias("hops"))
-    for level in net.tree.levels:
-        step = level.select("feeder_id", F.col("node").alias("next"), F.col("anc").alias("node"), "step")
-        # an inner join: adaptive execution may split the side on which many nodes share an ancestor
-        below = found.join(step, KEY).select("feeder_id", "start", F.col("next").alias("node"), (F.col("hops") + F.col("step")).alias("hops"))
-        found = found.unionByName(below)
-    return found.where("hops > 0")
+    """Descendants of each start (feeder_id, start); every node is met exactly once per start."""
+    return I.members(net.intervals, I.below(net.intervals, starts))
 
 
-def reached_below(net: Network, entries: DataFrame) -> DataFrame:
-    """Nodes at or below any of ``entries``: one mark per node, however many entries it is below."""
-    marked = entries.select(*KEY).distinct()
-    for level in net.tree.levels:
-        lower = level.join(marked.withColumnRenamed("node", "anc"), ["feeder_id", "anc"], "left_semi").select(*KEY)
-        marked = marked.unionByName(lower).distinct()
-    return marked
+def trace_ranges(net: Network, starts: DataFrame) -> DataFrame:
+    """What is below each start as a range of depth-first numbers: one row per start, for traces of all devices at once."""
+    return I.below(net.intervals, starts)
 
 
 def trace_upstream(net: Network, starts: DataFrame) -> DataFrame:
@@ -229,31 +251,18 @@ def path_to_source(net: Network, starts: DataFrame) -> DataFrame:
 # --- sums over the tree -------------------------------------------------------
 
 
-def subtree_sum(levels: list[DataFrame], values: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sum over each node and everything below it.
+#: by levels, for iterations that sum anew each round over one tree
+subtree_sum = I.ladder_sum
 
-    Round k hands every partial sum to the ancestor 2^k up; one pass per level
-    covers all depths because each depth has one binary expansion.
-    """
-    acc = values.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in columns])
-    for level in levels:
-        up = level.select(*KEY, "anc")
-        targets = F.explode(F.array_compact(F.array("node", "anc"))).alias("to")
-        spread = acc.join(up, KEY, "left").select("feeder_id", targets, *columns)
-        acc = spread.groupBy("feeder_id", F.col("to").alias("node")).agg(*[F.sum(c).alias(c) for c in columns])
-    return acc
+
+def downstream_sum(net: Network, values: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Sum over each node and everything below it, for nodes with a value at or below them."""
+    return I.subtree_sum(net.intervals, values, columns)
 
 
 def path_sum(levels: list[DataFrame], node: DataFrame, values: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Sum over each node of ``node`` and all its ancestors; ``values`` has one row per node."""
-    acc = values.select(*KEY, *columns)
-    for level in levels:
-        # every node reads its own partial sum and the one 2^k above it
-        reads = node.select(*KEY).join(level.select(*KEY, "anc"), KEY, "left")
-        reads = reads.select(*KEY, F.explode(F.array_compact(F.array("node", "anc"))).alias("at"))
-        give = acc.withColumnRenamed("node", "at")
-        acc = reads.join(give, ["feeder_id", "at"]).groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in columns])
-    return acc
+    return I.ladder_reduce(levels, node, values, {c: F.sum for c in columns})
 
 
 # --- leaves, subtree load, branches -------------------------------------------
@@ -284,7 +293,7 @@ def subtree_load(net: Network, leaves: DataFrame, load: DataFrame) -> DataFrame:
     )
     own = materialize(own, "own-load")
     cols = ["n_customers", "n_streetlights", "load_kva", "n_nodes"]
-    below = subtree_sum(net.tree.levels, own, cols)
+    below = downstream_sum(net, own, cols)
     mine = own.select(*KEY, *[F.col(c).alias(f"own_{c}") for c in cols])
     diff = {c: F.col(c) - F.col(f"own_{c}") for c in cols}
     return below.join(mine, KEY).select(
@@ -320,69 +329,69 @@ def node_load(demand: DataFrame, sites: DataFrame, periods: DataFrame, hours: fl
 # --- validation ---------------------------------------------------------------
 
 
+def cycle_tops(net: Network) -> DataFrame:
+    """The smallest node of every cycle of tree edges.
+
+    Nodes without a root are on a cycle or behind one.  After as many steps up as there are
+    such nodes each of them stands on a cycle, and every node of a cycle is stood on; the
+    smallest name met on the way round is then that of the whole cycle.
+    """
+    loose = net.tree.roots.where(F.col("root").isNull()).select(*KEY)
+    up = net.parent.select(*KEY, F.col("parent").alias("ptr"), F.col("parent").alias("low"))
+    state, steps = materialize(loose.join(up, KEY), "loops"), 1
+    while steps < net.tree.cyclic:
+        above = state.select("feeder_id", F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"))
+        both = state.join(above, ["feeder_id", "ptr"])
+        state, steps = materialize(both.select(*KEY, F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low")), "loops"), steps * 2
+    stood_on = state.select("feeder_id", F.col("ptr").alias("node")).distinct()
+    return state.join(stood_on, KEY, "left_semi").where(F.col("node") == F.col("low")).select(*KEY)
+
+
 def extra_edges(net: Network) -> DataFrame:
     """Edges that are not the tree edge of their node (second feeds, ties)."""
     return net.edge.join(net.parent.select("feeder_id", "segment_id"), ["feeder_id", "segment_id"], "left_anti")
 
 
-def counted_extra_edges(net: Network) -> tuple[DataFrame, int]:
-    extra, seen = materialize_with(extra_edges(net), "extra-edges", n=F.count(F.lit(1)))
-    return extra, seen["n"]
-
-
-def unreachable(net: Network, extra: DataFrame, n_extra: int) -> DataFrame:
-    """Nodes no path from the source reaches, second feeds included."""
-    roots = net.tree.roots.select(*KEY, "root")
-    is_source = F.coalesce(F.col("root") == source_of(F.col("feeder_id")), F.lit(False))
-    lost = roots.where(~is_source).select(*KEY)
-    reached = roots.where(is_source).select(*KEY)
-    rescued = 1 if n_extra else 0
-    while rescued:
-        # a second feed from a reached node brings in its node and everything below
-        entry = (
-            extra.join(reached.withColumnRenamed("node", "parent"), ["feeder_id", "parent"], "left_semi")
-            .join(lost, KEY, "left_semi")
-            .select(*KEY)
-        )
-        found = materialize(reached_below(net, entry), "rescued")
-        rescued = found.count()
-        if rescued:
-            reached = materialize(reached.unionByName(found).distinct(), "reached")
-            lost = materialize(lost.join(found, KEY, "left_anti"), "lost")
-    return lost
-
+def unreachable(net: Network) -> DataFrame:
+    """Nodes no path from the source reaches, feeds beside the tree included.
 
-def cyclic_feeders(net: Network, extra: DataFrame, n_extra: int) -> DataFrame:
+    A feed from a reached node opens all below its end.  Each round is one sweep over
+    openings and closings, and rounds are as many as islands follow each other.
+    """
+    (numbers, _), (feed, n_feeds) = net.forest, net.feeds
+    source = numbers.where(F.col("node") == source_of(F.col("feeder_id"))).select("feeder_id", F.col("entry").alias("first"), "last")
+    opened, left, grows = source, feed, n_feeds > 0
+    while grows:
+        new = materialize(I.inside(opened, left.withColumn("at", F.col("start"))).drop("at"), "opened")
+        grows = not new.isEmpty()
+        if grows:
+            opened = materialize(opened.unionByName(new.select("feeder_id", "first", "last")), "opened-ranges")
+            left = materialize(left.join(new.select("feeder_id", "segment_id"), ["feeder_id", "segment_id"], "left_anti"), "closed-feeds")
+    reached = I.inside(opened, numbers.select(*KEY, F.col("entry").alias("at")))
+    return numbers.select(*KEY).join(reached.select(*KEY), KEY, "left_anti")
+
+
+def cyclic_feeders(net: Network) -> DataFrame:
     """Feeders whose edges contain a cycle.
 
-    Cycles inside the tree edges show up while doubling.  Any other cycle runs over
-    second feeds: feed a leads to feed b when a ends at or above b's start; peeling
-    feeds nothing leads to leaves exactly those on or behind a cycle.
+    With the forest's numbers, tree edges and feeds from a smaller to a larger number cannot
+    make a cycle alone, so only feeders with a feed backwards are looked at.  There, a feed
+    leads on to all feeds that start at or below its end.  Feeds that none leads to and feeds
+    that lead to none are trimmed; what cannot be trimmed is on or between cycles.  A round
+    is two sweeps, whatever the number of feeds that lead to each other.
     """
-    loops = net.tree.roots.where(F.col("root").isNull()).select("feeder_id").distinct()
-    if not n_extra:
-        return loops
-    feed = extra.select("feeder_id", "segment_id", "parent", F.col("node").alias("end"))
-    starts = feed.select("feeder_id", F.col("parent").alias("start")).distinct()
-    above = trace_upstream(net, starts).select("feeder_id", "start", "node")
-    above = above.unionByName(starts.withColumn("node", F.col("start")))
-    lead = (
-        feed.select("feeder_id", F.col("segment_id").alias("b"), F.col("parent").alias("start"))
-        .join(above, ["feeder_id", "start"])
-        .join(feed.select("feeder_id", F.col("segment_id").alias("a"), F.col("end").alias("node")), KEY)
-        .select("feeder_id", "a", "b")
-        .distinct()
-    )
-    left = -1
+    feed, n_feeds = net.feeds
+    if not n_feeds:
+        return feed.select("feeder_id").limit(0)
+    back = feed.where(F.col("first") <= F.col("start")).select("feeder_id").distinct()
+    left, before = feed.join(back, "feeder_id", "left_semi"), -1
     while True:
-        lead = materialize(lead, "feed-leads")
-        now = lead.count()
-        if now in (0, left):
-            break
-        left = now
-        entered = lead.select("feeder_id", F.col("b").alias("a")).distinct()
-        lead = lead.join(entered, ["feeder_id", "a"], "left_semi")
-    return loops.unionByName(lead.select("feeder_id")).distinct()
+        left, seen = materialize_with(left, "feeds-left", n=F.count(F.lit(1)))
+        if seen["n"] in (0, before):
+            return left.select("feeder_id").distinct()
+        before = seen["n"]
+        entered = I.inside(left, left.withColumn("at", F.col("start"))).drop("at")
+        left = I.holding(entered, entered.select("feeder_id", F.col("start").alias("at")).distinct())
 
 
 def validate(net: Network) -> DataFrame:
@@ -397,8 +406,6 @@ def validate_nodes(net: Network) -> DataFrame:
 
 
 def _topology(net: Network) -> tuple[DataFrame, DataFrame]:
-    extra, n_extra = counted_extra_edges(net)
-
     def report(found: DataFrame, rule: str, severity: str, text: str) -> DataFrame:
         size = found.groupBy("feeder_id").agg(F.count(F.lit(1)).alias("n"))
         return size.select(
@@ -408,15 +415,15 @@ def _topology(net: Network) -> tuple[DataFrame, DataFrame]:
             F.format_string(text, F.col("n")).alias("evidence"),
         )
 
-    cycle = cyclic_feeders(net, extra, n_extra).select(
+    cycle = cyclic_feeders(net).select(
         "feeder_id",
         F.lit("TOPO_CYCLE").alias("rule_id"),
         F.lit("critica").alias("severity"),
         F.lit("El grafo del alimentador contiene ciclos (no radial)").alias("evidence"),
     )
-    lost = unreachable(net, extra, n_extra).select(*KEY)
+    lost = unreachable(net)
     island = report(lost, "TOPO_ISLAND", "critica", "%d nodos no alcanzables desde la fuente")
-    fed_twice = extra.select(*KEY).distinct()
+    fed_twice = extra_edges(net).select(*KEY).distinct()
     multi = report(fed_twice, "TOPO_MULTIFEED", "alta", "%d nodos con más de un padre")
     named = lost.withColumn("rule_id", F.lit("TOPO_ISLAND")).unionByName(fed_twice.withColumn("rule_id", F.lit("TOPO_MULTIFEED")))
     return cycle.unionByName(island).unionByName(multi), named
@@ -428,19 +435,18 @@ def _topology(net: Network) -> tuple[DataFrame, DataFrame]:
 def zone_of_nodes(net: Network, devices: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((node, zone_id), boundaries): a node belongs to the nearest boundary above it.
 
-    Cutting the tree above each device makes the device node the root of its zone,
-    so the same pointer doubling yields the zone of every node.
+    The nearest is the deepest, so it is a maximum along the path to the root, read off
+    the tree's own levels.
     """
     first = devices.groupBy("feeder_id", F.col("node_id").alias("node")).agg(F.max("device_id").alias("zone_id"))
     head = net.node.where(F.col("node") == source_of(F.col("feeder_id"))).select(*KEY, F.lit("HEAD").alias("zone_id"))
     bound = materialize(
         first.join(head.select(*KEY), KEY, "left_anti").unionByName(head), "boundaries"
     )
-    cut = net.parent.join(bound.select(*KEY), KEY, "left_anti")
-    tree = build_tree(cut, net.node, "zones")
-    roots = tree.roots.select(*KEY, F.col("root"))
-    zone = roots.join(bound.select("feeder_id", F.col("node").alias("root"), "zone_id"), ["feeder_id", "root"])
-    return zone.select(*KEY, "zone_id"), bound
+    deep = net.tree.roots.where(F.col("root").isNotNull()).select(*KEY, F.col("hops").alias("depth"))
+    mark = bound.join(deep, KEY).select(*KEY, F.struct("depth", "zone_id").alias("zone"))
+    nearest = I.ladder_reduce(net.tree.levels, deep, mark, {"zone": F.max})
+    return nearest.select(*KEY, "zone.zone_id"), bound
 
 
 def zones(net: Network, devices: DataFrame, sites: DataFrame, customers: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -189,8 +189,8 @@ def run_rules(t, net: N.Network, zones: DataFrame, load: DataFrame, cfg: dict) -
     """All rules as one union; disabled rules contribute nothing and are pruned."""
     segments = materialize(t.segments, "segments")
     pairs = materialize(with_upstream(segments), "segment-pairs")
-    below = N.subtree_sum(net.tree.levels, load, ["kw"])
-    lost = N.unreachable(net, *N.counted_extra_edges(net))
+    below = N.downstream_sum(net, load, ["kw"])
+    lost = N.unreachable(net)
     parts = [
         sandwich_conductor(pairs, segments, cfg),
         short_change(pairs, cfg),
