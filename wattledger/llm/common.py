@@ -112,15 +112,30 @@ def maybe_members(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return _against(rows, keys, column, "left_semi")
 
 
+def marked(rows: DataFrame, keys: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with a boolean ``name``: true for every row whose key is among ``keys``, and for few others.
+
+    It depends on the key alone, so two tables that share a key agree on it.
+    """
+    slot, bit = _place(column)
+    hit = F.coalesce(bit.bitwiseAND(F.col("__members_bits")) != 0, F.lit(False))
+    return rows.join(F.broadcast(membership(keys, column)), slot == F.col("__members_slot"), "left").withColumn(name, hit).drop("__members_slot", "__members_bits")
+
+
 def only_members(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Rows whose key is among ``keys``; only candidates are shuffled."""
     return _exactly(maybe_members(rows, keys, column), keys, column, "left_semi")
 
 
-def without_members(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+def without_members(rows: DataFrame, keys: DataFrame, column: str, **further: Column) -> DataFrame:
     """Rows whose key is not among ``keys`` (null keys stay).
 
     Rows that the filter rules out pass as they are; only the others are shuffled for the exact anti join.
+    ``further`` columns of ``keys`` have to agree too with what is given for them, which is computed for those others alone.
     """
-    rest = _exactly(maybe_members(rows, keys, column), keys, column, "left_anti")
-    return _against(rows, keys, column, "left_anti").union(rest)
+    close = maybe_members(rows, keys, column)
+    known = keys.select(F.col(column).alias("__members_key"), *[F.col(c).alias(f"__members_{c}") for c in further]).distinct()
+    match = F.col(column) == F.col("__members_key")
+    for c, own in further.items():
+        match &= own == F.col(f"__members_{c}")
+    return _against(rows, keys, column, "left_anti").union(close.join(known, match, "left_anti"))

@@ -17,7 +17,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattledger.llm.common import WORD, maybe_members
+from wattledger.llm.common import WORD, marked, maybe_members
 
 #: letters of the filters; a filter's bit is 1 << its position
 FILTERS = "ABCDE"
@@ -62,12 +62,19 @@ def failures(docs: DataFrame) -> DataFrame:
     )
     # only rows whose hash several doc_ids have are moved with their texts
     numbered = own.where("doc_id IS NOT NULL")
-    shared = numbered.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    suspects = maybe_members(numbered, shared, "hash")
-    # one row for all copies of a text: a group of any size meets the join as a single row
-    earliest = suspects.groupBy("hash", "text").agg(F.min("doc_id").alias("earlier"))
-    later = earliest.select(F.col("hash").alias("h"), F.col("text").alias("t"), "earlier")
-    copies = suspects.join(later, (F.col("hash") == F.col("h")) & (F.col("text") == F.col("t")) & (F.col("earlier") < F.col("doc_id")), "left_semi")
+    sized = numbered.groupBy("hash").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    shared = sized.where("least < most")
+    # groups above the mean partition are dealt over as many salts as there are partitions
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = shared.where(F.col("size") * parts > numbered.agg(F.count(F.lit(1))).scalar())
+    suspects = marked(maybe_members(numbered, shared, "hash"), hot, "hash", "is_hot")
+    salted = suspects.withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).otherwise(0))
+    # one row for all copies of a text meets the join, once per salt
+    earliest = suspects.groupBy("hash", "text", "is_hot").agg(F.min("doc_id").alias("earlier"))
+    salts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    later = earliest.select(F.col("hash").alias("h"), F.col("text").alias("t"), "earlier", F.explode(salts).alias("s"))
+    same = (F.col("hash") == F.col("h")) & (F.col("text") == F.col("t")) & (F.col("salt") == F.col("s"))
+    copies = salted.join(later, same & (F.col("earlier") < F.col("doc_id")), "left_semi")
     repeated = copies.select("doc_id", "part", "hash", F.lit(bit("E")).alias("bits"), F.lit(0).cast("long").alias("n"))
     # a document's rows meet by (doc_id, hash); what is alike is then one row per doc_id
     combined = shown.unionByName(repeated).groupBy("doc_id", "part", "hash").agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n"))
