@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattledger.llm import common
-from wattledger.llm.units import UnitEncoder
+from wattledger.llm.units import PASS_BYTES, UnitEncoder, joined
 
-#: tested pairs, words and units that a worker remembers, about 300 MB together; beyond them it starts anew
-CACHE_PAIRS, CACHE_WORDS, CACHE_UNITS = 1_000_000, 400_000, 400_000
+#: tested pairs and words that a worker remembers, about 80 MB together; beyond them it starts anew
+CACHE_PAIRS, CACHE_WORDS = 500_000, 200_000
 #: white space of Unicode, which Python's own class exceeds; fixed values
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: the word pattern of this family of vocabularies; fixed values
@@ -38,12 +38,14 @@ def byte_letters() -> dict[str, int]:
     return letters
 
 
-class PrefixEncoder:
-    """Encoder and decoder for one vocabulary file of the tokenizers library (kind BPE, byte level)."""
+class TokenTable:
+    """The bytes of every id of one vocabulary file of the tokenizers library (kind BPE, byte level)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+            self._read(json.load(file))
+
+    def _read(self, spec: dict) -> dict[bytes, int]:
         letters = byte_letters()
         vocab = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -53,6 +55,20 @@ class PrefixEncoder:
             self.tokens[i] = token
         for text, i in self.special.items():
             self.tokens[i] = text.encode()
+        return vocab
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+
+
+class PrefixEncoder(TokenTable):
+    """Encoder and decoder for one vocabulary file."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        vocab, letters = self._read(spec), byte_letters()
+        size = len(self.tokens)
         self.width = "<u2" if size <= 1 << 16 else "<u4"
         self.packed = [np.array([i], self.width).tobytes() for i in range(size)]
         # (left, right) -> (rank, merged); parts[i] is how i was first made, -1 for a single byte
@@ -64,7 +80,9 @@ class PrefixEncoder:
             self.merges.setdefault((a, b), (rank, whole))
             if self.rank[whole] < 0:
                 self.left[whole], self.right[whole], self.rank[whole] = a, b, rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # left * size + right -> BPE leaves the pair as it is
+        self.pairs: dict[int, bool] = {}
+        self.size = size
         # a token that BPE would not make from its own bytes ends no prefix
         self.automaton = ahocorasick.Automaton()
         for token, i in sorted(vocab.items()):
@@ -103,23 +121,23 @@ class PrefixEncoder:
             else:
                 until_b, b = self.rank[b], self.left[b]
 
-    def fits(self, pair: tuple[int, int]) -> bool:
+    def fits(self, pair: int) -> bool:
         """BPE leaves the pair of neighbours as it is."""
         if len(self.pairs) > CACHE_PAIRS:
             self.pairs.clear()
-        found = self.pairs[pair] = self._apart(*pair, 1 << 60)
+        found = self.pairs[pair] = self._apart(*divmod(pair, self.size), 1 << 60)
         return found
 
     def word(self, word: str) -> bytes:
         """Packed ids of one word of the pattern."""
         raw = word.encode("utf-8", "surrogatepass").decode("latin-1")
         n = len(raw)
-        last, start, known = [-1] * n, [0] * n, self.pairs.get
+        last, start, known, size = [-1] * n, [0] * n, self.pairs.get, self.size
         for end, (token, length) in self.automaton.iter(raw):
             if last[end] < 0:
                 before = end - length
                 if before >= 0:
-                    pair = (last[before], token)
+                    pair = last[before] * size + token
                     fits = known(pair)
                     if fits is None:
                         fits = self.fits(pair)
@@ -151,59 +169,76 @@ class PrefixEncoder:
             self.known.clear()
         return [self._text(t) for t in texts]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
-
 
 _LOADED: dict[str, tuple[PrefixEncoder, UnitEncoder]] = {}
+_TABLES: dict[str, TokenTable] = {}
 
 
 def loaded(path: str) -> tuple[PrefixEncoder, UnitEncoder]:
     """One encoder per worker and file."""
     if path not in _LOADED:
         bpe = PrefixEncoder(path)
-        _LOADED[path] = bpe, UnitEncoder(bpe.encode_many, most=CACHE_UNITS)
+        _LOADED[path] = bpe, UnitEncoder(lambda texts: joined(bpe.encode_many(texts), bpe.width), bpe.width)
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", release: bool = False) -> DataFrame:
+def table(path: str) -> TokenTable:
+    """What decoding needs; one per worker and file."""
+    if path not in _TABLES:
+        _TABLES[path] = TokenTable(path)
+    return _TABLES[path]
+
+
+def _texts(docs: DataFrame, id_column: str) -> DataFrame:
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def encode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id") -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit): one row per row of ``docs``.
 
     ``tokenizer`` is a vocabulary file that driver and executors can read.  Null and empty
-    texts have no ids.  Rows may repeat; an empty table gives an empty result; other
-    columns are not read.  ``release`` gives a worker's memory back at each task's end, for
-    jobs whose later stages use the same workers.
+    texts have no ids.  Rows may repeat and doc_ids may be null; an empty table gives an
+    empty result; other columns are not read.
     """
 
     def run(batches):
-        bpe, units = loaded(tokenizer)
-        for batch in common.passes(batches, "text"):
-            ids = [np.frombuffer(x, bpe.width).astype("<u4").tobytes() for x in units([t or "" for t in batch.column("text").to_pylist()])]
+        units = loaded(tokenizer)[1]
+        for batch in common.passes(batches, "text", PASS_BYTES):
+            ids = [x.astype("<u4").tobytes() for x in units(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-        if release:
-            del bpe, units
-            _LOADED.pop(tokenizer, None)
 
-    own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, ids binary")
+    return _texts(docs, id_column).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """``encoded`` (doc_id, ids) with ``decoded``: the text of the ids, special tokens included."""
 
     def run(batches):
-        bpe, _ = loaded(tokenizer)
+        known = table(tokenizer)
         for batch in common.passes(batches, "ids"):
-            out = [bpe.decode(np.frombuffer(x, "<u4")).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
+            out = [known.decode(np.frombuffer(x, "<u4")).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(out, pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
+def round_trip(docs: DataFrame, tokenizer: str, id_column: str = "doc_id") -> DataFrame:
+    """doc_id, ids and decoded of every row, as ``decode(encode(docs))``, in one worker per task."""
+
+    def run(batches):
+        bpe, units = loaded(tokenizer)
+        for batch in common.passes(batches, "text", PASS_BYTES):
+            arrays = units(batch.column("text"))
+            out = [bpe.decode(x).decode("utf-8", "replace") for x in arrays]
+            ids = [x.astype("<u4").tobytes() for x in arrays]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(out, pa.string())], ["doc_id", "ids", "decoded"])
+
+    return _texts(docs, id_column).mapInArrow(run, "doc_id long, ids binary, decoded string")
+
+
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    back = decode(encode(docs, tokenizer), tokenizer)
-    return back.select(
+    return round_trip(docs, tokenizer).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

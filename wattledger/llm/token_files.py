@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wattledger.llm import common
-from wattledger.llm.units import UnitEncoder
+from wattledger.llm.units import PASS_BYTES, UnitEncoder
 from wattledger.session import checkpoint_root, materialize
 
 #: id appended to every document
@@ -49,25 +49,21 @@ def _encoder(path: str) -> tuple[UnitEncoder, str]:
         library.no_padding()
         width = "<u2" if library.get_vocab_size() <= 1 << 16 else "<u4"
 
-        def encode_many(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, width).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = [np.array(e.ids, width) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, width), *found]), np.array([len(f) for f in found], np.int64)
 
         # a token with a blank in front opens a word: so many words can be encoded as one text
         opens = np.zeros(library.get_vocab_size(), bool)
         blank = library.encode(" ", add_special_tokens=False).tokens[0]
         opens[[i for token, i in library.get_vocab().items() if token.startswith(blank)]] = True
 
-        def encode_led(words: list[str]) -> list[bytes]:
-            out: list[bytes] = []
-            for i in range(0, len(words), LED_WORDS):
-                some = words[i : i + LED_WORDS]
-                ids = np.array(library.encode(" " + " ".join(some), add_special_tokens=False).ids, width)
-                packed, cuts = ids.tobytes(), np.append(np.flatnonzero(opens[ids]), len(ids)) * ids.itemsize
-                cuts = cuts.tolist()
-                out += [packed[a:b] for a, b in zip(cuts, cuts[1:])]
-            return out
-
-        _ENCODERS[path] = UnitEncoder(encode_many, encode_led), width
+        def encode_led(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            lines = [" " + " ".join(words[i : i + LED_WORDS]) for i in range(0, len(words), LED_WORDS)]
+            ids = encode(lines)[0]
+            return ids, np.diff(np.flatnonzero(opens[ids]), append=len(ids))
+
+        _ENCODERS[path] = UnitEncoder(encode, width, encode_led), width
     return _ENCODERS[path]
 
 
@@ -102,16 +98,15 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
         system.create_dir(path, recursive=True)
         task = TaskContext.get()
         name = f"{task.partitionId():06d}-{task.taskAttemptId()}"
-        end = np.array([end_id], width).tobytes()
+        end = np.array([end_id], width)
         ids, ends, total = [], [], 0
         with system.open_output_stream(f"{path}/{name}.bin") as out:
-            for batch in common.passes(batches, "text"):
-                packed = [p + end for p in units([t or "" for t in batch.column("text").to_pylist()])]
-                sizes = np.array([len(p) for p in packed], np.int64) // np.dtype(width).itemsize
-                ends.append(total + np.cumsum(sizes))
+            for batch in common.passes(batches, "text", PASS_BYTES):
+                encoded = units(batch.column("text"))
+                ends.append(total + np.cumsum(np.array([len(e) + 1 for e in encoded], np.int64)))
                 total = int(ends[-1][-1])
                 ids.append(batch.column("doc_id").fill_null(NO_ID).to_numpy())
-                out.write(b"".join(packed))
+                out.write(np.concatenate([part for e in encoded for part in (e, end)]))
         n = sum(map(len, ids))
         if not n:
             system.delete_file(f"{path}/{name}.bin")
