@@ -1,8 +1,8 @@
 """Field campaign: candidates, budget allocation, work orders, rankings, summary.
 
-Visit costs are one constant per candidate, so "take in value order until the
-budget is used" is the exact 0/1 knapsack; it needs running sums, which come from
-the range-partitioned scan rather than one global window.
+With one cost for all sites, "take in value order until the budget is used" is the
+exact 0/1 knapsack.  With different costs a multiplier prices the budget; it is found by
+mergeable aggregates, and comes with a bound.  Running sums are range-partitioned scans.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wattledger.functions.numeric import rnd
 from wattledger.scale import running, top_rows
-from wattledger.session import materialize
+from wattledger.session import materialize, materialize_with
 
 
 def candidates(
@@ -79,26 +80,170 @@ def _within(ranked: DataFrame, budget: Column, max_visits: int | None) -> DataFr
     return ranked.where(fits if max_visits is None else fits & (F.col("pos") <= max_visits))
 
 
+def fill(cand: DataFrame, group: list[str], order: list[Column], room: DataFrame) -> DataFrame:
+    """Rows of ``cand`` taken in order while they fit; what does not fit is passed over.
+
+    ``room`` (group, budget, visits) is what each group may spend.  A round takes the longest
+    run that fits; then only rows that cost no more than what is left can follow, and
+    what is left falls with every round, so rounds are few and get smaller quickly (one, if all costs are equal).
+    """
+    taken, columns, pairing = [], cand.columns, group or ["_all"]
+    left = cand if group else cand.withColumn("_all", F.lit(0))
+    room = materialize(room if group else room.withColumn("_all", F.lit(0)), "room")
+    while True:
+        ranked = running(left.join(room, pairing).where(F.col("cost_usd") <= F.col("budget")).drop("budget", "visits"), pairing, order, {"spent": "cost_usd"})
+        ranked = ranked.join(room, pairing)
+        ranked = materialize(ranked.withColumn("fits", (F.col("spent") <= F.col("budget")) & (F.col("pos") <= F.col("visits"))), "ranked")
+        chosen = ranked.where("fits")
+        taken.append(chosen.select(*columns))
+        used = chosen.groupBy(*pairing).agg(F.sum("cost_usd").alias("used"), F.count(F.lit(1)).alias("n"))
+        room = room.join(used, pairing, "left").select(*pairing, (F.col("budget") - F.coalesce("used", F.lit(0.0))).alias("budget"), (F.col("visits") - F.coalesce("n", F.lit(0))).alias("visits"))
+        room = materialize(room.where("visits > 0"), "room")
+        rest = ranked.where("NOT fits").select(*columns, *[c for c in pairing if c not in columns])
+        left = rest.join(room.select(*pairing, F.col("budget").alias("_left")), pairing).where(F.col("cost_usd") <= F.col("_left")).drop("_left")
+        if left.isEmpty():
+            break
+    out = taken[0]
+    for part in taken[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+#: stands for no limit on the number of visits
+MANY = 1 << 60
+
+
+def _room(cand: DataFrame, budget: float, max_visits: int | None) -> DataFrame:
+    return cand.sparkSession.range(1).select(F.lit(float(budget)).alias("budget"), F.lit(MANY if max_visits is None else max_visits).cast("long").alias("visits"))
+
+
 def greedy(cand: DataFrame, budget: float, max_visits: int | None = None) -> DataFrame:
-    ranked = running(cand, [], _by("roi"), {"spent": "cost_usd"})
-    return _within(ranked, F.lit(budget), max_visits).select(*cand.columns, F.lit("greedy_roi").alias("selected_by"))
+    """Sites by return on cost; a site that does not fit what is left is passed over."""
+    return fill(cand, [], _by("roi"), _room(cand, budget, max_visits)).withColumn("selected_by", F.lit("greedy_roi"))
+
+
+#: ratios that one step of the search for the multiplier tells apart
+RATIO_STEPS = 256
+
+
+def multiplier(cand: DataFrame, group: list[str], room: DataFrame) -> DataFrame:
+    """(group, ratio, core_cost, core_value): the value per cost at which each group's budget runs out.
+
+    All sites above the ratio fit together.  Each step is one mergeable aggregate over ratio
+    bands, and the band in which the budget runs out is split again, until it is a single
+    ratio.  Where everything fits, the ratio is 0.
+    """
+    rows = cand.select(*group, F.col("ratio"), "cost_usd", "ve_neto_usd")
+    span = rows.groupBy(*group).agg(F.min("ratio").alias("lo"), F.max("ratio").alias("hi"))
+    state = span.join(room.select(*group, "budget"), group).withColumn("core_cost", F.lit(0.0)).withColumn("core_value", F.lit(0.0))
+    closed: list[DataFrame] = []
+    while True:
+        state, seen = materialize_with(state, "multiplier", open=F.count(F.when(F.col("lo") < F.col("hi"), 1)))
+        band = F.least(F.floor((F.col("ratio") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)) * RATIO_STEPS), F.lit(RATIO_STEPS - 1))
+        met = rows.join(state, group).where(F.col("ratio").between(F.col("lo"), F.col("hi")))
+        known = [*group, "budget", "core_cost", "core_value"]
+        bands = met.groupBy(*known, band.alias("band")).agg(F.sum("cost_usd").alias("c"), F.sum("ve_neto_usd").alias("v"), F.min("ratio").alias("lo"), F.max("ratio").alias("hi"))
+        # RATIO_STEPS rows per group at most
+        down = Window.partitionBy(*group).orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = bands.withColumn("cost", F.col("core_cost") + F.sum("c").over(down)).withColumn("value", F.col("core_value") + F.sum("v").over(down))
+        over = summed.where(F.col("cost") > F.col("budget"))
+        first = over.groupBy(*group).agg(F.max_by(F.struct("lo", "hi", (F.col("cost") - F.col("c")).alias("core_cost"), (F.col("value") - F.col("v")).alias("core_value")), "band").alias("s"))
+        nowhere = summed.join(first.select(*group), group, "left_anti")
+        closed.append(nowhere.groupBy(*group).agg(F.max("cost").alias("core_cost"), F.max("value").alias("core_value")).select(*group, F.lit(0.0).alias("ratio"), "core_cost", "core_value"))
+        nxt = first.join(state.select(*group, "budget"), group).select(*group, "s.lo", "s.hi", "budget", "s.core_cost", "s.core_value")
+        if not seen["open"]:
+            closed.append(nxt.select(*group, F.col("hi").alias("ratio"), "core_cost", "core_value"))
+            break
+        state = nxt
+    out = closed[0]
+    for part in closed[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def pack(cand: DataFrame, group: list[str], room: DataFrame) -> DataFrame:
+    """A choice of sites within each group's budget, with ``bound_usd``: what no choice in the group can exceed.
+
+    Sites of no value are left out.  With equal costs the most valuable sites are the exact
+    answer.  Otherwise all sites above the multiplier are taken and the rest of the budget is
+    filled in order of value per cost.  The multiplier prices the budget: its bound is that of the relaxed
+    problem, so the choice is worth at least bound minus one site.
+    """
+    worth = cand.where("ve_neto_usd > 0")
+    keyed, columns, by = (worth, cand.columns, group) if group else (worth.withColumn("_all", F.lit(0)), cand.columns, ["_all"])
+    limits = room if group else room.withColumn("_all", F.lit(0))
+    ratio = F.when(F.col("cost_usd") > 0, F.col("ve_neto_usd") / F.col("cost_usd")).otherwise(F.lit(1e300))
+    keyed, seen = materialize_with(keyed.withColumn("ratio", ratio), "packing", low=F.min("cost_usd"), high=F.max("cost_usd"))
+    if seen["low"] is None or seen["low"] == seen["high"]:
+        chosen = fill(keyed, by, _by("ve_neto_usd"), limits)
+        best = chosen.groupBy(*by).agg(F.sum("ve_neto_usd").alias("bound_usd"))
+        return chosen.join(best, by).select(*columns, "bound_usd")
+    price = materialize(multiplier(keyed, by, limits), "prices")
+    core = keyed.join(price.select(*by, F.col("ratio").alias("price")), by).where(F.col("ratio") > F.col("price"))
+    left = limits.join(price, by, "left").select(*by, (F.col("budget") - F.coalesce("core_cost", F.lit(0.0))).alias("budget"), "visits")
+    beyond = keyed.join(price.select(*by, F.col("ratio").alias("price")), by).where(F.col("ratio") <= F.col("price")).drop("price")
+    chosen = core.drop("price").unionByName(fill(beyond, by, [F.col("ratio").desc(), *_by("ve_neto_usd")], left))
+    bound = price.join(limits, by).select(*by, (F.col("core_value") + F.col("ratio") * (F.col("budget") - F.col("core_cost"))).alias("bound_usd"))
+    return chosen.join(bound, by).select(*columns, "bound_usd")
+
+
+#: halvings of the multiplier where the number of visits is limited too
+VISIT_STEPS = 40
+
+
+def pack_visits(cand: DataFrame, budget: float, max_visits: int) -> DataFrame:
+    """``pack`` for one budget and at most ``max_visits`` sites.
+
+    For a multiplier m the best choice is the ``max_visits`` largest of value - m x cost; m is
+    halved towards the smallest one whose choice fits the budget.  Every m gives a bound.
+    """
+    worth = materialize(cand.where("ve_neto_usd > 0"), "packing")
+
+    def at(m: float) -> tuple[DataFrame, float, float]:
+        priced = worth.withColumn("priced", F.col("ve_neto_usd") - F.lit(m) * F.col("cost_usd")).where("priced > 0")
+        top = priced.orderBy(F.col("priced").desc(), "site_id").limit(max_visits)
+        sums = top.agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("c"), F.coalesce(F.sum("priced"), F.lit(0.0)).alias("v")).first()
+        return top.drop("priced"), sums.c, m * budget + sums.v
+
+    top, cost, bound = at(0.0)
+    if cost > budget:
+        low, high = 0.0, worth.agg(F.max(F.col("ve_neto_usd") / F.greatest("cost_usd", F.lit(1e-9)))).first()[0]
+        for _ in range(VISIT_STEPS):
+            middle = (low + high) / 2
+            choice, spent, limit = at(middle)
+            bound = min(bound, limit)
+            if spent > budget:
+                low = middle
+            else:
+                high, top, cost = middle, choice, spent
+        if cost > budget:
+            top, cost = worth.limit(0), 0.0
+    top = materialize(top, "visits")
+    rest = worth.join(top.select("site_id"), "site_id", "left_anti").select(*worth.columns)
+    more = fill(rest, [], _by("roi"), _room(cand, budget - cost, max_visits - top.count()))
+    return top.unionByName(more).withColumn("bound_usd", F.lit(bound))
 
 
 def knapsack(cand: DataFrame, budget: float, max_visits: int | None = None) -> DataFrame:
-    """Exact for the constant visit cost; sites that add no value are left out."""
-    ranked = running(cand.where("ve_neto_usd > 0"), [], _by("ve_neto_usd"), {"spent": "cost_usd"})
-    return _within(ranked, F.lit(budget), max_visits).select(*cand.columns, F.lit("knapsack").alias("selected_by"))
+    """Sites that are worth most together within the budget; ``bound_usd`` is what no choice can exceed.
+
+    Exact for equal costs.  Sites that add no value are left out.
+    """
+    costs = cand.agg(F.min("cost_usd").alias("low"), F.max("cost_usd").alias("high")).first() if max_visits is not None else None
+    if costs is not None and costs.low != costs.high:
+        chosen = pack_visits(cand, budget, max_visits)
+    else:
+        chosen = pack(cand, [], _room(cand, budget, max_visits))
+    return chosen.withColumn("selected_by", F.lit("knapsack"))
 
 
 def two_stage(cand: DataFrame, budget: float) -> DataFrame:
-    """Budget split over feeders by recoverable value, then the knapsack per feeder."""
+    """Budget split over feeders by recoverable value, then the knapsack per feeder, all at once."""
     gain = F.greatest(F.col("ve_neto_usd"), F.lit(0.0))
     potential = cand.groupBy("feeder_id").agg(F.sum(gain).alias("pot"))
     total = potential.agg(F.sum("pot")).scalar()
-    share = potential.where("pot > 0").select("feeder_id", (F.col("pot") / total * budget).alias("feeder_budget"))
-    ranked = running(cand.where("ve_neto_usd > 0"), ["feeder_id"], _by("ve_neto_usd"), {"spent": "cost_usd"})
-    chosen = _within(ranked.join(share, "feeder_id"), F.col("feeder_budget"), None)
-    return chosen.select(*cand.columns, F.lit("two_stage").alias("selected_by"))
+    room = potential.where("pot > 0").select("feeder_id", (F.col("pot") / total * budget).alias("budget"), F.lit(MANY).alias("visits"))
+    return pack(cand, ["feeder_id"], room).select(*cand.columns, F.lit("two_stage").alias("selected_by"))
 
 
 def exploration(cand: DataFrame, budget: float, reserve_fraction: float, seed: int = 0) -> DataFrame:

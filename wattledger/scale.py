@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattledger.session import materialize
+from wattledger.session import materialize, materialize_with
 
 _SLICE = "_slice"
+#: values of a group that one task may hold, and counts that a larger group is split into at a time
+GROUP_ROWS, BUCKETS = 100_000, 4096
 #: positions of one slice of ``along``
 SLICE_ROWS = 1 << 17
 
@@ -109,25 +111,67 @@ def quantiles(
 ) -> DataFrame:
     """Exact grouped quantiles with linear interpolation, plus the group size ``n``.
 
-    ``percentile`` would hold one group's values in one task; here every group is read
-    off the sliced ranks of its distinct values.
+    Groups of up to GROUP_ROWS values are handed to ``percentile``, which holds one group's
+    values in a task.  In larger ones the two values that a quantile lies between are found by
+    histogram refinement: per group BUCKETS mergeable counts, then again inside the bucket
+    that holds the rank, until few rows or a single value are left.  Nothing is sorted over
+    all rows, and a hot group is scanned like any other.  Null and NaN take no part.
     """
-    keys = list(keys)
-    ranked = distribution(df, keys, value)
-
-    def pick(p: float) -> Column:
-        at = F.lit(float(p)) * (F.col("n") - 1)
-
-        def at_index(index: Column) -> Column:
-            inside = (F.col("below") <= index) & (index < F.col("upto"))
-            return F.max(F.when(inside, F.col(value)))
-
-        low, high = at_index(F.floor(at)), at_index(F.ceil(at))
-        return low + (high - low) * F.max(at - F.floor(at))
-
-    return ranked.groupBy(*keys).agg(
-        F.max("n").alias("n"), *[pick(p).alias(name) for name, p in probs.items()]
+    keys, names = list(keys), list(probs)
+    number = F.col(value).cast("double")
+    rows = materialize(df.where(number.isNotNull() & ~F.isnan(number)).select(*keys, number.alias("_v"), F.lit(0).alias("_one")), "values")
+    by = keys or ["_one"]
+    sizes, seen = materialize_with(
+        rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")), "group-sizes",
+        large=F.count(F.when(F.col("n") > GROUP_ROWS, 1)),
     )
+    large = sizes.where(F.col("n") > GROUP_ROWS)
+    exact = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()]))
+    small = rows if not seen["large"] else rows.join(large.select(*by), by, "left_anti")
+    found = small.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), exact.alias("_q"))
+    out = found.select(*keys, "n", *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(names)])
+    if not seen["large"]:
+        return out
+    at = {name: F.lit(float(p)) * (F.col("n") - 1) for name, p in probs.items()}
+    ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in at.values() for f in (F.floor, F.ceil)]))
+    wanted = large.select(*by, "n", "lo", "hi", F.explode(ranks).alias("rank"))
+    values = _order_statistics(rows.join(large.select(*by), by, "left_semi"), by, wanted)
+    known = values.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_at")).join(large.select(*by, "n"), by)
+
+    def between(x: Column) -> Column:
+        low, high = (F.element_at("_at", f(x).cast("long")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (x - F.floor(x))
+
+    return out.unionByName(known.select(*keys, "n", *[between(x).alias(name) for name, x in at.items()]))
+
+
+def _order_statistics(rows: DataFrame, by: list[str], wanted: DataFrame) -> DataFrame:
+    """(keys, rank, value): the value at each 0-based rank of ``wanted`` (keys, n, lo, hi, rank)."""
+    state = wanted.select(*by, "rank", F.col("rank").alias("left"), "lo", "hi", "n")
+    done: list[DataFrame] = []
+    while True:
+        state, seen = materialize_with(state, "ranks", open=F.count(F.when((F.col("lo") < F.col("hi")) & (F.col("n") > GROUP_ROWS), 1)))
+        done.append(state.where("lo = hi").select(*by, "rank", F.col("lo").alias("value")))
+        few = state.where((F.col("lo") < F.col("hi")) & (F.col("n") <= GROUP_ROWS))
+        near = rows.join(few, by).where(F.col("_v").between(F.col("lo"), F.col("hi")))
+        place = F.row_number().over(Window.partitionBy(*by, "rank").orderBy("_v")) - 1
+        done.append(near.withColumn("_p", place).where(F.col("_p") == F.col("left")).select(*by, "rank", F.col("_v").alias("value")))
+        if not seen["open"]:
+            break
+        open_ = state.where((F.col("lo") < F.col("hi")) & (F.col("n") > GROUP_ROWS))
+        met = rows.join(open_, by).where(F.col("_v").between(F.col("lo"), F.col("hi")))
+        # halves, so that the width of the widest range is a number too
+        share = (F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
+        counts = met.groupBy(*by, "rank", "left", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        # at most BUCKETS rows per rank
+        upto = F.sum("n").over(Window.partitionBy(*by, "rank").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        hit = counts.withColumn("_upto", upto).where((F.col("left") < F.col("_upto")) & (F.col("left") >= F.col("_upto") - F.col("n")))
+        state = hit.select(*by, "rank", (F.col("left") - (F.col("_upto") - F.col("n"))).alias("left"), "lo", "hi", "n")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def top_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str) -> DataFrame:
