@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattledger.llm import common
@@ -173,14 +173,24 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def _digest() -> Column:
+    """text_sha256 of a row, by column functions."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), upper, upper.lower()).cast("binary"), 256)
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of every group of equal texts, all columns as they came.
 
-    Rows without a doc_id always stay: no decision can be tied to them.
+    Decisions hold for a doc_id with its text, so a row that shares its doc_id with
+    another text is judged by its own.  Of rows that repeat both, one stays.  Rows without
+    a doc_id always stay: no decision can be tied to them.
     """
     decisions = materialize(exact_dedup(docs), "exact")
-    losers = decisions.where(~F.col("kept")).select("doc_id")
-    repeated = decisions.where(F.col("kept") & (F.col("repeats") > 1) & F.col("doc_id").isNotNull()).select("doc_id")
-    # of rows that repeat a doc_id with its text, one stays
-    once = common.without_members(common.only_members(docs, repeated, "doc_id"), losers, "doc_id").dropDuplicates(["doc_id"])
-    return common.without_members(docs, losers.union(repeated), "doc_id").union(once)
+    losers = decisions.where(~F.col("kept")).select("doc_id", "text_sha256")
+    repeated = decisions.where(F.col("kept") & (F.col("repeats") > 1) & F.col("doc_id").isNotNull()).select("doc_id", "text_sha256")
+    kept = common.without_members(docs, losers.union(repeated), "doc_id", text_sha256=_digest())
+    again = common.only_members(docs, repeated, "doc_id").withColumn("__copy_digest", _digest())
+    named = repeated.select(F.col("doc_id").alias("__copy_id"), F.col("text_sha256").alias("__copy_sha")).distinct()
+    once = again.join(named, (F.col("doc_id") == F.col("__copy_id")) & (F.col("__copy_digest") == F.col("__copy_sha")), "left_semi")
+    return kept.union(once.dropDuplicates(["doc_id", "__copy_digest"]).drop("__copy_digest"))

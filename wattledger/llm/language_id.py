@@ -127,14 +127,15 @@ def identify(rows: DataFrame, languages: Sequence[str] = LANGUAGES, model: np.nd
     """
     names = [*languages, UNKNOWN]
     own = rows.select(
-        F.col("id").cast("long").alias("id"),
+        F.col("id"),
         F.col("text").cast("string").alias("text"),
         F.lower("declared").alias("declared"),
         F.coalesce(F.lower("host"), F.lit("")).alias("host"),
         F.coalesce(F.lower("suffix"), F.lit("")).alias("suffix"),
     )
     model = train(own, languages) if model is None else model
-    scored = materialize(own.mapInArrow(_scores(model), "id long, declared string, host string, suffix string, n_trigrams long, logs array<double>"), "scored")
+    kind = own.schema["id"].dataType.simpleString()
+    scored = materialize(own.mapInArrow(_scores(model), f"id {kind}, declared string, host string, suffix string, n_trigrams long, logs array<double>"), "scored")
     k = len(names)
     text_only = _posterior([F.get("logs", F.lit(i)) for i in range(k)])
     weighed = scored.select("*", *[p.alias(f"p{i}") for i, p in enumerate(text_only)])
@@ -173,9 +174,9 @@ def identify(rows: DataFrame, languages: Sequence[str] = LANGUAGES, model: np.nd
     return judged.select("id", "language", "confidence", ((F.col("language") != UNKNOWN) & (F.col("confidence") >= LEAST_CONFIDENCE)).alias("accepted"), "declared", "host")
 
 
-def of_documents(docs: DataFrame) -> DataFrame:
+def of_documents(docs: DataFrame, id: Column | None = None) -> DataFrame:
     """Rows for ``identify``: the declared language is the column lang, the host the column source."""
-    return docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").cast("string").alias("declared"), F.col("source").cast("string").alias("host"), F.lit(None).cast("string").alias("suffix"))
+    return docs.select((F.col("doc_id").cast("long") if id is None else id).alias("id"), "text", F.col("lang").cast("string").alias("declared"), F.col("source").cast("string").alias("host"), F.lit(None).cast("string").alias("suffix"))
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
@@ -184,7 +185,7 @@ def of_pages(pages: DataFrame) -> DataFrame:
     host = F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)
     visible = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>|&[A-Za-z0-9#]+;", " ")
     return pages.select(
-        F.col("page_id").alias("id"),
+        F.col("page_id").cast("long").alias("id"),
         visible.alias("text"),
         F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)), F.lit("")).alias("declared"),
         host.alias("host"),
@@ -193,6 +194,11 @@ def of_pages(pages: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rejected rows, all columns as they came; rows without doc_id stay."""
-    verdicts = materialize(identify(of_documents(docs)), "language")
-    return common.without_members(docs, verdicts.where(~F.col("accepted")).select(F.col("id").alias("doc_id")), "doc_id")
+    """``docs`` without the rejected rows, all columns as they came.
+
+    A verdict holds for what it was drawn from (text, lang and source), so rows that share
+    a doc_id are judged each by its own, and rows without a doc_id are judged too.
+    """
+    evidence = F.md5(F.to_json(F.struct("text", "lang", "source")).cast("binary"))
+    verdicts = materialize(identify(of_documents(docs, evidence)), "language").where(~F.col("accepted")).select(F.col("id").alias("__evidence"))
+    return common.without_members(docs.withColumn("__evidence", evidence), verdicts, "__evidence").drop("__evidence")

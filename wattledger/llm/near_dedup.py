@@ -229,6 +229,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with the smallest doc_id of every group of near copies, all columns as they came."""
-    verdicts = materialize(near_duplicates(docs, percent), "near")
+    """``docs`` with the smallest doc_id of every group of near copies, all columns as they came.
+
+    A doc_id that stands for several texts, or none, cannot name a row: such rows stay,
+    and no other is dropped because of them.
+    """
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    several = docs.groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low < high").select("doc_id")
+    several = materialize(several, "several-texts")
+    clear = docs if several.isEmpty() else common.without_members(docs, several, "doc_id")
+    verdicts = materialize(near_duplicates(clear, percent), "near")
     return common.without_members(docs, verdicts.where(~F.col("kept")).select("doc_id"), "doc_id")
