@@ -37,7 +37,7 @@ from wattledger.session import materialize
 ORDER, STRENGTH = 3, 3.0
 #: what single words get on top of their count
 ADDED = 0.1
-#: tokens of a block, and of the slices whose automata are held at a time
+#: tokens of a block, and of the part of it that is traversed at a time
 BLOCK_TOKENS, SLICE_TOKENS = 2_000_000, 100_000
 #: bits of a fingerprint beyond the logarithm of the number of n-grams
 SPARE_BITS = 20
@@ -91,13 +91,17 @@ _BLOCK = pa.schema(
 )
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Ascending 64-bit values as byte planes of their gaps: compression takes out the planes of zeros."""
-    return np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _squeeze(values: np.ndarray) -> bytes:
+    """64-bit values as compressed byte planes: planes of zeros vanish, others take about their entropy."""
+    return pa.compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
 
 
-def _from_planes(planes: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(planes, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+def _spread(squeezed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(squeezed, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n).T.copy().view("<u8").ravel()
+
+
+def _gaps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=np.uint64(0))
 
 
 class _Packer:
@@ -117,10 +121,10 @@ class _Packer:
         place[order] = np.arange(len(order), dtype=np.int32)
         # the begin is no word of the list: it stands behind all of them
         tokens = np.concatenate(self.parts)
-        tokens = np.where(tokens < 0, np.int32(len(order)), place[tokens]).astype("<i4")
+        tokens = np.where(tokens < 0, np.int32(len(order)), place[tokens])
         learned = [p for p in self.pieces if p[2]]
         row = {
-            "block": self.block, "n_words": len(hashes), "words": pa.compress(_planes(hashes[order]), "zstd", asbytes=True), "tokens": pa.compress(tokens.tobytes(), "zstd", asbytes=True),
+            "block": self.block, "n_words": len(hashes), "words": _squeeze(_gaps(hashes[order])), "tokens": _squeeze(tokens),
             "own": self.own, "train": sum(p[4] - p[3] for p in learned), "train_texts": sum(p[5] for p in learned),
         }
         row.update(zip(("text", "doc_id", "learn", "lead", "size"), map(list, zip(*[p[:5] for p in self.pieces]))))
@@ -171,8 +175,8 @@ class Block:
         self.row = row
         self.lead, self.size = (np.array(row[c], np.int64) for c in ("lead", "size"))
         total = int(self.size.sum())
-        self.hashes = _from_planes(pa.decompress(row["words"], 8 * row["n_words"], "zstd", asbytes=True))
-        self.tokens = np.frombuffer(pa.decompress(row["tokens"], 4 * total, "zstd", asbytes=True), "<i4").astype(np.int64)
+        self.hashes = np.cumsum(_spread(row["words"], row["n_words"]), dtype=np.uint64)
+        self.tokens = _spread(row["tokens"], total).astype(np.int64)
         self.starts = np.cumsum(self.size) - self.size
         #: place in the piece, and whether the position is the piece's own and learned from
         self.depth = np.arange(total) - np.repeat(self.starts, self.size)
@@ -208,13 +212,8 @@ class Block:
         return distinct, added, number
 
 
-def _narrow(values: np.ndarray) -> np.ndarray:
-    top = int(values.max()) if len(values) else 0
-    return values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
-
-
 def exchange(blocks: DataFrame, order: int, bits: int, owners_log2: int, words: bool) -> DataFrame:
-    """block, owner, width, totals, seen: each block's counts over the whole corpus, in order of its keys.
+    """block, owner, n, totals, seen: each block's counts over the whole corpus, in order of its keys.
 
     A key's owner is its first bits, so an owner's answers to a block follow each other.
     Messages are sorted and already added up within a block, so however common an n-gram
@@ -233,89 +232,85 @@ def exchange(blocks: DataFrame, order: int, bits: int, owners_log2: int, words:
                 for k in range(1 << owners_log2):
                     a, b = int(cuts[k]), int(cuts[k + 1])
                     if a < b:
-                        counts = _narrow(added[a:b])
-                        yield pa.RecordBatch.from_pylist([{"owner": k, "block": row["block"], "keys": _planes(keys[a:b]), "width": counts.itemsize, "counts": counts.tobytes()}], schema=asked)
+                        yield pa.RecordBatch.from_pylist([{"owner": k, "block": row["block"], "n": b - a, "keys": _squeeze(_gaps(keys[a:b])), "counts": _squeeze(added[a:b])}], schema=asked)
 
-    asked = pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("width", pa.int32()), ("counts", pa.binary())])
-    answered = pa.schema([("block", pa.int64()), ("owner", pa.int64()), ("width", pa.int32()), ("totals", pa.binary()), ("seen", pa.int64())])
+    asked = pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+    answered = pa.schema([("block", pa.int64()), ("owner", pa.int64()), ("n", pa.int64()), ("totals", pa.binary()), ("seen", pa.int64())])
 
     def add_up(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        keys = [_from_planes(r["keys"]) for r in rows]
-        counts = np.concatenate([np.frombuffer(r["counts"], f"<u{r['width']}").astype(np.float64) for r in rows])
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        keys = np.concatenate([np.cumsum(_spread(r["keys"], r["n"]), dtype=np.uint64) for r in rows])
+        counts = np.concatenate([_spread(r["counts"], r["n"]).astype(np.float64) for r in rows])
+        distinct, place = np.unique(keys, return_inverse=True)
         # sums of whole numbers are exact in doubles up to 2 ** 53
         totals = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
         out, at = [], 0
-        for n, r in enumerate(rows):
-            own = _narrow(totals[place[at : at + len(keys[n])]])
-            at += len(own)
-            seen = int((totals > 0).sum()) if n == 0 else 0
-            out.append({"block": r["block"], "owner": r["owner"], "width": own.itemsize, "totals": own.tobytes(), "seen": seen})
+        for i, r in enumerate(rows):
+            seen = int((totals > 0).sum()) if i == 0 else 0
+            out.append({"block": r["block"], "owner": r["owner"], "n": r["n"], "totals": _squeeze(totals[place[at : at + r["n"]]]), "seen": seen})
+            at += r["n"]
         return pa.Table.from_pylist(out, schema=answered)
 
-    messages = blocks.mapInArrow(ask, "owner long, block long, keys binary, width int, counts binary")
-    return messages.groupBy("owner").applyInArrow(add_up, "block long, owner long, width int, totals binary, seen long")
+    messages = blocks.mapInArrow(ask, "owner long, block long, n long, keys binary, counts binary")
+    return messages.groupBy("owner").applyInArrow(add_up, "block long, owner long, n long, totals binary, seen long")
 
 
 class Automaton:
-    """The states and arcs that the texts of one slice can reach."""
-
-    def __init__(self, tokens, numbers, counts, probability, n_words: int, texts: float, strength: float):
-        """``numbers[m]``: number of the (m+1)-gram ending at each position, -1 if there is none; ``counts[m]``: its count.
-
-        States are numbered as their n-grams: 0 is the root, then words, the begin and longer n-grams.
-        """
-        self.n_words = n_words
-        n, length = len(numbers), len(tokens)
-        is_begin = tokens == n_words
-        # history[m]: the state that the last m + 1 words make, 0 where training has not seen them
-        history = [np.where((counts[0] > 0) | is_begin, tokens + 1, 0)]
-        history += [np.where(counts[m] > 0, numbers[m] + n_words + 2, 0) for m in range(1, n - 1)]
-        as_context = [np.where(is_begin, texts, counts[0]), *counts[1 : n - 1]]
-        self.weight = np.log10(np.maximum(np.concatenate(probability), 1e-300)).tolist()
-        target, arcs, self.fail = [], {}, {}
-        for m in range(n):
-            seen = np.flatnonzero((counts[m] > 0) & ~is_begin)
-            before = history[m - 1][seen - 1] if m else np.zeros(len(seen), np.int64)
-            arcs.update(zip((before * (n_words + 1) + tokens[seen]).tolist(), (seen + m * length).tolist()))
-            goes = history[min(m, n - 2)] if n > 1 else np.zeros(length, np.int64)
-            target.append(goes)
-            # a longer history fails to the one without its first word
-            if m < n - 1:
-                states = np.flatnonzero(history[m])
-                back = history[m - 1][states] if m else np.zeros(len(states), np.int64)
-                cost = np.log10(strength / (as_context[m][states] + strength))
-                self.fail.update(zip(history[m][states].tolist(), zip(back.tolist(), cost.tolist())))
-        self.target = np.concatenate(target).tolist()
-        self.arc = arcs.get
-
-    def score(self, lead: list[int], own: list[int], unknown: float) -> float:
-        """log10 probability of ``own`` after ``lead``."""
-        arc, weight, target, fail, width = self.arc, self.weight, self.target, self.fail, self.n_words + 1
-        state, total = 0, 0.0
-        for word in lead:
-            if word == self.n_words:
-                state = word + 1 if word + 1 in fail else 0
-                continue
-            found = arc(state * width + word)
-            while found is None and state:
-                state = fail[state][0]
-                found = arc(state * width + word)
-            state = target[found] if found is not None else 0
-        for word in own:
-            found = arc(state * width + word)
-            while found is None:
-                if not state:
-                    total += unknown
-                    break
-                state, cost = fail[state]
-                total += cost
-                found = arc(state * width + word)
-            else:
-                total += weight[found]
-                state = target[found]
-        return total
+    """The states and arcs that a block's texts can reach, as they lie along the texts.
+
+    A state is a history of 0 to order - 1 words; the state of k words at a position is the
+    one that the k words up to there make.  Its arc for the next word is the n-gram that
+    those k words and the next one make, and exists if training has seen that; its
+    failure arc leads to the state of k - 1 words at the same position.
+    """
+
+    #: stands for the weight of an arc that does not exist; weights are 0 at most
+    NO_ARC = 1.0
+
+    def __init__(self, counts: list[np.ndarray], is_begin: np.ndarray, total: int, distinct: int, texts: int, strength: float, added: float):
+        """``counts[m]``: how often training has seen the (m + 1)-gram that ends at each position."""
+        size = total + added * (distinct + 1)
+        p = (counts[0] + added) / size
+        #: log10 p of each single word, and of a word that training has not seen
+        self.base, self.unknown = np.log10(p), math.log10(added / size)
+        self.arcs, self.costs = [np.where((counts[0] > 0) & ~is_begin, self.base, self.NO_ARC)], []
+        context = np.where(is_begin, texts, counts[0])
+        for count in counts[1:]:
+            shorter, p = p, np.ones(len(count))
+            p[1:] = (count[1:] + strength * shorter[1:]) / (context[:-1] + strength)
+            self.arcs.append(np.where(count > 0, np.log10(p), self.NO_ARC))
+            self.costs.append(np.log10(strength / (context + strength)))
+            context = count
+
+    def scores(self, starts: np.ndarray, leads: np.ndarray, ends: np.ndarray, is_begin: np.ndarray) -> list[float]:
+        """log10 probability of each piece after its lead, by one traversal; the pieces follow each other."""
+        first, longest, unknown = int(starts[0]), len(self.costs), self.unknown
+        part = slice(first, int(ends[-1]))
+        arcs, costs, begins = [a[part].tolist() for a in self.arcs], [c[part].tolist() for c in self.costs], is_begin[part].tolist()
+        out = []
+        for start, lead, end in zip((starts - first).tolist(), leads.tolist(), (ends - first).tolist()):
+            # words: how many words the state holds
+            words, total = 0, 0.0
+            for i in range(start, end):
+                if i == start + lead:
+                    total = 0.0
+                if begins[i]:
+                    words = min(1, longest)
+                    continue
+                weight = arcs[words][i]
+                while weight > 0.0:
+                    if not words:
+                        weight = unknown
+                        break
+                    words -= 1
+                    total += costs[words][i - 1]
+                    weight = arcs[words][i]
+                else:
+                    if words < longest:
+                        words += 1
+                total += weight
+            out.append(total)
+        return out
 
 
 SCORED = "text long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -323,38 +318,23 @@ SCORED = "text long, doc_id long, held_out boolean, n_tokens long, n_known long,
 
 def _score_block(row: dict, words: list[dict], grams: list[dict], order: int, bits: int, total: int, distinct: int, texts: int, strength: float, added: float) -> pa.RecordBatch:
     def joined(answers: list[dict]) -> np.ndarray:
-        parts = [np.frombuffer(a["totals"], f"<u{a['width']}").astype(np.float64) for a in sorted(answers, key=lambda a: a["owner"])]
-        return np.concatenate(parts) if parts else np.zeros(0)
+        parts = [_spread(a["totals"], a["n"]).astype(np.float64) for a in sorted(answers, key=lambda a: a["owner"])]
+        return np.concatenate([*parts, [0.0]])
 
     block = Block(row)
     number = block.grams(order, bits)[2]
-    n_words, tokens = len(block.hashes), block.tokens
-    word_count, gram_count = np.append(joined(words), 0.0), np.append(joined(grams), 0.0)
-    counts = [word_count[tokens], *[gram_count[n] for n in number]]
-    numbers = [tokens, *number]
-    is_begin = tokens == n_words
-    base = (counts[0] + added) / (total + added * (distinct + 1))
-    probability = [base]
-    for m in range(1, order):
-        context = np.where(is_begin, texts, counts[0]) if m == 1 else counts[m - 1]
-        p = np.ones(len(tokens))
-        p[1:] = (counts[m][1:] + strength * probability[-1][1:]) / (context[:-1] + strength)
-        probability.append(p)
-    unknown = math.log10(added / (total + added * (distinct + 1)))
-    log_base = np.where(block.is_own, np.log10(base), 0.0)
+    word_count, gram_count = joined(words), joined(grams)
+    counts = [word_count[block.tokens], *[gram_count[n] for n in number]]
+    is_begin = block.tokens == len(block.hashes)
+    automaton = Automaton(counts, is_begin, total, distinct, texts, strength, added)
+    log_base = np.where(block.is_own, automaton.base, 0.0)
     known = block.is_own & (counts[0] > 0)
-    starts, sizes = block.starts, block.size
+    starts, sizes, ends = block.starts, block.size, block.starts + block.size
     scores, first = [], 0
     while first < len(sizes):
         # pieces of about SLICE_TOKENS together, one at least
-        last = max(first + 1, int(np.searchsorted(starts + sizes, starts[first] + SLICE_TOKENS, "right")))
-        a, b = int(starts[first]), int(starts[last - 1] + sizes[last - 1])
-        part = slice(a, b)
-        automaton = Automaton(tokens[part], [x[part] for x in numbers], [x[part] for x in counts], [x[part] for x in probability], n_words, texts, strength)
-        ids = tokens[part].tolist()
-        for i in range(first, last):
-            at, lead, to = int(starts[i]) - a, int(block.lead[i]), int(starts[i] + sizes[i]) - a
-            scores.append(automaton.score(ids[at : at + lead], ids[at + lead : to], unknown))
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + SLICE_TOKENS, "right")))
+        scores += automaton.scores(starts[first:last], block.lead[first:last], ends[first:last], is_begin)
         first = last
     return pa.RecordBatch.from_arrays(
         [
