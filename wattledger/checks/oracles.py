@@ -838,6 +838,13 @@ oracle("run_screening", " UNION ALL ".join(
     f'SELECT \'{n}\' AS entity, count(*) AS "rows", count(DISTINCT feeder_id) AS feeders, (SELECT count(*) FROM bal) AS analysed, CAST(0 AS BIGINT) AS analysed_again FROM {t}' for n, t in _GOLD.items()
 ))
 oracle("stream_bronze", f"SELECT feeder_id, year_month, count(*) AS records, {r('sum(kwh)', 1)} AS kwh FROM linked GROUP BY 1, 2")
+oracle("stream_corrections", f"""SELECT feeder_id, year_month, count(*) AS records, {r("sum(CASE WHEN CAST(substr(cta, 3) AS BIGINT) % 7 = 0 THEN 1000.5 ELSE kwh END)", 1)} AS kwh
+  FROM linked WHERE customer_unit_id IS NOT NULL AND year_month <> 'sin fecha' GROUP BY 1, 2""")
+_ROW_HALF = "CAST('0x' || substr(md5(concat_ws(chr(31), {0})), 1, 16) AS UBIGINT)"
+_CONS_ROW = _ROW_HALF.format("customer_unit_id, CASE WHEN estimated THEN 'true' ELSE 'false' END, feeder_id, printf('%.6f', kvarh), printf('%.6f', kwh), year_month")
+_HEAD_ROW = _ROW_HALF.format("feeder_id, printf('%.6f', kvarh), printf('%.6f', kwh), year_month")
+oracle("content_sums", f"""SELECT feeder_id, 'consumption' AS t, CAST(sum({_CONS_ROW}) % 18446744073709551616 AS VARCHAR) AS h, count(*) AS n FROM cons GROUP BY 1
+  UNION ALL SELECT feeder_id, 'header_meters', CAST(sum({_HEAD_ROW}) % 18446744073709551616 AS VARCHAR), count(*) FROM head GROUP BY 1""")
 oracle("stream_ens", f"""SELECT feeder_id, strftime(d, '%Y-%m-%d') AS day, {r('sum(duration_h * affected_kw)', 3)} AS ens_kwh, count(*) AS n_faults FROM (SELECT *, date_trunc('day', ts) AS d FROM ev WHERE motivo = 'falla') GROUP BY 1, 2""")
 
 

@@ -1310,6 +1310,35 @@ def _(run):
     return incremental.input_hash(_inputs(run, run.t.header_meters), "default:full")
 
 
+@query("content_sums")
+def _(run):
+    """What the readings and the heads of every feeder add to its input hash, summed from parts."""
+    readings = run.t.consumption
+    halves = [readings.where(F.substring("year_month", 6, 2).isin(months)) for months in (["01", "07"], ["04", "10"])]
+    parts = [incremental.content_sums(df, "consumption") for df in halves] + [incremental.content_sums(run.t.header_meters, "header_meters")]
+    whole = incremental.add_sums(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return whole.select("feeder_id", "t", F.col("h").cast("string").alias("h"), "n")
+
+
+@query("stream_corrections")
+def _(run):
+    """Billing files, then files that correct every seventh bill, compacted in between: each bill counts once."""
+    spark, files = run.t.spark, _scratch(run, "arrivals")
+    schema, fields = "CTA string, PERIODO string, CONSUMO string", {"cuenta_contrato": "CTA", "year_month": "PERIODO", "kwh": "CONSUMO"}
+    target, mark = _scratch(run, "bronze"), _scratch(run, "stream-mark")
+    meters = materialize(_billing_meters(run), "billing-meters")
+    log = feeds.consumption_log(spark, target)
+    bills = run.t.commercial.select("CTA", "PERIODO", "CONSUMO")
+    again = bills.where("cast(substring(CTA, 3) AS bigint) % 7 = 0").withColumn("CONSUMO", F.lit("1000.5"))
+    for part in (bills.repartition(3), again.repartition(1)):
+        part.write.mode("append").option("header", True).csv(files)
+        source = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", 2).csv(files)
+        feeds.stream_bronze(source, meters, target, mark, fields).awaitTermination()
+        log.compact()
+    known = log.read().where(log.identified)
+    return known.groupBy("feeder_id", "year_month").agg(F.count(F.lit(1)).alias("records"), rnd(F.sum("kwh"), 1).alias("kwh"))
+
+
 def _changed_state(run):
     """State of an earlier run in which every fifth feeder had other head readings."""
     old = F.when(F.substring("feeder_id", 2, 2).cast("int") % 5 == 0, F.col("kwh") + 1.0).otherwise(F.col("kwh"))
@@ -1357,7 +1386,7 @@ def _(run):
     meters = materialize(_billing_meters(run), "billing-meters")
     fields = {"cuenta_contrato": "CTA", "year_month": "PERIODO", "kwh": "CONSUMO"}
     feeds.stream_bronze(source, meters, target, mark, fields).awaitTermination()
-    return spark.read.parquet(target).groupBy("feeder_id", "year_month").agg(
+    return feeds.consumption_log(spark, target).read().groupBy("feeder_id", "year_month").agg(
         F.count(F.lit(1)).alias("records"), rnd(F.sum("kwh"), 1).alias("kwh")
     )
 

@@ -23,6 +23,8 @@ from wattledger.session import materialize
 
 #: partition of tables that belong to no feeder
 SYSTEM = "all"
+#: partition of rows without a feeder
+NO_FEEDER = "(none)"
 #: one row per table and feeder; a row without feeder carries the schema of the table
 MANIFEST = "layer string, entity string, feeder_id string, run string, schema string"
 
@@ -74,7 +76,8 @@ class Snapshots:
                 raise
             return self.spark.createDataFrame([], schema)
         named = mine.where("feeder_id IS NOT NULL").select("run", "feeder_id")
-        return rows.join(named, ["run", "feeder_id"], "left_semi").select(*schema.names)
+        found = rows.join(named, ["run", "feeder_id"], "left_semi")
+        return found.withColumn("feeder_id", F.nullif("feeder_id", F.lit(NO_FEEDER))).select(*schema.names)
 
     def begin(self) -> Writer:
         return Writer(self)
@@ -119,6 +122,7 @@ class Writer:
         """
         if "feeder_id" not in df.columns:
             df = df.withColumn("feeder_id", F.lit(SYSTEM))
+        df = df.withColumn("feeder_id", F.coalesce("feeder_id", F.lit(NO_FEEDER)))
         spread = self.spark.sql("SELECT /*+ REBALANCE(feeder_id) */ * FROM {df}", df=df)
         target = f"{self.store.path(layer, entity)}/run={self.run}"
         spread.write.partitionBy("feeder_id").parquet(target)
@@ -141,7 +145,7 @@ class Writer:
         # all tables that were written for the same feeders lose them in one join
         for feeders in {id(f): f for *_, f in partial}.values():
             inside = F.concat_ws("/", "layer", "entity").isin([f"{layer}/{entity}" for layer, entity, f in partial if f is feeders])
-            replaced = feeders.select("feeder_id").distinct().withColumn("replaced", F.lit(True))
+            replaced = feeders.select(F.coalesce("feeder_id", F.lit(NO_FEEDER)).alias("feeder_id")).distinct().withColumn("replaced", F.lit(True))
             kept = kept.join(replaced, "feeder_id", "left").where(F.col("replaced").isNull() | ~inside).drop("replaced")
         if alive is not None:
             living = alive.select("feeder_id").unionByName(self.spark.createDataFrame([(SYSTEM,)], "feeder_id string")).distinct()

@@ -6,26 +6,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wattledger import schemas
 from wattledger.operators.ingest import ingest_consumption
+from wattledger.streaming.keyed_log import KeyedLog
+
+
+def consumption_log(spark: SparkSession, target: str) -> KeyedLog:
+    """Bronze consumption as a log: a bill that comes again for a meter and period replaces the earlier one.
+
+    Bills without a known meter, feeder or period stand for themselves.
+    """
+    known = "customer_unit_id IS NOT NULL AND feeder_id IS NOT NULL AND year_month RLIKE '^[0-9]{4}-[0-9]{2}$'"
+    return KeyedLog(spark, target, "consumption", schemas.schema("consumption"), ("customer_unit_id", "year_month"), known)
 
 
 def stream_bronze(
     source: DataFrame, customers: DataFrame, target: str, checkpoint: str, field_map: dict[str, str] | None = None
 ) -> StreamingQuery:
-    """Arriving billing files appended to bronze consumption.
+    """Arriving billing files, each micro-batch a batch of ``consumption_log``.
 
-    Every micro-batch goes to its own ``batch_id`` partition, replaced on retry, so
-    a batch that is re-run after a failure does not double its rows.
+    A batch that is run again after a failure replaces itself, and readers of the log see a
+    corrected bill once, with its latest values.
     """
+    log = consumption_log(customers.sparkSession, target)
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        rows = ingest_consumption(batch, customers, field_map).withColumn("batch_id", F.lit(batch_id))
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id", "feeder_id")
-            .parquet(target)
-        )
+        log.land(ingest_consumption(batch, customers, field_map), batch_id)
 
     return (
         source.writeStream.foreachBatch(land)
@@ -35,14 +41,6 @@ def stream_bronze(
     )
 
 
-def bronze_consumption(spark: SparkSession, target: str) -> DataFrame:
-    """Latest reading per meter and period over all landed batches."""
-    rows = spark.read.parquet(target)
-    values = F.struct("batch_id", "kwh", "kvarh", "estimated")
-    last = rows.groupBy("feeder_id", "customer_unit_id", "year_month").agg(F.max(values).alias("v"))
-    return last.select("feeder_id", "customer_unit_id", "year_month", "v.kwh", "v.kvarh", "v.estimated")
-
-
 def outage_windows(events: DataFrame, window: str = "1 day", lateness: str = "2 days") -> DataFrame:
     """Energy not supplied per feeder and time window; late events beyond the watermark drop.
 
