@@ -104,6 +104,13 @@ def _gaps(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=np.uint64(0))
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and where the run of each begins, and the end."""
+    ordered = np.sort(values)
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[starts], np.append(starts, len(ordered))
+
+
 class _Packer:
     """Collects pieces of texts (their words before, then their own) into block records."""
 
@@ -172,44 +179,54 @@ class Block:
     """A block record's arrays: one entry per position of the concatenated pieces."""
 
     def __init__(self, row: dict):
-        self.row = row
         self.lead, self.size = (np.array(row[c], np.int64) for c in ("lead", "size"))
         total = int(self.size.sum())
         self.hashes = np.cumsum(_spread(row["words"], row["n_words"]), dtype=np.uint64)
-        self.tokens = _spread(row["tokens"], total).astype(np.int64)
+        self.tokens = _spread(row["tokens"], total).astype(np.int32)
         self.starts = np.cumsum(self.size) - self.size
         #: place in the piece, and whether the position is the piece's own and learned from
-        self.depth = np.arange(total) - np.repeat(self.starts, self.size)
-        self.is_own = self.depth >= np.repeat(self.lead, self.size)
+        self.depth = np.arange(total, dtype=np.int32) - np.repeat(self.starts.astype(np.int32), self.size)
+        self.is_own = self.depth >= np.repeat(self.lead.astype(np.int32), self.size)
         self.learns = self.is_own & np.repeat(np.array(row["learn"], bool), self.size)
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the block's words, ascending, and how often the block adds them to the model."""
         return self.hashes, np.bincount(self.tokens[self.learns], minlength=len(self.hashes))[: len(self.hashes)]
 
-    def grams(self, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Fingerprints of the n-grams of two words and more, ascending; what is added to each; and for
-        every length from two on, the number of the n-gram that ends at each position (-1: none)."""
+    def prints(self, order: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For every length from two on: fingerprints of the n-grams that end at each position, and where there is one."""
         hashes = np.append(self.hashes, _BEGIN)[self.tokens]
-        fp, keys = hashes, []
+        fp = hashes
         for m in range(2, order + 1):
             longer = np.zeros_like(fp)
             longer[1:] = common.mix(fp[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:] + np.uint64(m))
             fp = longer
-            keys.append(fp >> np.uint64(64 - bits))
-        valid = [self.depth >= m - 1 for m in range(2, order + 1)]
+            yield fp >> np.uint64(64 - bits), self.depth >= m - 1
+
+    def grams(self, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprints of the n-grams of two words and more, ascending, and how often the block adds them to the model."""
+        keys, learned = [], []
+        for fp, valid in self.prints(order, bits):
+            keys.append(_distinct(fp[valid])[0])
+            learned.append(fp[valid & self.learns])
         if not keys:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, len(self.tokens)), np.int64)
-        flat = np.concatenate([k[v] for k, v in zip(keys, valid)])
-        distinct, place = np.unique(flat, return_inverse=True)
-        learned = np.concatenate([self.learns[v] for v in valid])
-        added = np.bincount(place[learned], minlength=len(distinct))
-        number, at = np.full((order - 1, len(self.tokens)), -1, np.int64), 0
-        for row, v in zip(number, valid):
-            n = int(v.sum())
-            row[v] = place[at : at + n]
-            at += n
-        return distinct, added, number
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        distinct = _distinct(np.concatenate(keys))[0]
+        added = np.zeros(len(distinct), np.int64)
+        for fp in learned:
+            known, starts = _distinct(fp)
+            added[np.searchsorted(distinct, known)] += np.diff(starts)
+        return distinct, added
+
+    def numbers(self, order: int, bits: int, distinct: np.ndarray) -> list[np.ndarray]:
+        """For every length from two on, the place in ``distinct`` of the n-gram that ends at each position, -1 for none."""
+        out = []
+        for fp, valid in self.prints(order, bits):
+            # looked up in ascending order, which touches the table from left to right
+            at, place = np.argsort(fp), np.empty(len(fp), np.int32)
+            place[at] = np.searchsorted(distinct, fp[at])
+            out.append(np.where(valid, place, np.int32(-1)))
+        return out
 
 
 def exchange(blocks: DataFrame, order: int, bits: int, owners_log2: int, words: bool) -> DataFrame:
@@ -226,7 +243,7 @@ def exchange(blocks: DataFrame, order: int, bits: int, owners_log2: int, words:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row)
-                keys, added = block.words() if words else block.grams(order, bits)[:2]
+                keys, added = block.words() if words else block.grams(order, bits)
                 owner = (keys >> np.uint64(key_bits - owners_log2)).astype(np.int64) if owners_log2 else np.zeros(len(keys), np.int64)
                 cuts = np.searchsorted(owner, np.arange((1 << owners_log2) + 1))
                 for k in range(1 << owners_log2):
@@ -256,7 +273,7 @@ def exchange(blocks: DataFrame, order: int, bits: int, owners_log2: int, words:
 
 
 class Automaton:
-    """The states and arcs that a block's texts can reach, as they lie along the texts.
+    """The states and arcs that some texts can reach, as they lie along the texts.
 
     A state is a history of 0 to order - 1 words; the state of k words at a position is the
     one that the k words up to there make.  Its arc for the next word is the n-gram that
@@ -284,11 +301,10 @@ class Automaton:
 
     def scores(self, starts: np.ndarray, leads: np.ndarray, ends: np.ndarray, is_begin: np.ndarray) -> list[float]:
         """log10 probability of each piece after its lead, by one traversal; the pieces follow each other."""
-        first, longest, unknown = int(starts[0]), len(self.costs), self.unknown
-        part = slice(first, int(ends[-1]))
-        arcs, costs, begins = [a[part].tolist() for a in self.arcs], [c[part].tolist() for c in self.costs], is_begin[part].tolist()
+        longest, unknown = len(self.costs), self.unknown
+        arcs, costs, begins = [a.tolist() for a in self.arcs], [c.tolist() for c in self.costs], is_begin.tolist()
         out = []
-        for start, lead, end in zip((starts - first).tolist(), leads.tolist(), (ends - first).tolist()):
+        for start, lead, end in zip(starts.tolist(), leads.tolist(), ends.tolist()):
             # words: how many words the state holds
             words, total = 0, 0.0
             for i in range(start, end):
@@ -322,25 +338,26 @@ def _score_block(row: dict, words: list[dict], grams: list[dict], order: int, bi
         return np.concatenate([*parts, [0.0]])
 
     block = Block(row)
-    number = block.grams(order, bits)[2]
+    numbers = block.numbers(order, bits, block.grams(order, bits)[0])
     word_count, gram_count = joined(words), joined(grams)
-    counts = [word_count[block.tokens], *[gram_count[n] for n in number]]
-    is_begin = block.tokens == len(block.hashes)
-    automaton = Automaton(counts, is_begin, total, distinct, texts, strength, added)
-    log_base = np.where(block.is_own, automaton.base, 0.0)
-    known = block.is_own & (counts[0] > 0)
     starts, sizes, ends = block.starts, block.size, block.starts + block.size
-    scores, first = [], 0
+    known, base, scores, first = [], [], [], 0
     while first < len(sizes):
         # pieces of about SLICE_TOKENS together, one at least
         last = max(first + 1, int(np.searchsorted(ends, starts[first] + SLICE_TOKENS, "right")))
-        scores += automaton.scores(starts[first:last], block.lead[first:last], ends[first:last], is_begin)
+        part = slice(int(starts[first]), int(ends[last - 1]))
+        tokens, own, cuts = block.tokens[part], block.is_own[part], starts[first:last] - starts[first]
+        counts, is_begin = [word_count[tokens], *[gram_count[n[part]] for n in numbers]], tokens == len(block.hashes)
+        automaton = Automaton(counts, is_begin, total, distinct, texts, strength, added)
+        known.append(np.add.reduceat((own & (counts[0] > 0)).astype(np.int64), cuts))
+        base.append(np.add.reduceat(np.where(own, automaton.base, 0.0), cuts))
+        scores += automaton.scores(cuts, block.lead[first:last], cuts + sizes[first:last], is_begin)
         first = last
     return pa.RecordBatch.from_arrays(
         [
             pa.array(row["text"], pa.int64()), pa.array(row["doc_id"], pa.int64()), pa.array([not x for x in row["learn"]], pa.bool_()),
-            pa.array(sizes - block.lead, pa.int64()), pa.array(np.add.reduceat(known.astype(np.int64), starts), pa.int64()),
-            pa.array(np.add.reduceat(log_base, starts), pa.float64()), pa.array(scores, pa.float64()),
+            pa.array(sizes - block.lead, pa.int64()), pa.array(np.concatenate(known), pa.int64()),
+            pa.array(np.concatenate(base), pa.float64()), pa.array(scores, pa.float64()),
         ],
         ["text", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
     )
