@@ -222,8 +222,12 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, id_column: str = "doc_id") -> DataFrame:
-    """doc_id, ids and decoded of every row, as ``decode(encode(docs))``, in one worker per task."""
+def round_trip(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", release: bool = False) -> DataFrame:
+    """doc_id, ids and decoded of every row, as ``decode(encode(docs))``, in one worker per task.
+
+    ``release`` gives the encoder's memory back at each task's end, for jobs whose other
+    stages use the same workers.
+    """
 
     def run(batches):
         bpe, units = loaded(tokenizer)
@@ -232,6 +236,11 @@ def round_trip(docs: DataFrame, tokenizer: str, id_column: str = "doc_id") -> Da
             out = [bpe.decode(x).decode("utf-8", "replace") for x in arrays]
             ids = [x.astype("<u4").tobytes() for x in arrays]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(out, pa.string())], ["doc_id", "ids", "decoded"])
+            del arrays, out, ids
+        if release:
+            del bpe, units
+            _LOADED.pop(tokenizer, None)
+            pa.default_memory_pool().release_unused()
 
     return _texts(docs, id_column).mapInArrow(run, "doc_id long, ids binary, decoded string")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: units that a worker remembers (about 30 bytes each), and bytes of text that are encoded at a time
-CACHE_UNITS, PASS_BYTES = 1_000_000, 12 << 20
+CACHE_UNITS, PASS_BYTES = 1_000_000, 6 << 20
 
 #: texts -> all their ids after each other, and how many each text has
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
