@@ -9,8 +9,9 @@ and read again as the next one's docs.  All but the last return the columns of d
 * mix_sources repeats or leaves out documents so that sources meet their target weights,
 * bpe_encode returns every document's token ids and the digest of their decoded text.
 
-Rows without a doc_id pass the first three stages, since no decision can be tied to them,
-and are not in the mix.  Null texts count as empty: they are rejected by the first stage.
+Decisions hold for rows with their texts: rows that share a doc_id are judged each by its own
+text, and where a doc_id stands for several texts, near_dedup keeps them all.  Rows without
+a doc_id pass the two dedup stages, since no decision can be tied to them, and are not in the mix.  Null texts count as empty: they are rejected by the first stage.
 Extra columns are carried through the first four stages.  Empty tables give empty results.
 """
 
@@ -31,24 +32,28 @@ NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text is in a known language; null and empty texts go, repeated rows share a verdict."""
     return language_id.accepted(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows with equal texts (A-Z lower-cased, null as empty) the one with the largest doc_id."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies the row with the smallest doc_id; texts without words are nobody's copy."""
     return near_dedup.keep_one(docs, NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them; those without words or doc_id are taken zero times."""
     return mixing.take(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded_sha256."""
-    rows = bpe.decode(bpe.encode(docs, tokenizer(), release=True), tokenizer())
+    rows = bpe.round_trip(docs, tokenizer(), release=True)
     return rows.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
