@@ -46,6 +46,8 @@ REGISTRY: dict[str, Query] = {}
 
 # budget that makes the selection bind on the benchmark data
 CAMPAIGN = {"field_usd": 10_000.0, "cost_per_visit_grid": (20, 30, 50, 80)}
+# visits of the greedy selection, fewer than its budget pays for
+MOST_VISITS = 30
 SWEEP_CHECK = (3, 4)
 Z0_RATIO = 3.0
 PERIOD = ("2023-12-31 00:00:00", "2024-12-31 00:00:00")
@@ -1181,7 +1183,7 @@ def _(run):
 
 @query("greedy_roi")
 def _(run):
-    return _picked(C.greedy(_candidates(run), _directed(run), 30))
+    return _picked(C.greedy(_candidates(run), _directed(run), MOST_VISITS))
 
 
 @query("knapsack")
@@ -1189,6 +1191,29 @@ def _(run):
     return _picked(C.knapsack(_candidates(run), _directed(run)))
 
 
+def _mixed_costs(run):
+    """Candidates whose visit costs 0.5, 1, 1.5 or 2 times the usual, by the site's number."""
+    factor = F.pmod(F.regexp_extract("site_id", "-S([0-9]+)$", 1).cast("long"), F.lit(4)) * 0.5 + 0.5
+    cost = F.col("cost_usd") * factor
+    cand = _candidates(run).withColumn("ve_neto_usd", rnd(F.col("benefit_usd") - cost, 4)).withColumn("roi", rnd(F.col("benefit_usd") / cost, 6))
+    return cand.withColumn("cost_usd", cost)
+
+
+@query("greedy_mixed_costs")
+def _(run):
+    """Sites by return on cost; those that do not fit what is left are passed over."""
+    return _picked(C.greedy(_mixed_costs(run), _directed(run)))
+
+
+@query("knapsack_mixed_costs")
+def _(run):
+    """What the choice is worth, against the bound that no choice exceeds."""
+    chosen = C.knapsack(_mixed_costs(run), _directed(run))
+    facts = chosen.agg(F.sum("cost_usd").alias("spent"), F.sum("ve_neto_usd").alias("value"), F.max("bound_usd").alias("bound_usd"), F.max("ve_neto_usd").alias("best"))
+    held = (F.col("spent") <= _directed(run)) & (F.col("value") <= F.col("bound_usd") + 1e-6) & (F.col("bound_usd") - F.col("value") <= F.col("best"))
+    return facts.select(rnd("bound_usd", 2).alias("bound_usd"), held.alias("within_budget_and_bound"))
+
+
 @query("two_stage")
 def _(run):
     return _picked(C.two_stage(_candidates(run), _directed(run)))

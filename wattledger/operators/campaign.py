@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wattledger.functions.numeric import rnd
+from wattledger.params import BUDGET
 from wattledger.scale import running, top_rows
 from wattledger.session import materialize, materialize_with
 
@@ -358,11 +359,11 @@ def ranking_feeders(balance: DataFrame) -> DataFrame:
     return balance.select(*cols).orderBy(F.col("pnt_kwh").desc(), "feeder_id")
 
 
-def ranking_sites(cand: DataFrame, k: int = 500) -> DataFrame:
+def ranking_sites(cand: DataFrame, k: int = BUDGET["ranked_sites"]) -> DataFrame:
     return cand.orderBy(*_by("roi")).limit(k)
 
 
-def ranking_units(risk: DataFrame, k: int = 1000) -> DataFrame:
+def ranking_units(risk: DataFrame, k: int = BUDGET["ranked_units"]) -> DataFrame:
     return risk.orderBy(F.col("risk_score").desc(), "customer_unit_id").limit(k)
 
 

@@ -78,7 +78,7 @@ def consolidated(balance: DataFrame, status: DataFrame) -> DataFrame:
     )
 
 
-def executive_sites(loadability: DataFrame, k: int = 10) -> DataFrame:
+def executive_sites(loadability: DataFrame, k: int = P.BUDGET["report_rows"]) -> DataFrame:
     """The most loaded sites of each feeder and its number of overloaded ones."""
     order = [F.col("loadability").desc_nulls_last(), F.col("site_id").asc()]
     over = loadability.groupBy("feeder_id").agg(
@@ -89,7 +89,7 @@ def executive_sites(loadability: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def executive_risk(risk: DataFrame, k: int = 10) -> DataFrame:
+def executive_risk(risk: DataFrame, k: int = P.BUDGET["report_rows"]) -> DataFrame:
     order = [F.col("risk_score").desc(), F.col("customer_unit_id").asc()]
     return top_rows(risk, ["feeder_id"], order, k, "rank").select("feeder_id", "rank", "customer_unit_id", "risk_score")
 
@@ -101,7 +101,7 @@ def executive_split(balance: DataFrame) -> DataFrame:
     return balance.select("feeder_id", F.explode(entries).alias("p")).select("feeder_id", "p.part", "p.kwh")
 
 
-def inspection_sheets(plan: DataFrame, risk: DataFrame, customers: DataFrame, reasons: DataFrame, k: int = 30) -> DataFrame:
+def inspection_sheets(plan: DataFrame, risk: DataFrame, customers: DataFrame, reasons: DataFrame, k: int = P.BUDGET["sheet_meters"]) -> DataFrame:
     """Per planned site: its visit, its riskiest meters and the checklist."""
     where = customers.select("customer_unit_id", F.col("transformer_site_id").alias("site_id"))
     visit = plan.select("site_id", "feeder_id", "roi", "benefit_usd", "visit_seq", "day")

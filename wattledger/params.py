@@ -149,6 +149,11 @@ BUDGET = {
     "num_crews": 20,
     "cost_per_visit_grid": (20, 30, 50, 80),
     "grid_m": 1000.0,
+    # rows of the rankings and of the report tables
+    "ranked_sites": 500,
+    "ranked_units": 1000,
+    "report_rows": 10,
+    "sheet_meters": 30,
 }
 
 PHASE_DESIGNATION = {1: "C", 2: "B", 3: "BC", 4: "A", 5: "CA", 6: "AB", 7: "ABC"}
