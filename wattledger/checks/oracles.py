@@ -820,7 +820,7 @@ _PICK = "site_id, feeder_id, cost_usd, benefit_usd, ve_neto_usd, roi"
 oracle("candidates", "SELECT * FROM cand")
 oracle("greedy_roi", f"SELECT {_PICK}, 'greedy_roi' AS selected_by FROM greedy WHERE spent <= {_DIRECTED!r} AND pos <= 30")
 oracle("knapsack", f"SELECT {_PICK}, 'knapsack' AS selected_by FROM (SELECT *, {_run.format(p='', o='ve_neto_usd DESC, site_id')} AS spent FROM cand WHERE ve_neto_usd > 0) WHERE spent <= {_DIRECTED!r}")
-cte("mixed", f"""SELECT * REPLACE (c2 AS cost_usd, {r('benefit_usd - c2', 4)} AS ve_neto_usd, {r('benefit_usd / c2', 6)} AS roi) EXCLUDE (c2) FROM (
+cte("mixed", f"""SELECT * EXCLUDE (c2) REPLACE (c2 AS cost_usd, {r('benefit_usd - c2', 4)} AS ve_neto_usd, {r('benefit_usd / c2', 6)} AS roi) FROM (
   SELECT *, cost_usd * ((CAST(regexp_extract(site_id, '-S([0-9]+)$', 1) AS BIGINT) % 4) * 0.5::DOUBLE + 0.5::DOUBLE) AS c2 FROM cand)""")
 cte("mixed_order", "SELECT *, row_number() OVER (ORDER BY roi DESC, site_id) AS i FROM mixed")
 oracle("greedy_mixed_costs", f"""SELECT {_PICK}, 'greedy_roi' AS selected_by FROM mixed_order JOIN (
