@@ -48,6 +48,8 @@ def test_long_chain_with_side_branches(spark):
     kw = {r.node: r.kw for r in load.collect()}
     acc = {r.node: r.kw for r in N.subtree_sum(net.tree.levels, load, ["kw"]).collect()}
     assert acc == {r.node: r.kw for r in N.downstream_sum(net, load, ["kw"]).collect()}
+    assert net.intervals.count() == len(parent) + 1
+    assert acc == {r.node: r.kw for r in N.downstream_sum(net, load, ["kw"]).collect()}
     for n in [*parent, "F1-SRC"]:
         assert acc[n] == pytest.approx(kw.get(n, 0) + sum(v for m, v in kw.items() if n in above(m)))
     paths = {r.node: r.kw for r in N.path_sum(net.tree.levels, net.node, load, ["kw"]).collect()}
@@ -126,6 +128,7 @@ def test_star_of_100000_and_chain_of_10000(spark):
     rows = star.union(chain).selectExpr("*", "1.0D length_m", "0.5D r_ohm_per_km", "0.2D x_ohm_per_km", "'ABC' phase", "1.0D voltage_ll", "'primary' section")
     net = N.build(rows, no_sites(spark))
     load = net.node.withColumn("kw", F.lit(1.0))
+    assert net.intervals.count() == 110_002
     sums = N.downstream_sum(net, load, ["kw"])
     assert {r.feeder_id: r.kw for r in sums.where("node = concat(feeder_id, '-SRC')").collect()} == {"F1": 100_001.0, "F2": 10_001.0}
     chained = sums.where("feeder_id = 'F2' AND node LIKE 'n%'")

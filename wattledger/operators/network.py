@@ -256,8 +256,14 @@ subtree_sum = I.ladder_sum
 
 
 def downstream_sum(net: Network, values: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sum over each node and everything below it, for nodes with a value at or below them."""
-    return I.subtree_sum(net.intervals, values, columns)
+    """Sum over each node and everything below it, for nodes with a value at or below them.
+
+    By intervals where the network has been numbered.  Numbering climbs the tree twice, so
+    one sum alone climbs it once instead.
+    """
+    if "intervals" in vars(net):
+        return I.subtree_sum(net.intervals, values, columns)
+    return I.ladder_sum(net.tree.levels, values, columns)
 
 
 def path_sum(levels: list[DataFrame], node: DataFrame, values: DataFrame, columns: Sequence[str]) -> DataFrame:
