@@ -47,3 +47,20 @@ def test_trees_miss_at_most_the_stated_share():
     for percent in (80, 85):
         assert near_dedup.miss_rate(percent, near_dedup.trees(percent)) <= 1e-7 < near_dedup.miss_rate(percent, near_dedup.trees(percent) - 1)
     assert (near_dedup.trees(85), near_dedup.trees(80)) == (11, 18)
+
+
+def test_repeated_rows_go_before_the_sets_are_made(spark, monkeypatch):
+    """Sets are larger than texts: no shuffle or sort of them, which took a stage beyond an executor's memory."""
+    plans, write = {}, near_dedup.materialize
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(near_dedup, "materialize", noted)
+    words = [f"w{i}" for i in range(60)]
+    df = documents(spark, [" ".join(words), " ".join(words[:59]), "another text of just six words"])
+    kept = near_dedup.near_duplicates(df.union(df)).where("kept").select("doc_id").distinct()
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+    after, before = plans["sets"].split("MapInArrow")
+    assert "Aggregate" not in after and "Aggregate" in before

@@ -39,6 +39,11 @@ def passes(batches: Iterator[pa.RecordBatch], column: str, most: int = PASS_BYTE
             yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Hands freed Arrow memory back to the system: a worker would keep it, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """UTF-8 bytes of a text column; null counts as empty."""
     return [v or b"" for v in batch.column(column).cast(pa.large_binary()).to_pylist()]

@@ -20,7 +20,6 @@ gives the fewest trees that miss a pair at the threshold with at most MISSED.
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -41,6 +40,8 @@ SPLITS, TAIL = 3, 3
 MISSED, MISAGREED = 1e-7, 2e-8
 #: length of the parity signature
 BITS = 1024
+#: bytes of text in one pass; a worker holds the sets of that much
+PASS_BYTES = 1 << 20
 
 _A, _C = common.constants(SKETCH, 1), common.constants(SKETCH, 2)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -108,7 +109,7 @@ def parity(shingles: np.ndarray) -> np.ndarray:
 
 def _sets(batches):
     hashes = common.WordHashes()
-    for batch in common.passes(batches, "text"):
+    for batch in common.passes(batches, "text", PASS_BYTES):
         sets = [shingle_set(hashes.of(t.lower().split())) for t in common.texts(batch, "text")]
         drawn = iter(sketches([s for s in sets if len(s)]))
         digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
@@ -121,14 +122,18 @@ def _sets(batches):
             ],
             ["doc_id", "n_shingles", "set_hash", "sketch"],
         )
+        del sets, drawn, digests
+        common.give_back()
 
 
 def _full_sets(batches):
     hashes = common.WordHashes()
-    for batch in common.passes(batches, "text"):
+    for batch in common.passes(batches, "text", PASS_BYTES):
         sets = [shingle_set(hashes.of(t.lower().split())).view(np.int64) for t in common.texts(batch, "text")]
         bits = [parity(s.view(np.uint64)) for s in sets]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "shingles", "bits"])
+        del sets, bits
+        common.give_back()
 
 
 def _value(key: Column, nth: int) -> list[Column]:
@@ -147,10 +152,6 @@ def _leaves(members: DataFrame, n_trees: int) -> DataFrame:
     return nodes.select(F.xxhash64("key", *tail).alias("key"), "id")
 
 
-def _common(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)])
-
-
 def _confirmed(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) that are links, by agreement of the sketches and then the full sets."""
     left = members.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
@@ -160,7 +161,7 @@ def _confirmed(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: i
     full = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
     full = full.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
     both = F.size("set_a") + F.size("set_b")
-    counted = full.select("a", "b", both.alias("both"), F.pandas_udf(_common, "long")("set_a", "set_b").alias("common"))
+    counted = full.select("a", "b", both.alias("both"), F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("common"))
     return materialize(counted.where(F.col("common") * 100 >= (F.col("both") - F.col("common")) * percent).select("a", "b"), "confirmed")
 
 
@@ -215,8 +216,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     leads = materialize(leads.select("key", "lead"), "leads")
     leaves = materialize(common.maybe_members(_leaves(members, n_trees), leads, "key").join(leads, "key"), "leaves")
     inside = leaves.select("id").distinct().select(F.col("id").alias("doc_id"))
-    texts = common.only_members(own, inside, "doc_id")
-    sets = materialize(texts.mapInArrow(_full_sets, "doc_id long, shingles array<long>, bits array<long>").withColumnRenamed("doc_id", "id").dropDuplicates(["id"]), "sets")
+    # repeated rows go before the sets are made, in the shuffle that looked up the doc_ids: sets are larger than texts
+    texts = common.only_members(own, inside, "doc_id").dropDuplicates(["doc_id"])
+    sets = materialize(texts.mapInArrow(_full_sets, "doc_id long, shingles array<long>, bits array<long>").withColumnRenamed("doc_id", "id"), "sets")
 
     stars = leaves.where(F.col("lead") < F.col("id")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = _confirmed(stars, members, sets, percent)
