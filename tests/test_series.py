@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wattledger.operators import features as X
 from wattledger.operators import labels as L
 from wattledger.operators import series as S
 
@@ -23,3 +24,26 @@ def test_running_deviation(spark):
     rows = spark.createDataFrame([([1.0, 2.0, 4.0, 9.0],), ([3.0],), ([],)], "a array<double>")
     got = [r.sd for r in rows.select(S.std_running(F.col("a")).alias("sd")).collect()]
     assert got[0] == pytest.approx(9.5**0.5) and got[1:] == [0.0, None]
+
+
+def test_median_sorts_once(spark):
+    """One evaluation of the slopes per meter: seven made the trend the longest step of the features."""
+    rows = spark.createDataFrame([([3.0, None, 1.0, 2.0],), ([1.0, 2.0],), ([None],), ([],)], "a array<double>")
+    assert [r.m for r in rows.select(S.median(F.col("a")).alias("m")).collect()] == [2.0, 1.5, None, None]
+    trend = rows.select(X.theil_sen(F.col("a")).alias("t"))
+    plan = trend._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sequence(") == 1 and "array_sort(" not in plan
+    full = spark.createDataFrame([([1.0, 3.0, 2.0, 7.0],), ([5.0],)], "a array<double>")
+    assert [r.t for r in full.select(X.theil_sen(F.col("a")).alias("t")).collect()] == [2.0, 0.0]
+
+
+def test_series_with_and_without_gaps(spark):
+    rows = [("F00", "A", "2020-01", 1.0, 0.5, True), ("F00", "A", "2020-04", 2.0, None, False), ("F00", "A", "2020-04", 3.0, 0.25, True)]
+    rows += [("F00", "B", "2020-04", 4.0, 1.0, False)]
+    schema = "feeder_id string, customer_unit_id string, year_month string, kwh double, kvarh double, estimated boolean"
+    frame = S.series(spark.createDataFrame(rows, schema))
+    got = {r.customer_unit_id: (r.months, r.kwh, r.kvarh, r.est) for r in frame.collect()}
+    months = ["2020-01", "2020-04"]
+    assert got == {"A": (months, [1.0, 5.0], [0.5, 0.25], [1.0, 0.5]), "B": (months, [0.0, 4.0], [0.0, 1.0], [0.0, 0.0])}
+    # months are looked up only where a meter lacks some
+    assert "sort_array(collect_list" in frame._jdf.queryExecution().analyzed().toString()
