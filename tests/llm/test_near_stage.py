@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from helpers import documents
 
-from wattledger.llm import near_dedup
+from wattledger.llm import common, near_dedup
 
 
 def shingles(text):
@@ -64,3 +64,13 @@ def test_repeated_rows_go_before_the_sets_are_made(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
     after, before = plans["sets"].split("MapInArrow")
     assert "Aggregate" not in after and "Aggregate" in before
+
+
+def test_workers_remember_few_words(spark):
+    """A cache of half a million words in every worker took the stage beyond an executor's memory."""
+    hashes = common.WordHashes(near_dedup.CACHE_WORDS)
+    assert near_dedup.CACHE_WORDS <= 1 << 16
+    words = [f"w{i}".encode() for i in range(near_dedup.CACHE_WORDS + 1000)]
+    first = hashes.of(words)
+    assert len(hashes) <= near_dedup.CACHE_WORDS
+    assert (hashes.of(words) == first).all()

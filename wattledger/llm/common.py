@@ -50,17 +50,21 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash as int64, remembered up to CACHE_WORDS words."""
+    """word -> 64-bit hash as int64, remembered up to ``most`` words."""
+
+    def __init__(self, most: int = CACHE_WORDS):
+        super().__init__()
+        self.most = most
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
         value -= (value >> 63) << 64
-        if len(self) < CACHE_WORDS:
+        if len(self) < self.most:
             self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words)).view(np.uint64)
 

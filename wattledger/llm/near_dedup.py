@@ -41,7 +41,9 @@ MISSED, MISAGREED = 1e-7, 2e-8
 #: length of the parity signature
 BITS = 1024
 #: bytes of text in one pass; a worker holds the sets of that much
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 18
+#: words that a worker remembers the hashes of, some 10 MB
+CACHE_WORDS = 1 << 16
 
 _A, _C = common.constants(SKETCH, 1), common.constants(SKETCH, 2)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -108,7 +110,7 @@ def parity(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches):
-    hashes = common.WordHashes()
+    hashes = common.WordHashes(CACHE_WORDS)
     for batch in common.passes(batches, "text", PASS_BYTES):
         sets = [shingle_set(hashes.of(t.lower().split())) for t in common.texts(batch, "text")]
         drawn = iter(sketches([s for s in sets if len(s)]))
@@ -127,7 +129,7 @@ def _sets(batches):
 
 
 def _full_sets(batches):
-    hashes = common.WordHashes()
+    hashes = common.WordHashes(CACHE_WORDS)
     for batch in common.passes(batches, "text", PASS_BYTES):
         sets = [shingle_set(hashes.of(t.lower().split())).view(np.int64) for t in common.texts(batch, "text")]
         bits = [parity(s.view(np.uint64)) for s in sets]
