@@ -74,3 +74,26 @@ def test_workers_remember_few_words(spark):
     first = hashes.of(words)
     assert len(hashes) <= near_dedup.CACHE_WORDS
     assert (hashes.of(words) == first).all()
+
+
+def test_a_linked_family_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Copies of one text around the threshold: the pairs that were compared grew with the family's square."""
+    rng, base, texts = random.Random(3), [f"b{i}" for i in range(320)], []
+    for n in range(600):
+        words = list(base)
+        for at in rng.sample(range(320), 4):
+            words[at] = f"x{n}_{at}"
+        texts.append(" ".join(words))
+    compared, write = [], near_dedup.materialize
+
+    def noted(df, label):
+        out = write(df, label)
+        if label == "near":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", noted)
+    kept = near_dedup.near_duplicates(documents(spark, texts), 80).where("kept")
+    assert [r.doc_id for r in kept.collect()] == brute_kept(texts[:150], 80) == [0]
+    # without the stars of the leaves: 1,737 before
+    assert sum(compared[1:]) < len(texts) / 2

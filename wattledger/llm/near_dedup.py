@@ -13,7 +13,8 @@ gives the fewest trees that miss a pair at the threshold with at most MISSED.
   each with all that share one of its rarest shingles: of any two sets of 85 %, each has
   a shared shingle among its 15 % rarest and one more (of 80 %, its 20 % rarest), so no
   link is missed, and copies with many changes of their own meet nobody, however large
-  their family.
+  their family.  Before that, holders of a shingle meet a few of them, so that a family
+  that links connect is not compared pair by pair.
 * Every link is confirmed on the full sets.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql.window import Window
 
 from wattledger.llm import common
 from wattledger.llm.components import components
-from wattledger.session import materialize
+from wattledger.session import materialize, materialize_with
 
 SHINGLE = 5
 #: links need 100 * common >= percent * union; this is the percent of op2
@@ -38,6 +39,8 @@ SKETCH = 96
 SPLITS, TAIL = 3, 3
 #: most that a pair at the threshold may be missed with, by the trees and by its number of agreeing coordinates
 MISSED, MISAGREED = 1e-7, 2e-8
+#: holders of a shingle that all its holders are compared with in one turn; share by which a turn must lower the rows for another to follow
+PIVOTS, FALL = 4, 0.1
 #: length of the parity signature
 BITS = 1024
 #: bytes of text in one pass; a worker holds the sets of that much
@@ -174,9 +177,8 @@ def _open_members(leaves: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(labelled.join(mixed, "key").select("id", "label").distinct(), "open")
 
 
-def _across(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of different labels that may be links: both hold a shingle that is
-    among the rarest (100 - percent) % + 1 of each, and their sizes and parities allow it."""
+def _rare(open_members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """(shingle, id, label, n, bits), and their number: the rarest (100 - percent) % + 1 shingles of each member that a member of another label holds as such too."""
     each = sets.join(open_members, "id").select("id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > 1)
     held = each.join(often, "shingle")
@@ -185,14 +187,67 @@ def _across(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - (F.col("n") - F.col("shared"))
     ranked = held.withColumns({"nth": F.row_number().over(mine.orderBy("often", "shingle")), "shared": F.count(F.lit(1)).over(mine)})
     rare = materialize(ranked.where(F.col("nth") <= first).select("shingle", "id", "label", "n"), "rare")
+    shared, seen = materialize_with(_several(rare).join(sets.select("id", "bits"), "id"), "rare-shared", n=F.count(F.lit(1)))
+    return shared.select("shingle", "id", "label", "n", "bits"), seen["n"]
+
+
+def _several(rare: DataFrame) -> DataFrame:
+    """The rows whose shingle has several labels."""
     several = rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high")).select("shingle")
-    rare = materialize(rare.join(several, "shingle").join(sets.select("id", "bits"), "id"), "rare-shared")
-    left = rare.select("shingle", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    right = rare.select("shingle", F.col("id").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    return rare.join(several, "shingle")
+
+
+def _may_link(percent: int) -> Column:
+    """Whether sides a and b have different labels, and sizes and parities that allow a link."""
     differing = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(1, BITS // 64)), F.bit_count(F.get("bits_a", F.lit(0)).bitwiseXOR(F.get("bits_b", F.lit(0)))))
     alike = differing * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
     sizes = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    return left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & sizes & alike).select("a", "b").distinct()
+    return (F.col("label_a") != F.col("label_b")) & sizes & alike
+
+
+def _side(rare: DataFrame, name: str) -> DataFrame:
+    return rare.select("shingle", F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("label", "n", "bits")])
+
+
+def _to_pivots(rare: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of the holders of each shingle with PIVOTS of them, drawn anew each turn: linear in the rows."""
+    drawn = F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(turn * PIVOTS + i)).alias("draw"), F.col("id").alias("id"))) for i in range(PIVOTS)])
+    pivots = rare.groupBy("shingle").agg(drawn.alias("p")).select("shingle", F.explode(F.array_distinct("p.id")).alias("id"))
+    pairs = _side(rare.join(pivots, ["shingle", "id"]), "a").join(_side(rare, "b"), "shingle").where(_may_link(percent))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _union(parts: list[DataFrame], out: DataFrame) -> DataFrame:
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+def _across(open_members: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect all open members of different labels that links connect.
+
+    First, turn by turn, holders of a shingle meet a few of them, and those that links connect
+    take one label, so that a large family of near copies is few labels, or one, before all
+    pairs of different labels are compared; the turns decide on the work, not on the result.
+    """
+    rare, before = _rare(open_members, sets, percent)
+    links: list[DataFrame] = []
+    turn, falls = 0, before > 0
+    while falls:
+        found = _confirmed(_to_pivots(rare, turn, percent), members, sets, percent)
+        if found.isEmpty():
+            break
+        links.append(found)
+        known = rare.select("id", "label").distinct()
+        by_label = found.join(known.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(known.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
+        merged = components(by_label.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("to"))
+        rare = rare.join(merged, "label", "left").select("shingle", "id", F.coalesce("to", "label").alias("label"), "n", "bits")
+        rare, seen = materialize_with(_several(materialize(rare, "rare-merged")), "rare-open", n=F.count(F.lit(1)))
+        turn, falls, before = turn + 1, 0 < seen["n"] <= before * (1 - FALL), seen["n"]
+    if not before:
+        return _union(links, open_members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    rest = _side(rare, "a").join(_side(rare, "b"), "shingle").where((F.col("a") < F.col("b")) & _may_link(percent)).select("a", "b").distinct()
+    return _union(links, _confirmed(rest, members, sets, percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -225,7 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = leaves.where(F.col("lead") < F.col("id")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = _confirmed(stars, members, sets, percent)
     open_members = _open_members(leaves.select("key", "id"), components(links))
-    labels = components(links.union(_confirmed(_across(open_members, sets, percent), members, sets, percent)))
+    labels = components(links.union(_across(open_members, members, sets, percent)))
 
     rep = drawn.join(classes, "set_hash", "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("id")).alias("id"))
     named = rep.join(labels, "id", "left").select("doc_id", "n_shingles", F.coalesce("label", "id", "doc_id").alias("component_id"))
