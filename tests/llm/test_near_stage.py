@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from helpers import documents
 
 from wattledger.llm import common, near_dedup
@@ -97,3 +98,17 @@ def test_a_linked_family_is_not_compared_pair_by_pair(spark, monkeypatch):
     assert [r.doc_id for r in kept.collect()] == brute_kept(texts[:150], 80) == [0]
     # without the stars of the leaves: 1,737 before
     assert sum(compared[1:]) < len(texts) / 2
+
+
+def test_freed_memory_goes_back():
+    """What a worker freed between memory in use is not kept until the worker ends."""
+
+    def anonymous() -> int:
+        return sum(int(line.split()[1]) for line in open("/proc/self/smaps_rollup") if line.startswith("Anonymous:")) >> 10
+
+    blocks = [np.ones(8_000) for _ in range(2_000)]  # 128 MB in pieces too small to be mapped on their own
+    kept = blocks[::100]
+    full = anonymous()
+    del blocks
+    common.give_back()
+    assert len(kept) == 20 and anonymous() < full - 100

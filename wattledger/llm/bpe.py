@@ -240,7 +240,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", relea
         if release:
             del bpe, units
             _LOADED.pop(tokenizer, None)
-            pa.default_memory_pool().release_unused()
+            common.give_back()
 
     return _texts(docs, id_column).mapInArrow(run, "doc_id long, ids binary, decoded string")
 

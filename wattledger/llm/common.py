@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,11 @@ def passes(batches: Iterator[pa.RecordBatch], column: str, most: int = PASS_BYTE
 
 
 def give_back() -> None:
-    """Hands freed Arrow memory back to the system: a worker would keep it, beside the executor's heap."""
+    """Hands freed memory back to the system, Arrow's and the C library's: a worker would keep it, beside the executor's heap."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
