@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from wattledger.operators import features as X
 from wattledger.operators import labels as L
 from wattledger.operators import series as S
+from wattledger.plans.run import Run
+from wattledger.sources.bench_tables import BenchTables, bench_settings
 
 # cuts at 5 and at 10 or 15 cost the same; the sums of the SQL decide, to the last bit
 EQUAL_COSTS = [
@@ -47,3 +49,25 @@ def test_series_with_and_without_gaps(spark):
     assert got == {"A": (months, [1.0, 5.0], [0.5, 0.25], [1.0, 0.5]), "B": (months, [0.0, 4.0], [0.0, 1.0], [0.0, 0.0])}
     # months are looked up only where a meter lacks some
     assert "sort_array(collect_list" in frame._jdf.queryExecution().analyzed().toString()
+
+
+def test_tables_with_own_series(spark, tmp_path):
+    """One row per meter gives the series and the heads that the readings give, and line items are joined once for all."""
+    tables = BenchTables(spark, "/root/testdata/sf0.001")
+    run = Run(tables, bench_settings())
+    order = ["feeder_id", "customer_unit_id"]
+    own, made = tables.series, S.series(run.consumption)
+    assert own.dtypes == made.dtypes and own.count() == tables.customers.count()
+    assert own.orderBy(*order).collect() == made.orderBy(*order).collect()
+    for table in (run.series, tables.consumption, tables.header_meters, tables.readings):
+        assert "lineitem" not in "".join(table.select(table.columns[0], "kwh").inputFiles())
+    # a meter that is no customer keeps its readings and has no place in a feeder
+    spark.createDataFrame([(1, 3, 0.0, "BUILDING")], "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 9), (2, 1)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(1, 2.0, 0.1, 0.0, "R", "1994-02-01"), (2, 1.0, 0.1, 0.0, "N", "1994-05-01")]
+    line = "l_orderkey long, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_shipdate string"
+    spark.createDataFrame(lines, line).withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    few = BenchTables(spark, str(tmp_path))
+    assert sorted((r.c_custkey, r.kwh) for r in few.readings.collect()) == [(1, 60.0), (9, 120.0)]
+    assert [(r.customer_unit_id, r.kwh) for r in few.series.collect()] == [("C1", [0.0, 60.0])]
+    assert [(r.feeder_id, round(r.kwh, 6)) for r in few.header_meters.collect()] == [("F03", 67.2)]
