@@ -193,6 +193,53 @@ def test_topk_few_rows(spark):
     assert topk_search.top_k(few.where("vec_id > 3")).count() == 0
 
 
+def test_topk_queries_visit_only_blocks_within_reach(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "ROWS", 40)
+    monkeypatch.setattr(topk_search, "QUERIES", 7)
+    rng = np.random.default_rng(6)
+    centres = np.eye(6) * 40.0
+    vectors = (centres[np.arange(900) % 6] + rng.normal(size=(900, 6)) * 0.1).round(3)
+    vectors[300:420] = vectors[300]  # copies, more than a block holds
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(50, vectors[50].tolist()), (7, vectors[7].tolist())], "vec_id long, embedding array<double>")
+    sent, aimed = [], topk_search.aimed
+
+    def spy(asked, found, low, high, *rest):
+        goals = aimed(asked, found, low, high, *rest)
+        sent.append((goals.count(), asked.count() * len(low)))
+        return goals
+
+    monkeypatch.setattr(topk_search, "aimed", spy)
+    got = {tuple(r) for r in topk_search.top_k(df).collect()}
+    visits, pairs = sent[0]
+    assert pairs >= 18 * 22 and visits < pairs / 2  # before, every query was sent to every block
+    whole = np.floor(256 * np.vstack([vectors, vectors[[50, 7]]])).astype(int)
+    ids = np.array([*range(900), 50, 7])
+    want = set()
+    for q in range(0, 900, 50):
+        best = sorted((-int(whole[q] @ x), int(i)) for i, x in zip(ids, whole) if i != q)[:5]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert got == want
+
+
+def test_topk_of_a_block_keeps_ties_and_repeats():
+    rng = np.random.default_rng(8)
+    for largest_kind in (np.int16, np.int64):
+        x = rng.integers(-3, 4, size=(3000, 3)).astype(largest_kind)
+        ids = rng.integers(0, 1500, size=3000)
+        scale = 1 if largest_kind is np.int16 else 10_000
+        x = x * largest_kind(scale)
+        q_ids, first = np.unique(ids, return_index=True)
+        q_ids, q = q_ids[::20], x[first[::20]]
+        largest = float((x.astype(float) ** 2).sum(1).max())
+        pivots = topk_search.choose_pivots(topk_search._continued(x[:200].astype(float), largest), 4)
+        d_x = topk_search._distances(topk_search._continued(x.astype(float), largest), pivots)
+        d_q = topk_search._distances(np.hstack([q, np.zeros((len(q), 1))]), pivots)
+        got = topk_search.best_of_block(q_ids, q, d_q, np.full(len(q), topk_search.NONE), ids, x, d_x, largest, 5)
+        have = sorted(zip(*[a.tolist() for a in got]))
+        want = sorted((int(a), i, -s) for a, v in zip(q_ids, q) for s, i in sorted((-int(v @ y), int(i)) for i, y in zip(ids, x) if i != a)[:5])
+        assert have == want
+
+
 # --- licences ------------------------------------------------------------------
 
 
